@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import language_id, mixing, packing, quality_rules, tokens
+from lodestone.llm import exact_search, language_id, mixing, packing, quality_model, quality_rules, tokens
 from lodestone.llm.common import crc_mod
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_search.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identified(docs, crc_mod(F.col("doc_id"), 4) == 2)
@@ -42,6 +47,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(docs).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing)}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality_model.classified(docs, labels, lambda c: crc_mod(c, 5) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_search, op3_language_id, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
 
 ORACLES: dict[str, str] = {}
