@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_search, language_id, mixing, packing, quality_model, quality_rules, tokens
+from lodestone.llm import exact_search, language_id, mixing, packing, quality_model, quality_rules, simhash, tokens
 from lodestone.llm.common import crc_mod
 
 
@@ -27,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, crc_mod(F.col("doc_id"), 4) == 2)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,6 +56,6 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(docs, labels, lambda c: crc_mod(c, 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_search, op3_language_id, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op2_exact_search, op3_language_id, op4_simhash, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
 
 ORACLES: dict[str, str] = {}
