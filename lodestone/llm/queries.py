@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_search, language_id, mixing, packing, quality_model, quality_rules, simhash, tokens
+from lodestone.llm import exact_search, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, tokens
 from lodestone.llm.common import crc_mod
 
 
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_dedup.deduplicated(docs, least=10, keep="none")
+    return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return exact_search.top_k(vectors, F.col("vec_id") % 20 == 0)
@@ -56,6 +62,6 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(docs, labels, lambda c: crc_mod(c, 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_search, op3_language_id, op4_simhash, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
 
 ORACLES: dict[str, str] = {}
