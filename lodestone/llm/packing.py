@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
-from lodestone.llm.tokens import default_vocabulary, whole_tokens, worker_encoder
+from lodestone.llm.tokens import default_vocabulary, worker_encoder
 
 WINDOW, END_ID = 1024, 0
 #: Rows of an output batch hold at most about so many ids.
@@ -38,7 +38,6 @@ BATCH_IDS = 2_000_000
 def encoded(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Written table (doc_id, part, local, n, ids): ids as little-endian unsigned 32-bit."""
     path = path or default_vocabulary()
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     id_type = narrow.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -46,7 +45,7 @@ def encoded(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: s
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("part", pa.int64()), ("local", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, whole, True)
+        encoder = worker_encoder(path)
         part, local = TaskContext.get().partitionId(), 0
         for b in batches:
             start, rows = 0, []
