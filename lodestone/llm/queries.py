@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_search, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, tokens
+from lodestone.llm import exact_search, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens
 from lodestone.llm.common import crc_mod
 
 
@@ -37,6 +37,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +67,6 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(docs, labels, lambda c: crc_mod(c, 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
 
 ORACLES: dict[str, str] = {}
