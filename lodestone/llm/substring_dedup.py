@@ -42,8 +42,8 @@ from lodestone.llm.bloom import filter_bits, seen_twice, twice_seen
 from lodestone.llm.common import written
 
 LENGTH, GRAM = 50, 8
-SHARD_WORDS, HOT = 300_000, 1_000
-BATCH_WORDS = 400_000
+SHARD_WORDS, HOT = 120_000, 1_000
+BATCH_WORDS = 120_000
 
 
 # --- anchors ---------------------------------------------------------------
@@ -163,14 +163,15 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, symbols: int, length: int):
         n = len(text)
-        rank, ranks, h = np.unique(text, return_inverse=True)[1].astype(np.int64), {}, 1
-        ranks[1] = rank
+        rank, h = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+        ranks = {1: rank}
         while h < length:
             after = np.zeros(n, np.int64)
             after[: n - h] = rank[h:] + 1
             rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
             h *= 2
-            ranks[h] = rank
+            if h < length:
+                ranks = {h: rank}  # the longest prefix within a window is all that block starts need
         order = np.argsort(rank, kind="stable")
         self.order, self.tree = order, WaveletTree(text[order - 1], symbols)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
@@ -289,12 +290,23 @@ def _added_up(distinct: DataFrame, length: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        def batch(rows: tuple) -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["segment", "at", "window", "low", "high"])
+
+        rows: tuple = ([], [], [], [], [])
         for b in batches:
             for segment, low, high, data in zip(*(b.column(c).to_pylist() for c in ("segment", "low", "high", "words"))):
                 words = data.split(b" ")
                 n = len(words) - length + 1
                 keys = [xxhash.xxh3_128_digest(b" ".join(words[i : i + length])) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array(keys, pa.binary()), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64())], ["segment", "at", "window", "low", "high"])
+                for x, new in zip(rows, ([segment] * n, range(n), keys, [low] * n, [high] * n)):
+                    x += new
+                if len(rows[0]) >= 20_000:
+                    yield batch(rows)
+                    rows = ([], [], [], [], [])
+        if rows[0]:
+            yield batch(rows)
 
     each = written(distinct.mapInArrow(windows, "segment binary, at bigint, window binary, low bigint, high bigint"), "windows")
     first = each.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("window", "first")
