@@ -45,7 +45,8 @@ def prefix_pool(prefix: DataFrame, more: DataFrame, prefix_depth: int, depth: in
 def marginal_hits(lists: DataFrame, gold: DataFrame, order: list[str], depth: int) -> DataFrame:
     """For each channel, the questions whose gold it is first, in order, to find."""
     place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("channel"))
-    found = lists.filter(F.col("rank") <= depth).join(gold, (lists["q_id"] == gold["q_id"]) & (lists["doc_id"] == gold["gold"])).select(gold["q_id"], "channel", place.alias("place"))
+    wanted = gold.select("q_id", F.col("gold").alias("doc_id"))
+    found = lists.filter(F.col("rank") <= depth).join(wanted, ["q_id", "doc_id"]).select("q_id", "channel", place.alias("place"))
     first = found.groupBy("q_id").agg(F.min_by("channel", "place").alias("channel"))
     return first.groupBy("channel").agg(F.count(F.lit(1)).alias("hits"))
 
