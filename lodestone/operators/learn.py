@@ -24,7 +24,7 @@ def scorer(kind: str, features: list[str], label: str) -> Pipeline:
     elif kind == "boosted":
         last = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_weight", maxIter=10, maxDepth=3, seed=7)
     else:
-        last = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_weight", fitIntercept=kind != "pairwise", maxIter=50)
+        last = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_weight", fitIntercept=kind != "pairwise", maxIter=20)
     return Pipeline(stages=[*stages, last])
 
 
@@ -76,9 +76,9 @@ def guarded(rows: DataFrame, rank_max: int, margin: float) -> DataFrame:
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """ROC AUC by ranks: ties count half."""
-    per = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    per = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
     from pyspark.sql import Window as W
 
-    below = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))  # over distinct scores
-    each = per.withColumn("wins", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2))
-    return each.agg(F.round(F.sum("wins") / (F.sum("p") * F.sum("n")), 6).alias("auc"))
+    below = F.sum("_neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))  # over distinct scores
+    each = per.withColumn("wins", F.col("_pos") * (F.coalesce(below, F.lit(0)) + F.col("_neg") / 2))
+    return each.agg(F.round(F.sum("wins") / (F.sum("_pos") * F.sum("_neg")), 6).alias("auc"))

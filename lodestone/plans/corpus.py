@@ -224,7 +224,7 @@ def node_latency(spark, d):
     return threads.node_latency(R.table(spark, d, "events"), "event_type", "value")
 
 
-@query("WITH p AS (SELECT event_type, epoch(ts) AS at, 1 AS d FROM events UNION ALL SELECT event_type, epoch(ts) + value, -1 FROM events), r AS (SELECT event_type, d, sum(d) OVER (PARTITION BY event_type ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS open FROM p) SELECT event_type, count(*) AS n, max(open)::BIGINT AS peak, count(*) FILTER (open > 4) AS over_limit FROM r WHERE d = 1 GROUP BY event_type")
+@query("WITH p AS (SELECT event_type, epoch(ts) AS t, 1 AS d FROM events UNION ALL SELECT event_type, epoch(ts) + value, -1 FROM events), r AS (SELECT event_type, d, sum(d) OVER (PARTITION BY event_type ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS running FROM p) SELECT event_type, count(*) AS n, max(running)::BIGINT AS peak, count(*) FILTER (running > 4) AS over_limit FROM r WHERE d = 1 GROUP BY event_type")
 def admission_peaks(spark, d):
     return threads.concurrency(R.table(spark, d, "events"), "ts", "value", 4, "event_type")
 
