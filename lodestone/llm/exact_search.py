@@ -12,7 +12,8 @@ Each group gives at most k candidates a query; the k best over all groups are
 chosen by a window of bounded size a query.
 
 Sums stay exact: single precision while no sum can pass 2 ** 24, double while
-none can pass 2 ** 53, else Python integers (held to the range of a long).
+none can pass 2 ** 53, else Python integers, held to the range of a long before
+they are ranked.
 
 Defined results: vectors that are null, or that hold a null or non-finite
 component, take no part; a shorter vector counts as padded by zeros; an empty

@@ -62,10 +62,14 @@ def _ids(text: str | None) -> tuple[list[int], list[int]]:
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """For each bucket: NONZERO places and their signs; a fixed function of the bucket."""
+    """For each bucket: NONZERO places and their signs; a fixed function of the bucket.
+
+    One more bucket, which adds nothing, stands between documents.
+    """
     rng = np.random.default_rng(10)
     n = 1 << BITS
-    return rng.integers(0, DIMENSIONS, (n, NONZERO)), rng.choice([-1.0, 1.0], (n, NONZERO))
+    places, signs = rng.integers(0, DIMENSIONS, (n, NONZERO)), rng.choice([-1.0, 1.0], (n, NONZERO))
+    return np.vstack([places, places[:1]]), np.vstack([signs, np.zeros((1, NONZERO))])
 
 
 def _add_contexts(sums: np.ndarray, ids: list[int], places: np.ndarray, signs: np.ndarray) -> None:
@@ -82,11 +86,11 @@ def word_vectors(sample: DataFrame, text: str) -> np.ndarray:
     n, step = 1 << BITS, 1 << (BITS - 4)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held = np.zeros(n * DIMENSIONS), ([], [])
+        sums, held = np.zeros((n + 1) * DIMENSIONS), ([], [])
         for b in batches:
             for t in b.column(0).to_pylist():
                 for ids, new in zip(held, _ids(t)):
-                    ids += new
+                    ids += new + [n] * WINDOW
                 if len(held[0]) > 200_000:
                     for ids in held:
                         _add_contexts(sums, ids, places, signs)
@@ -110,7 +114,7 @@ def word_vectors(sample: DataFrame, text: str) -> np.ndarray:
         contexts[r.start : r.start + len(part)] = part
     own = np.zeros((n, DIMENSIONS), np.float32)
     for k in range(NONZERO):
-        own[np.arange(n), places[:, k]] += signs[:, k]
+        own[np.arange(n), places[:n, k]] += signs[:n, k]
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     return unit(unit(contexts) + unit(own)).astype(np.float32)
 
@@ -196,7 +200,7 @@ def trained(docs: DataFrame, labels: DataFrame, usable: Column, text: str, doc_i
     id_type = sample.schema["doc_id"].dataType.simpleString()
     got = sample.select("doc_id", "label", "text").mapInArrow(features, f"doc_id {id_type}, label double, x binary").collect()  # the bounded sample: half a KB a row
     got.sort(key=lambda r: (r.doc_id, r.x))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), 2 * DIMENSIONS + 2)
     return vectors, fitted(x, np.array([float(r.label > 0) for r in got]))
 
 
