@@ -18,6 +18,13 @@ is a spanning forest of each group, never its pairs.  A key with more than
 own.  Components come from alternating large-star and small-star rounds, whose
 minima are partial aggregates.
 
+Wider links.  `similar` finds documents whose shingle sets are alike in
+`SIMILARITY` or more: such pairs differ in about 10 of 64 bits, too many for
+banded keys.  Its keys are TABLES fixed random choices of KEY_BITS bits, of
+which a pair at the threshold shares one with about 95 % probability; pivots
+discard and bits verify as before, and a second sketch of WIDE further bits
+confirms each link, so that unlike documents never meet.
+
 Defined results: null or empty texts have no shingle and fingerprint zero, and
 are linked like any other; fewer words than a shingle has make one shingle; a
 row without an id keeps a null id and takes part as a member only; repeated
@@ -37,29 +44,58 @@ from lodestone.llm.common import written
 
 SHINGLE, SEED, MOST = 3, 42, 3
 PIVOTS, HOT = 24, 2_000
+#: For links of similar shingle sets: bits of 64, and of the 256 of both sketches, that may differ.
+SIMILAR_SHINGLE, SIMILAR_MOST, WIDE, WIDE_MOST = 5, 13, 192, 44
+TABLES, KEY_BITS = 64, 16
 CHUNK = 50_000  # hashes whose bits are counted at once
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text as an unsigned number; `data` is UTF-8."""
+def _hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Shingle hashes of one text in chunks; `data` is UTF-8, equal shingles repeat."""
     from xxhash import xxh64_intdigest as h
 
     words = data.lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return
     n = max(len(words) - shingle + 1, 1)
     line = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[min(shingle, len(words)) - 1 :]
-    sums = np.zeros(64, np.int64)
     for s in range(0, n, CHUNK):
-        hashes = [h(line[a:b], SEED) for a, b in zip(starts[s : min(s + CHUNK, n)].tolist(), last[s : min(s + CHUNK, n)].tolist())]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([h(line[a:b], SEED) for a, b in zip(starts[s : min(s + CHUNK, n)].tolist(), last[s : min(s + CHUNK, n)].tolist())], np.uint64)
+
+
+def _bit_sums(hashes: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _majority(sums: np.ndarray, n: int) -> int:
     return int(sum(1 << j for j in np.flatnonzero(2 * sums > n).tolist()))
 
 
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text as an unsigned number."""
+    sums, n = np.zeros(64, np.int64), 0
+    for hashes in _hashes(data, shingle):
+        sums, n = sums + _bit_sums(hashes), n + len(hashes)
+    return _majority(sums, n)
+
+
+def sketches(data: bytes, shingle: int) -> tuple[int, bytes]:
+    """The fingerprint, and WIDE more bits from further mixes of the same hashes."""
+    parts, n = np.zeros((1 + WIDE // 64, 64), np.int64), 0
+    for hashes in _hashes(data, shingle):
+        n += len(hashes)
+        for k in range(len(parts)):
+            parts[k] += _bit_sums(hashes)
+            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+            hashes ^= hashes >> np.uint64(29)
+    fps = [_majority(x, n) for x in parts]
+    return fps[0], b"".join(x.to_bytes(8, "little") for x in fps[1:])
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
@@ -82,6 +118,11 @@ def _masks() -> list[int]:
     return out
 
 
+def _random_masks() -> list[int]:
+    rng = np.random.default_rng(5)
+    return [sum(1 << int(i) for i in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -91,16 +132,18 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(4).integers(0, 2**64, n, np.uint64)
 
 
-def forest(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+def forest(fps: np.ndarray, table: np.ndarray, most: int, wide: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Edges (by place) that connect what links connect among these nodes.
 
     Places are visited breadth first.  A visited node is compared with those
     that no one has reached yet: by the run of near distances to the first
-    pivot, by the largest coordinate difference, then by the bits themselves.
+    pivot, by the largest coordinate difference, then by the bits themselves
+    (and, if given, by those of the wide sketches).
     """
     d = np.bitwise_count(fps[:, None] ^ table[None, :]).astype(np.int8)
     order = np.argsort(d[:, 0], kind="stable")
     fps, d = fps[order], d[order]
+    wide = wide[order] if wide is not None else None
     first, open_ = d[:, 0].copy(), np.ones(len(fps), bool)
     left, right = [], []
     for root in range(len(fps)):
@@ -115,7 +158,11 @@ def forest(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[list[int], li
             if not len(near):
                 continue
             near = near[np.abs(d[near] - d[i]).max(axis=1) <= most]
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= most]
+            bits = np.bitwise_count(fps[near] ^ fps[i])
+            if wide is not None:
+                every = bits + np.bitwise_count(wide[near] ^ wide[i]).sum(axis=1)
+                near, bits = near[every <= WIDE_MOST], bits[every <= WIDE_MOST]
+            near = near[bits <= most]
             open_[near] = False
             left += [int(order[i])] * len(near)
             right += order[near].tolist()
@@ -126,22 +173,22 @@ def forest(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[list[int], li
 def links(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between node ids that connect all nodes within `most` bits.
 
-    nodes: (fp long, node), fingerprints distinct.
+    nodes: (fp long, node), fingerprints distinct; also (wide binary) for more
+    than 3 bits, where links need both sketches to agree.
     """
-    if most > 3:
-        raise ValueError("the key scheme finds links of at most 3 bits")
-    masks = _masks()
+    more = ["wide"] if most > 3 else []
+    masks = _random_masks() if more else _masks()
     keys = F.array(*[F.struct(F.lit(t).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    keyed = nodes.select("fp", "node", F.inline(keys))
-    counts = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    keyed = nodes.select("fp", "node", *more, F.inline(keys))
+    counts = nodes.select(F.inline(keys)).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     counts = written(counts, "keys")
     met = keyed.join(counts, ["t", "key"])
     chunks = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    own = F.pmod(F.xxhash64("fp", "node"), chunks).cast("int")
     other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))
-    dealt = met.select("fp", "node", "t", "key", own.alias("own"), F.explode(other).alias("other"))
-    grouped = dealt.select("fp", "node", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "t", "key")
-    sorted_ = grouped.repartition("g").sortWithinPartitions("g", "t", "key", "fp").select("g", "key", "t", "fp", "node")
+    dealt = met.select("fp", "node", *more, "t", "key", own.alias("own"), F.explode(other).alias("other"))
+    grouped = dealt.select("fp", "node", *more, F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "t", "key")
+    sorted_ = grouped.repartition("g").sortWithinPartitions("g", "t", "key", "fp").select("g", "key", "t", "fp", "node", *more)
     id_type = nodes.schema["node"].dataType.simpleString()
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +198,11 @@ def links(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
             g, key, t = (rows[c].to_numpy() for c in ("g", "key", "t"))
             cut = np.flatnonzero((g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (t[1:] != t[:-1])) + 1
             fps = rows["fp"].to_numpy().astype(np.uint64)
+            wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), "<u8").reshape(len(fps), -1) if more else None
             a, b = [], []
             for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(g)]]).tolist()):
                 if e - s > 1:
-                    x, y = forest(fps[s:e], table, most)
+                    x, y = forest(fps[s:e], table, most, wide[s:e] if more else None)
                     a += [s + i for i in x]
                     b += [s + i for i in y]
             if a:
@@ -211,12 +259,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(label, "fp").select("doc_id", text_of.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, most: int = SIMILAR_MOST, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id): components over links of similar shingle sets."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [sketches(x.as_py(), shingle) for x in b.column(1)]
+            fps = np.array([x for x, _ in both], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([w for _, w in both], pa.binary())], ["doc_id", "fp", "wide"])
+
+    prints = written(narrow.mapInArrow(mapped, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp bigint, wide binary"), "sketches")
+    nodes = written(prints.groupBy("fp", "wide").agg(F.min("doc_id").alias("node")), "nodes")
+    found = components(links(nodes.filter(F.col("node").isNotNull()), most, hot))
+    label = written(nodes.join(found, "node", "left").select("fp", "wide", F.coalesce("component", "node").alias("component")), "labels")
+    return prints.join(label, ["fp", "wide"]).select("doc_id", F.col("component").alias("component_id"))
+
+
+def _leaders(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    leaders = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_leader")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(leaders, F.col(doc_id) == F.col("_leader"), "left").filter(F.col("_leader").isNotNull() | F.col(doc_id).isNull()).select(*names)
+
+
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
     """The rows whose id names their component; rows without an id stay.
 
     Rows that share an id are one document and stay or go together.
     """
-    found = near_duplicates(docs, text, doc_id, **settings)
-    leaders = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_leader")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(leaders, F.col(doc_id) == F.col("_leader"), "left").filter(F.col("_leader").isNotNull() | F.col(doc_id).isNull()).select(*names)
+    return _leaders(docs, near_duplicates(docs, text, doc_id, **settings), doc_id)
+
+
+def without_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **settings) -> DataFrame:
+    """The same over links of similar shingle sets: one document of each group stays."""
+    return _leaders(docs, similar(docs, text, doc_id, **settings), doc_id)

@@ -163,3 +163,25 @@ def test_query_digests(spark, tmp_path, rows):
     want = collections.Counter((i, n, r, hashlib.sha256(k.encode()).hexdigest()) for (i, k, n, r), c in without_passages(rows).items() for _ in range(c))
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert queries.op1_line_dedup(spark, str(tmp_path)).columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+
+
+def test_similar_texts_meet_and_unlike_ones_do_not(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(40):
+        w = [rnd.choice(words) for _ in range(300)]
+        rows.append((3 * i, " ".join(w)))
+        rows.append((3 * i + 1, " ".join(w).upper()))
+        w[rnd.randrange(300)] = "other"
+        rows.append((3 * i + 2, " ".join(w)))
+    rows += [(500, None), (501, ""), (502, "one two"), (503, "one  TWO"), (504, "one two three")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(d).collect()}
+    assert all(got[3 * i] == got[3 * i + 1] == 3 * i for i in range(40))
+    assert sum(got[3 * i + 2] == 3 * i for i in range(40)) >= 38
+    assert {got[3 * i + 2] for i in range(40)} <= {3 * i for i in range(40)} | {3 * i + 2 for i in range(40)}
+    assert (got[500], got[501], got[502], got[503], got[504]) == (500, 500, 502, 502, 504)
+    assert {r.doc_id: r.component_id for r in simhash.similar(d, hot=1).collect()} == got
+    assert simhash.similar(d.limit(0)).count() == 0
+    assert {r.doc_id for r in simhash.without_similar(d).collect()} == set(got.values())
