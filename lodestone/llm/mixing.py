@@ -7,9 +7,9 @@ odds p / (1 - p) of their inclusion probability, and the lowest ranks are taken
 up to the number of words that is left.
 
 Nothing is ordered in one place.  A histogram over the rank's leading bits
-finds, per source, the bucket in which the sample ends; a second histogram over
-the next bits refines that bucket.  Both are partial aggregates, so a source
-that holds a third of all rows costs no more than its share.  The document
+finds, per source, the bucket in which the sample ends; two more over the next
+bits refine that bucket.  All are partial aggregates of at most 256 buckets a
+source, so one that holds a third of all rows costs no more than its share.  The document
 nearest in size to what is still missing closes the sample.
 
 Defined results: a null text has size 0; a null source is a source of its own,
@@ -29,7 +29,8 @@ from lodestone.llm.common import SPACES, written
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MAX_REPEAT = 1.5, 2
 KEY = ["source", "no_source"]
-BITS = 12  # of each of the two histograms: 4,096 buckets a source
+LEVEL_BITS, LEVELS = 8, 3  # each histogram has 256 buckets a source
+STEPS = 2 ** (LEVEL_BITS * LEVELS)
 
 
 def word_count(text: Column) -> Column:
@@ -76,12 +77,12 @@ def _unit(doc_id: Column, seed: int) -> Column:
 
 
 def _rank(unit: Column, p: Column) -> Column:
-    """The quotient of odds on a grid of 2 ** (2 * BITS) steps.
+    """The quotient of odds on a grid of 2 ** 24 steps.
 
     q in [0, inf) becomes q / (1 + q) in [0, 1), which keeps its order.
     """
     q = (unit / (1 - unit)) / (p / (1 - p))
-    steps = 2 ** (2 * BITS)
+    steps = STEPS
     return F.when(p > 0, F.least((q / (1 + q) * F.lit(float(steps))).cast("bigint"), F.lit(steps - 1))).otherwise(F.lit(steps - 1))
 
 
@@ -94,13 +95,15 @@ def _keyed(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -> D
     )
 
 
-def _running_end(histogram: DataFrame, step: str) -> DataFrame:
-    """Per source: the step in which the running sum of `n` goes above `need`,
-    and what is still needed when that step begins."""
-    w = W.partitionBy(*KEY).orderBy(step).rowsBetween(W.unboundedPreceding, 0)
+def _end(ranked: DataFrame, level: int) -> DataFrame:
+    """Per source: the leading bits of the rank at which the running sum of sizes
+    goes above `need`, and what is still needed when they begin."""
+    step = F.shiftright("rank", LEVEL_BITS * (LEVELS - 1 - level)).alias("end")
+    histogram = ranked.groupBy(*KEY, "need", step).agg(F.sum("size").alias("n"))
+    w = W.partitionBy(*KEY).orderBy("end").rowsBetween(W.unboundedPreceding, 0)
     run = histogram.withColumn("run", F.sum("n").over(w)).filter(F.col("run") > F.col("need"))
-    left = (F.col("need") - (F.col("run") - F.col("n"))).alias("left")
-    return run.groupBy(*KEY).agg(F.min(F.struct(F.col(step).alias("end"), left)).alias("e")).select(*KEY, "e.end", "e.left")
+    need = (F.col("need") - (F.col("run") - F.col("n"))).alias("need")
+    return run.groupBy(*KEY).agg(F.min(F.struct("end", need)).alias("e")).select(*KEY, "e.end", "e.need")
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: float = MAX_REPEAT) -> DataFrame:
@@ -115,12 +118,13 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: fl
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     aim = aim.withColumn("copies", F.floor(ratio).cast("bigint")).withColumn("p", ratio - F.floor(ratio))
     aim = written(aim.withColumn("need", F.col("target") - F.col("copies") * F.col("source_size")), "aim")
-    ranked = sized.join(aim, KEY).withColumn("rank", _rank(F.col("unit"), F.col("p"))).withColumn("coarse", F.shiftright("rank", BITS))
-    coarse = _running_end(ranked.groupBy(*KEY, "need", "coarse").agg(F.sum("size").alias("n")), "coarse")
-    coarse = written(coarse, "coarse")
-    inside = ranked.drop("need").join(coarse.withColumnRenamed("left", "need"), KEY).filter(F.col("coarse") == F.col("end"))
-    fine = _running_end(inside.groupBy(*KEY, "need", "rank").agg(F.sum("size").alias("n")), "rank")
-    cut = written(aim.join(fine, KEY, "left").withColumn("cut", F.coalesce("end", F.when(F.col("p") > 0, F.lit(2 ** (2 * BITS))).otherwise(F.lit(0)))).drop("end"), "cut")
+    ranked = sized.join(aim, KEY).withColumn("rank", _rank(F.col("unit"), F.col("p")))
+    end = written(_end(ranked, 0), "end")
+    for level in range(1, LEVELS):
+        at = F.shiftright("rank", LEVEL_BITS * (LEVELS - level))
+        end = written(_end(ranked.drop("need").join(end, KEY).filter(at == F.col("end")).drop("end"), level), "end")
+    fine = end.select(*KEY, "end", F.col("need").alias("left"))
+    cut = written(aim.join(fine, KEY, "left").withColumn("cut", F.coalesce("end", F.when(F.col("p") > 0, F.lit(STEPS)).otherwise(F.lit(0)))).drop("end"), "cut")
     rest = sized.join(cut.filter(F.col("left") > 0), KEY).filter(_rank(F.col("unit"), F.col("p")) >= F.col("cut"))
     off = F.abs(F.col("size") - F.col("left"))
     nearest = rest.filter(off < F.col("left")).groupBy(*KEY).agg(F.min(F.struct(off.alias("off"), F.col("unit"))).alias("best"))
