@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import exact_search, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens
 from lodestone.llm.common import crc_mod
+from lodestone.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,5 +69,3 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
-
-ORACLES: dict[str, str] = {}
