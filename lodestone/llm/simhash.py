@@ -46,7 +46,7 @@ SHINGLE, SEED, MOST = 3, 42, 3
 PIVOTS, HOT = 24, 2_000
 #: For links of similar shingle sets: bits of 64, and of the 256 of both sketches, that may differ.
 SIMILAR_SHINGLE, SIMILAR_MOST, WIDE, WIDE_MOST = 5, 13, 192, 44
-TABLES, KEY_BITS = 64, 16
+TABLES, KEY_BITS = 48, 16
 CHUNK = 50_000  # hashes whose bits are counted at once
 
 
@@ -178,25 +178,26 @@ def links(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
     """
     more = ["wide"] if most > 3 else []
     masks = _random_masks() if more else _masks()
-    keys = F.array(*[F.struct(F.lit(t).cast("tinyint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    keyed = nodes.select("fp", "node", *more, F.inline(keys))
-    counts = nodes.select(F.inline(keys)).groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
+    # Keys with more than `hot` nodes are few; the planner broadcasts them if their table is small.
+    counts = nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     counts = written(counts, "keys")
-    met = keyed.join(counts, ["t", "key"])
-    chunks = F.ceil(F.col("n") / F.lit(hot)).cast("int")
+    met = nodes.select("fp", "node", *more, F.explode(keys).alias("key")).join(counts, "key", "left")
+    chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(hot)).cast("int")
     own = F.pmod(F.xxhash64("fp", "node"), chunks).cast("int")
-    other = F.when(chunks == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))
-    dealt = met.select("fp", "node", *more, "t", "key", own.alias("own"), F.explode(other).alias("other"))
-    grouped = dealt.select("fp", "node", *more, F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "t", "key")
-    sorted_ = grouped.repartition("g").sortWithinPartitions("g", "t", "key", "fp").select("g", "key", "t", "fp", "node", *more)
+    # A chunk of a hot key meets every chunk of it, itself included; other keys have one chunk.
+    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.xxhash64("key", F.least(own, x), F.greatest(own, x)))
+    groups = F.when(F.col("n").isNull(), F.array("key")).otherwise(others)
+    dealt = met.select(F.explode(groups).alias("g"), "fp", "node", *more)
+    sorted_ = dealt.repartition("g").sortWithinPartitions("g", "fp")
     id_type = nodes.schema["node"].dataType.simpleString()
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = pivots(), None
 
         def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            g, key, t = (rows[c].to_numpy() for c in ("g", "key", "t"))
-            cut = np.flatnonzero((g[1:] != g[:-1]) | (key[1:] != key[:-1]) | (t[1:] != t[:-1])) + 1
+            g = rows["g"].to_numpy()
+            cut = np.flatnonzero(g[1:] != g[:-1]) + 1
             fps = rows["fp"].to_numpy().astype(np.uint64)
             wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), "<u8").reshape(len(fps), -1) if more else None
             a, b = [], []
