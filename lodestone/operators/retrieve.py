@@ -32,16 +32,23 @@ def query_terms(asked: DataFrame, text: str = "title") -> DataFrame:
 
 
 class Index:
-    """Lazy postings of (unit, text) rows, limited to the terms that are asked for."""
+    """Lazy postings of (unit, text) rows, limited to the terms that are asked for.
+
+    Every unit also posts the empty term, so that document frequencies, the
+    number of units and their mean length all come from one shuffle of
+    postings, which the planner reuses: texts are read and cut into tokens once.
+    """
 
     def __init__(self, units: DataFrame, text: Column, terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)):
         self.keys, self.terms = list(keys), terms
         tok = units.select(*self.keys, T.tokens(text).alias("toks")).withColumn("len", F.size("toks"))
-        self.stats = tok.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-        wanted = terms.select("term").distinct()
-        each = tok.select(*self.keys, "len", F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
+        wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        each = tok.select(*self.keys, "len", F.explode(F.concat("toks", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
         self.postings = each.groupBy(*self.keys, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self.df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        empty = F.col("term") == ""
+        whole = F.sum(F.when(empty, F.col("len")))
+        self.stats = self.postings.agg(F.count_if(empty).alias("n"), (whole / F.sum(F.when(empty, F.col("tf")))).alias("avg_len"))
+        self.df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), F.sum("len").alias("lengths"))
 
     def matches(self) -> DataFrame:
         """One row a (query, unit, shared term) with all that a term score needs."""
@@ -64,12 +71,25 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B, text:
     return Index(docs, document_text() if text is None else text, terms).scores(k1, b)
 
 
-def grid(docs: DataFrame, terms: DataFrame, configs: DataFrame) -> DataFrame:
-    """Scores of many (config_id, k1, b) in one pass; configs is a literal table."""
-    m = Index(docs, document_text(), terms).matches().join(F.broadcast(configs))
-    norm = F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("len") / F.col("avg_len"))
-    each = F.col("qtf") * M.idf(F.col("n"), F.col("df")) * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + norm)
-    return m.groupBy("config_id", "q_id", "doc_id").agg(F.round(F.sum(each), 9).alias("score"))
+def grid_ranks(docs: DataFrame, terms: DataFrame, gold: DataFrame, configs: list[tuple[str, float, float]]) -> DataFrame:
+    """(config_id, q_id, rank or null) of each question's gold document for many (k1, b).
+
+    One pass: every configuration is a column of one aggregate, and a rank is
+    one plus the number of documents that come before, so nothing is sorted.
+    """
+    m = Index(docs, document_text(), terms).matches()
+    part = lambda k1, b: F.col("qtf") * M.bm25_term(M.idf(F.col("n"), F.col("df")), F.col("tf"), M.bm25_norm(F.col("len"), F.col("avg_len"), k1, b), k1)
+    wide = m.groupBy("q_id", "doc_id").agg(F.array(*[F.round(F.sum(part(k1, b)), 9) for _, k1, b in configs]).alias("s"))
+    return ranks_of(wide, gold, [name for name, _, _ in configs])
+
+
+def ranks_of(wide: DataFrame, gold: DataFrame, names: list[str]) -> DataFrame:
+    """wide: (q_id, doc_id, s array of scores by name) -> (config_id, q_id, rank or null)."""
+    own = wide.join(gold.select("q_id", F.col("gold").alias("doc_id")), ["q_id", "doc_id"]).select("q_id", F.col("doc_id").alias("gold"), F.col("s").alias("g"))
+    before = lambda i: F.count_if((F.col("s")[i] > F.col("g")[i]) | ((F.col("s")[i] == F.col("g")[i]) & (F.col("doc_id") < F.col("gold"))))
+    counts = wide.join(own, "q_id").groupBy("q_id").agg(*[(before(i) + 1).alias(f"r{i}") for i in range(len(names))])
+    every = gold.select("q_id").join(counts, "q_id", "left")
+    return every.select("q_id", F.inline(F.array(*[F.struct(F.lit(n).alias("config_id"), F.col(f"r{i}").alias("rank")) for i, n in enumerate(names)])))
 
 
 def length_band(docs: DataFrame, terms: DataFrame, short_b: float = 0.55, long_b: float = 0.95, base_b: float = B, short: float = 0.75, long: float = 1.35, k1: float = K1) -> DataFrame:

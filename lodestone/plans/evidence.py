@@ -292,8 +292,11 @@ RANKED = "gr AS MATERIALIZED (SELECT gold.q_id, br.rank FROM gold LEFT JOIN br O
 
 @query(S.query([S.BM25, S.GOLD, RANKED], f"SELECT {METRICS} FROM gr"))
 def retrieval_metrics(spark, d):
+    from lodestone.operators import retrieve
+
     s = Setting(spark, d)
-    return evaluate.retrieval_metrics(evaluate.gold_ranks(s.asked, s.gold, s.bm25()))
+    wide = retrieve.bm25(s.docs, s.terms).select("q_id", "doc_id", F.array("score").alias("s"))
+    return evaluate.retrieval_metrics(retrieve.ranks_of(wide, s.gold, ["bm25"]))
 
 
 _GRID_VALUES = [(f"k{k}_b{b}".replace(".", "_"), k, b) for k in (0.9, 1.2, 1.5) for b in (0.55, 0.75, 0.95)]
@@ -308,10 +311,7 @@ def _grid(spark, d):
     from lodestone.operators import retrieve
 
     s = Setting(spark, d)
-    configs = spark.createDataFrame(_GRID_VALUES, "config_id string, k1 double, b double")
-    r = retrieve.ranked(retrieve.grid(s.docs, s.terms, configs), None, ["config_id", "q_id"])
-    wanted = s.gold.select("q_id", F.col("gold").alias("doc_id")).join(F.broadcast(configs.select("config_id")))
-    return wanted.join(r.select("config_id", "q_id", "doc_id", "rank"), ["config_id", "q_id", "doc_id"], "left")
+    return retrieve.grid_ranks(s.docs, s.terms, s.gold, _GRID_VALUES)
 
 
 @query(S.query(_GRID, f"SELECT config_id, {METRICS} FROM gg GROUP BY config_id"))

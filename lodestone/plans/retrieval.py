@@ -79,8 +79,8 @@ def bm25_postings(spark, d):
     i = retrieve.Index(s.docs, retrieve.document_text(), s.terms)
     from lodestone.functions import metrics as M
 
-    per = i.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).join(F.broadcast(i.stats))
-    return per.select("term", "df", "tf", F.round(M.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    per = i.df.filter("term <> ''").join(F.broadcast(i.stats))
+    return per.select("term", "df", F.col("total").alias("tf"), F.round(M.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(S.query([S.BM25], f"{SHOW} br WHERE rank <= 10"))
