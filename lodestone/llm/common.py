@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -27,7 +28,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = worker_cache("scratch")
     if "dir" not in held:
-        held["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        local = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        held["dir"] = "file://" + local
     return held["dir"]
 
 

@@ -5,8 +5,8 @@ All 1- to 4-grams of code points fall into 2 ** BITS buckets by a multiplicative
 hash, computed for a whole batch of texts in numpy.  Training adds up bucket
 counts per language over a bounded sample of the learning rows (at most
 `max_rows` a language, drawn by a hash of the id; a rarer language keeps all its
-rows).  The matrix of log probabilities is broadcast: languages x 2 ** BITS
-floats, whatever the size of the corpus.
+rows).  The matrix of log probabilities is broadcast: at most MAX_LANGUAGES
+x 2 ** BITS floats, whatever the size of the corpus.
 
 Defined results: a text that is null or has no letter gives `und` with score 0;
 if nothing can be learned, every text does.  The score is the winner's share of
@@ -26,6 +26,7 @@ from lodestone.llm.common import worker_cache
 
 BITS, ORDERS, SMOOTHING = 16, (1, 2, 3, 4), 0.5
 MAX_ROWS = 15_000  # of each language that the model learns from
+MAX_LANGUAGES = 256  # the most frequent ones are learned; bounds the model
 UNKNOWN = "und"
 CHUNK = 1_000_000  # characters handled at once
 
@@ -80,7 +81,8 @@ def _counts(codes: np.ndarray, bits: int) -> np.ndarray:
 def trained(rows: DataFrame, text: str, label: str, bits: int = BITS, max_rows: int = MAX_ROWS, order: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages by code point, and their log probabilities (languages x buckets)."""
     usable = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(order)).alias("h")).filter("label is not null and text is not null")
-    share = usable.groupBy("label").count().select("label", F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("count")).alias("share"))
+    frequent = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
+    share = frequent.select("label", F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("count")).alias("share"))
     unit = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(2**53))
     share = share.cache()
     languages = sorted(r.label for r in share.select("label").collect())

@@ -124,3 +124,13 @@ def test_pipeline_stages(spark, tmp_path, rows):
     assert pieces.agg(F.sum("length")).first()[0] > 0
     gone = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(1, "a b c d", "x"), (2, "A b  c d", "x"), (3, "z", "x")], "doc_id bigint, text string, source string"), "")
     assert {r.doc_id for r in gone.collect()} == {1, 3}
+
+
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for k, data in enumerate(([], [(None, None, None, None, None), (1, None, None, None, None), (1, "", "en", "a", 0)])):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs_out = stage(spark, docs, "")
+            assert docs_out.columns == docs.columns and docs_out.count() <= 2 * len(data), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(data)
