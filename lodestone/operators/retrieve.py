@@ -35,8 +35,9 @@ class Index:
     """Lazy postings of (unit, text) rows, limited to the terms that are asked for.
 
     Every unit also posts the empty term, so that document frequencies, the
-    number of units and their mean length all come from one shuffle of
-    postings, which the planner reuses: texts are read and cut into tokens once.
+    number of units and their mean length all come from postings.  The planner
+    reuses their shuffle where the plans agree (two of three uses in the
+    executed plan of a plain search).
     """
 
     def __init__(self, units: DataFrame, text: Column, terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)):
