@@ -19,11 +19,11 @@ own.  Components come from alternating large-star and small-star rounds, whose
 minima are partial aggregates.
 
 Wider links.  `similar` finds documents whose shingle sets are alike in
-`SIMILARITY` or more: such pairs differ in about 10 of 64 bits, too many for
-banded keys.  Its keys are TABLES fixed random choices of KEY_BITS bits, of
-which a pair at the threshold shares one with about 95 % probability; pivots
-discard and bits verify as before, and a second sketch of WIDE further bits
-confirms each link, so that unlike documents never meet.
+`SIMILARITY` or more: such pairs differ in about 39 of 256 bits, too many for
+banded keys.  Its keys are TABLES fixed random choices of KEY_BITS of the 256
+bits.  Under the sign-angle model a pair at the threshold shares one in about 99 %
+of cases; sets of a few shingles
+do so less often.  This is the only step that can miss a pair.
 
 Defined results: null or empty texts have no shingle and fingerprint zero, and
 are linked like any other; fewer words than a shingle has make one shingle; a
@@ -33,20 +33,22 @@ rows share a fingerprint and hence a component.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 
 SHINGLE, SEED, MOST = 3, 42, 3
 PIVOTS, HOT = 24, 2_000
-#: For links of similar shingle sets: bits of 64, and of the 256 of both sketches, that may differ.
-SIMILAR_SHINGLE, SIMILAR_MOST, WIDE, WIDE_MOST = 5, 13, 192, 44
-TABLES, KEY_BITS = 48, 16
+#: For candidates of similar shingle sets: words of 64 bits, and bits of all of them that may differ.
+SIMILAR_SHINGLE, WORDS, WIDE_MOST = 5, ("fp", "w1", "w2", "w3"), 44
+TABLES, KEY_BITS = 96, 16
+SMALL = 64  # nodes of a key whose pairs are all compared at once
 CHUNK = 50_000  # hashes whose bits are counted at once
 
 
@@ -83,17 +85,21 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return _majority(sums, n)
 
 
-def sketches(data: bytes, shingle: int) -> tuple[int, bytes]:
-    """The fingerprint, and WIDE more bits from further mixes of the same hashes."""
-    parts, n = np.zeros((1 + WIDE // 64, 64), np.int64), 0
-    for hashes in _hashes(data, shingle):
-        n += len(hashes)
-        for k in range(len(parts)):
-            parts[k] += _bit_sums(hashes)
-            hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
-            hashes ^= hashes >> np.uint64(29)
-    fps = [_majority(x, n) for x in parts]
-    return fps[0], b"".join(x.to_bytes(8, "little") for x in fps[1:])
+def hash_set(data: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of one text, in order."""
+    parts = list(_hashes(data, shingle))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def sketches(hashes: np.ndarray) -> list[int]:
+    """A word of 64 majority bits from each of len(WORDS) mixes of distinct hashes."""
+    out = []
+    for _ in WORDS:
+        sums = sum((_bit_sums(hashes[s : s + CHUNK]) for s in range(0, len(hashes), CHUNK)), np.zeros(64, np.int64))
+        out.append(_majority(sums, len(hashes)))
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)
+        hashes ^= hashes >> np.uint64(29)
+    return out
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -118,9 +124,11 @@ def _masks() -> list[int]:
     return out
 
 
-def _random_masks() -> list[int]:
+def _random_masks() -> list[list[int]]:
+    """For each table a mask of every word, KEY_BITS bits in all."""
     rng = np.random.default_rng(5)
-    return [sum(1 << int(i) for i in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
+    chosen = [rng.choice(64 * len(WORDS), KEY_BITS, replace=False).tolist() for _ in range(TABLES)]
+    return [[sum(1 << i % 64 for i in bits if i // 64 == w) for w in range(len(WORDS))] for bits in chosen]
 
 
 def _signed(x: int) -> int:
@@ -132,18 +140,16 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(4).integers(0, 2**64, n, np.uint64)
 
 
-def forest(fps: np.ndarray, table: np.ndarray, most: int, wide: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+def forest(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     """Edges (by place) that connect what links connect among these nodes.
 
     Places are visited breadth first.  A visited node is compared with those
     that no one has reached yet: by the run of near distances to the first
-    pivot, by the largest coordinate difference, then by the bits themselves
-    (and, if given, by those of the wide sketches).
+    pivot, by the largest coordinate difference, then by the bits themselves.
     """
     d = np.bitwise_count(fps[:, None] ^ table[None, :]).astype(np.int8)
     order = np.argsort(d[:, 0], kind="stable")
     fps, d = fps[order], d[order]
-    wide = wide[order] if wide is not None else None
     first, open_ = d[:, 0].copy(), np.ones(len(fps), bool)
     left, right = [], []
     for root in range(len(fps)):
@@ -158,11 +164,7 @@ def forest(fps: np.ndarray, table: np.ndarray, most: int, wide: np.ndarray | Non
             if not len(near):
                 continue
             near = near[np.abs(d[near] - d[i]).max(axis=1) <= most]
-            bits = np.bitwise_count(fps[near] ^ fps[i])
-            if wide is not None:
-                every = bits + np.bitwise_count(wide[near] ^ wide[i]).sum(axis=1)
-                near, bits = near[every <= WIDE_MOST], bits[every <= WIDE_MOST]
-            near = near[bits <= most]
+            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= most]
             open_[near] = False
             left += [int(order[i])] * len(near)
             right += order[near].tolist()
@@ -170,58 +172,122 @@ def forest(fps: np.ndarray, table: np.ndarray, most: int, wide: np.ndarray | Non
     return left, right
 
 
+def _reached(n: int, near) -> tuple[list[int], list[int]]:
+    """A spanning forest of places 0..n-1; near(i, places) says which of these are linked to i."""
+    open_, left, right = np.ones(n, bool), [], []
+    for root in range(n):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        stack = [root]
+        while stack and len(others := np.flatnonzero(open_)):
+            i = stack.pop()
+            found = others[near(i, others)]
+            open_[found] = False
+            left += [i] * len(found)
+            right += found.tolist()
+            stack += found.tolist()
+    return left, right
+
+
+def wide_forest(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """The same for sketches of several words, in each of many groups of rows."""
+    left, right = [], []
+    for s, e in zip(starts[ends - starts > SMALL].tolist(), ends[ends - starts > SMALL].tolist()):
+        w = words[s:e]
+        x, y = _reached(e - s, lambda i, others: np.bitwise_count(w[others] ^ w[i]).sum(axis=1) <= most)  # noqa: B023
+        left += [s + i for i in x]
+        right += [s + i for i in y]
+    small = (ends - starts > 1) & (ends - starts <= SMALL)
+    end = np.repeat(np.where(small, ends, 0), ends - starts)
+    i, parent = np.flatnonzero(end), {}
+
+    def find(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    for step in range(1, SMALL):  # all pairs of all small groups that are `step` rows apart
+        i = i[end[i] > i + step]
+        if not len(i):
+            break
+        for a in i[np.bitwise_count(words[i] ^ words[i + step]).sum(axis=1) <= most].tolist():
+            if (x := find(a)) != (y := find(a + step)):
+                parent[y] = x
+                left.append(a)
+                right.append(a + step)
+    return left, right
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows sorted by `g` as tables of whole groups, with where each group starts and ends."""
+
+    def cut(rows: pa.Table):
+        g = rows["g"].to_numpy()
+        at = np.flatnonzero(g[1:] != g[:-1]) + 1
+        return rows, np.concatenate([[0], at]), np.concatenate([at, [len(g)]])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        g = rows["g"].to_numpy()
+        last = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0
+        if last:
+            yield cut(rows.slice(0, last))
+        held = rows.slice(last).combine_chunks()
+    if held is not None:
+        yield cut(held)
+
+
+def _edges(rows: pa.Table, left: list[int], right: list[int]) -> pa.RecordBatch:
+    node = rows["node"].combine_chunks()
+    return pa.RecordBatch.from_arrays([node.take(pa.array(left, pa.int64())), node.take(pa.array(right, pa.int64()))], ["a", "b"])
+
+
+def _chunk_pairs(own: Column, chunks: Column, key: Column) -> Column:
+    """Groups of a row of chunk `own`: a chunk of a hot key meets every chunk of it, itself included."""
+    return F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.xxhash64(key, F.least(own, x), F.greatest(own, x)))
+
+
 def links(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between node ids that connect all nodes within `most` bits.
 
-    nodes: (fp long, node), fingerprints distinct; also (wide binary) for more
-    than 3 bits, where links need both sketches to agree.
+    nodes: (fp long, node), fingerprints distinct; for more than 3 bits all of
+    WORDS, whose bits count together.
     """
-    more = ["wide"] if most > 3 else []
-    masks = _random_masks() if more else _masks()
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
+    more = list(WORDS[1:]) if most > 3 else []
+    part = lambda c, m: F.col(c).bitwiseAND(F.lit(_signed(m)))
+    masks = _random_masks() if more else [[m] for m in _masks()]
+    keys = F.array(*[F.xxhash64(F.lit(t), *[part(c, x) for c, x in zip(WORDS, m) if x]) for t, m in enumerate(masks)])
     # Keys with more than `hot` nodes are few; the planner broadcasts them if their table is small.
     counts = nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
     counts = written(counts, "keys")
     met = nodes.select("fp", "node", *more, F.explode(keys).alias("key")).join(counts, "key", "left")
     chunks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(hot)).cast("int")
     own = F.pmod(F.xxhash64("fp", "node"), chunks).cast("int")
-    # A chunk of a hot key meets every chunk of it, itself included; other keys have one chunk.
-    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.xxhash64("key", F.least(own, x), F.greatest(own, x)))
-    groups = F.when(F.col("n").isNull(), F.array("key")).otherwise(others)
+    groups = F.when(F.col("n").isNull(), F.array("key")).otherwise(_chunk_pairs(own, chunks, F.col("key")))
     dealt = met.select(F.explode(groups).alias("g"), "fp", "node", *more)
     sorted_ = dealt.repartition("g").sortWithinPartitions("g", "fp")
     id_type = nodes.schema["node"].dataType.simpleString()
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = pivots(), None
-
-        def edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            g = rows["g"].to_numpy()
-            cut = np.flatnonzero(g[1:] != g[:-1]) + 1
-            fps = rows["fp"].to_numpy().astype(np.uint64)
-            wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), "<u8").reshape(len(fps), -1) if more else None
+        table = pivots()
+        for rows, starts, ends in _whole_groups(batches):
+            words = np.stack([rows[c].to_numpy().astype(np.uint64) for c in ["fp", *more]], axis=1)
             a, b = [], []
-            for s, e in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(g)]]).tolist()):
-                if e - s > 1:
-                    x, y = forest(fps[s:e], table, most, wide[s:e] if more else None)
-                    a += [s + i for i in x]
-                    b += [s + i for i in y]
+            if more:
+                a, b = wide_forest(words, starts, ends, most)
+            else:
+                for s, e in zip(starts.tolist(), ends.tolist()):
+                    if e - s > 1:
+                        x, y = forest(words[s:e, 0], table, most)
+                        a += [s + i for i in x]
+                        b += [s + i for i in y]
             if a:
-                node = rows["node"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            g = rows["g"].to_numpy()
-            last = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0
-            if last:
-                yield from edges(rows.slice(0, last))
-            held = rows.slice(last).combine_chunks()
-        if held is not None:
-            yield from edges(held)
+                yield _edges(rows, a, b)
 
     return sorted_.mapInArrow(within, f"a {id_type}, b {id_type}")
 
@@ -260,21 +326,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(label, "fp").select("doc_id", text_of.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, most: int = SIMILAR_MOST, hot: int = HOT) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, hot: int = HOT) -> DataFrame:
     """(doc_id, component_id): components over links of similar shingle sets."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [sketches(x.as_py(), shingle) for x in b.column(1)]
-            fps = np.array([x for x, _ in both], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([w for _, w in both], pa.binary())], ["doc_id", "fp", "wide"])
-
-    prints = written(narrow.mapInArrow(mapped, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp bigint, wide binary"), "sketches")
-    nodes = written(prints.groupBy("fp", "wide").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(links(nodes.filter(F.col("node").isNotNull()), most, hot))
-    label = written(nodes.join(found, "node", "left").select("fp", "wide", F.coalesce("component", "node").alias("component")), "labels")
-    return prints.join(label, ["fp", "wide"]).select("doc_id", F.col("component").alias("component_id"))
+            found = [hash_set(x.as_py(), shingle) for x in b.column(1)]
+            words = np.array([sketches(x) for x in found], np.uint64).reshape(-1, len(WORDS)).astype(np.int64)
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array([len(x) for x in found], pa.int64()), *[pa.array(w) for w in words.T]], ["doc_id", "digest", "n", *WORDS])
+
+    sketch = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, digest binary, n bigint, " + ", ".join(f"{w} bigint" for w in WORDS)
+    prints = written(narrow.mapInArrow(mapped, sketch), "sketches")
+    # Equal sets are one node.
+    nodes = written(prints.groupBy("digest", "n", *WORDS).agg(F.min("doc_id").alias("node")), "nodes")
+    named = nodes.filter(F.col("node").isNotNull())
+    found = components(links(named, WIDE_MOST, hot))
+    label = written(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "labels")
+    return prints.join(label, "digest").select("doc_id", F.col("component").alias("component_id"))
 
 
 def _leaders(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:

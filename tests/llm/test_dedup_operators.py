@@ -185,3 +185,13 @@ def test_similar_texts_meet_and_unlike_ones_do_not(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar(d, hot=1).collect()} == got
     assert simhash.similar(d.limit(0)).count() == 0
     assert {r.doc_id for r in simhash.without_similar(d).collect()} == set(got.values())
+
+
+def test_a_pair_at_the_threshold_shares_a_key():
+    """Sign-angle model: bits of sets with Jaccard 0.8 differ with probability acos(2 J / (1 + J)) / pi."""
+    rnd = np.random.default_rng(6)
+    masks = np.array(simhash._random_masks(), np.uint64).reshape(simhash.TABLES, -1)
+    differ = rnd.random((2000, masks.shape[1], 64)) < np.arccos(1.6 / 1.8) / np.pi
+    words = (differ * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+    met = ((words[:, None, :] & masks[None]) == 0).all(axis=2).any(axis=1)
+    assert met.mean() >= 0.98
