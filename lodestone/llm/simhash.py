@@ -22,8 +22,10 @@ Wider links.  `similar` finds documents whose shingle sets are alike in
 `SIMILARITY` or more: such pairs differ in about 39 of 256 bits, too many for
 banded keys.  Its keys are TABLES fixed random choices of KEY_BITS of the 256
 bits.  Under the sign-angle model a pair at the threshold shares one in about 99 %
-of cases; sets of a few shingles
-do so less often.  This is the only step that can miss a pair.
+of cases, and differs in at most WIDE_MOST bits more surely; sets of a few shingles
+do so less often.  This is the only step that can miss a pair.  The texts of
+each candidate component then meet, and exact Jaccard of their shingle sets
+decides every link, so no pair below the threshold is one.
 
 Defined results: null or empty texts have no shingle and fingerprint zero, and
 are linked like any other; fewer words than a shingle has make one shingle; a
@@ -46,8 +48,10 @@ from lodestone.llm.common import written
 SHINGLE, SEED, MOST = 3, 42, 3
 PIVOTS, HOT = 24, 2_000
 #: For candidates of similar shingle sets: words of 64 bits, and bits of all of them that may differ.
-SIMILAR_SHINGLE, WORDS, WIDE_MOST = 5, ("fp", "w1", "w2", "w3"), 44
+SIMILAR_SHINGLE, WORDS, WIDE_MOST = 5, ("fp", "w1", "w2", "w3"), 64
 TABLES, KEY_BITS = 96, 16
+#: Links are confirmed by exact Jaccard; a group of more documents or shingles than these is cut.
+SIMILARITY, HOT_SETS, VOLUME = 0.8, 200, 1_000_000
 SMALL = 64  # nodes of a key whose pairs are all compared at once
 CHUNK = 50_000  # hashes whose bits are counted at once
 
@@ -292,6 +296,54 @@ def links(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
     return sorted_.mapInArrow(within, f"a {id_type}, b {id_type}")
 
 
+def exact_forest(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Edges (by place) that connect what pairs with Jaccard >= least connect; sets are of distinct values."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner_of = owner[np.argsort(term, kind="stable")]
+    start, own = np.cumsum(n) - n, np.split(term, np.cumsum(sizes)[:-1])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        k = n[own[i]]
+        at = np.arange(k.sum()) + np.repeat(start[own[i]] - (np.cumsum(k) - k), k)
+        shared = np.bincount(owner_of[at], minlength=len(sets))[others]
+        return (shared > 0) & (shared / np.maximum(sizes[i] + sizes[others] - shared, 1) >= least)
+
+    return _reached(len(sets), near)
+
+
+def confirmed(candidates: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float, sets: int = HOT_SETS, volume: int = VOLUME) -> DataFrame:
+    """Edges (a, b) that connect all pairs with Jaccard >= least inside a component of candidates.
+
+    candidates: (node, component); nodes: (node, n) with n shingles; docs:
+    (doc_id, data).  A component's texts meet in one group and are compared as
+    exact sets.  One of more than `sets` documents or `volume` shingles is cut
+    into chunks, and every pair of chunks meets.
+    """
+    # A component's first node isn't listed with the others.
+    candidates = candidates.union(candidates.select("component", "component")).distinct()
+    of = written(candidates.join(nodes.groupBy("node").agg(F.sum("n").alias("n")), "node").select("node", "component", "n"), "candidates")
+    size = of.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / sets), F.ceil(F.sum("n") / volume), F.lit(1)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = of.join(size, "component").select("node", F.explode(_chunk_pairs(own, F.col("chunks"), F.col("component"))).alias("g"))
+    texts = docs.join(dealt, F.col("doc_id") == F.col("node")).select("g", "node", "data")
+    id_type = nodes.schema["node"].dataType.simpleString()
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, ends in _whole_groups(batches):
+            a, b = [], []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s > 1:
+                    x, y = exact_forest([hash_set(t.as_py(), shingle) for t in rows["data"].slice(s, e - s)], least)
+                    a += [s + i for i in x]
+                    b += [s + i for i in y]
+            if a:
+                yield _edges(rows, a, b)
+
+    return texts.repartition("g").sortWithinPartitions("g").mapInArrow(within, f"a {id_type}, b {id_type}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node id that each linked node reaches.
 
@@ -326,8 +378,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return prints.join(label, "fp").select("doc_id", text_of.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, hot: int = HOT) -> DataFrame:
-    """(doc_id, component_id): components over links of similar shingle sets."""
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SIMILAR_SHINGLE, least: float = SIMILARITY, hot: int = HOT, sets: int = HOT_SETS) -> DataFrame:
+    """(doc_id, component_id): components over pairs whose shingle sets have Jaccard >= least."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +394,8 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     # Equal sets are one node.
     nodes = written(prints.groupBy("digest", "n", *WORDS).agg(F.min("doc_id").alias("node")), "nodes")
     named = nodes.filter(F.col("node").isNotNull())
-    found = components(links(named, WIDE_MOST, hot))
+    candidates = components(links(named, WIDE_MOST, hot))
+    found = components(confirmed(candidates, named.select("node", "n"), narrow, shingle, least, sets))
     label = written(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "labels")
     return prints.join(label, "digest").select("doc_id", F.col("component").alias("component_id"))
 

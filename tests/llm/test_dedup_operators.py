@@ -195,3 +195,45 @@ def test_a_pair_at_the_threshold_shares_a_key():
     words = (differ * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
     met = ((words[:, None, :] & masks[None]) == 0).all(axis=2).any(axis=1)
     assert met.mean() >= 0.98
+
+
+def near_the_threshold(seed=5, n=150):
+    """Pairs of texts whose five-word shingle sets are alike in about 0.65 to 0.95, and their sets."""
+    rnd = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(n):
+        w = [rnd.choice(words) for _ in range(rnd.choice([60, 150, 400]))]
+        v = list(w)
+        cut = rnd.uniform(0.02, 0.22) * len(w)
+        v[len(w) - int(cut) :] = [rnd.choice(words) for _ in range(int(cut))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    return rows, sets
+
+
+def test_similarity_around_the_threshold(spark):
+    rows, sets = near_the_threshold()
+    jaccard = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(rows), 2)}
+    alike = {i for i, x in jaccard.items() if x >= 0.8}
+    assert sum(0.7 <= x < 0.8 for x in jaccard.values()) > 20 and sum(0.8 <= x < 0.9 for x in jaccard.values()) > 20
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    linked = {i for i in jaccard if got[i] == got[i + 1]}
+    assert all(got[i] == i for i in jaccard) and all(got[i + 1] in (i, i + 1) for i in jaccard)
+    assert linked <= alike, sorted((round(jaccard[i], 3), i) for i in linked - alike)
+    assert len(linked) >= 0.98 * len(alike), sorted((round(jaccard[i], 3), i) for i in alike - linked)
+
+
+def test_repeated_shingles_do_not_make_texts_alike(spark):
+    spam = "buy it now " * 500
+    rows = [(i, spam + " ".join(f"{i}x{k}" for k in range(100))) for i in range(4)]
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(4)]
+
+
+def test_hot_candidate_groups_are_cut_without_loss(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 200 - i] + [f"{i}y{k}" for k in range(i)])) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {r.doc_id: r.component_id for r in simhash.similar(d).collect()}
+    assert {r.doc_id: r.component_id for r in simhash.similar(d, sets=3).collect()} == whole and set(whole.values()) != set(whole)
