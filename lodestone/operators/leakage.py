@@ -54,6 +54,54 @@ def similar_sets(rows: DataFrame, id_: str, terms: Column, threshold: float = 0.
     return both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("left_id", "right_id", F.round("similarity", 4).alias("similarity"), "n_left", "n_right")
 
 
+def near_sets(left: DataFrame, left_id: str, left_terms: Column, right: DataFrame, right_id: str, right_terms: Column, threshold: float = 0.9) -> DataFrame:
+    """(left_id, right_id, similarity): all pairs of rows of two tables whose term sets have Jaccard >= threshold.
+
+    Prefixes of rare terms meet within length bounds, as in `similar_sets`; ids are unique.
+    """
+    sets = lambda d, id_, terms: d.select(F.col(id_).alias("id"), F.array_distinct(terms).alias("terms")).withColumn("n", F.size("terms")).filter("n > 0")
+    a, b = sets(left, left_id, left_terms), sets(right, right_id, right_terms)
+    each = lambda d: d.select("id", "n", F.explode("terms").alias("term"))
+    frequency = each(a).union(each(b).select(F.col("id").cast(a.schema["id"].dataType), "n", "term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = W.partitionBy("id").orderBy("df", "term")
+
+    def prefix(d, side):
+        kept = each(d).join(frequency, "term").withColumn("at", F.row_number().over(by_rarity)).filter(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
+        return kept.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), "term")
+
+    bounds = (F.col("right_n") >= F.ceil(threshold * F.col("left_n"))) & (F.col("right_n") <= F.floor(F.col("left_n") / threshold))
+    candidates = prefix(a, "left").join(prefix(b, "right"), "term").filter(bounds).select("left_id", "right_id").distinct()
+    named = lambda d, side: d.select(F.col("id").alias(f"{side}_id"), F.col("terms").alias(f"{side}_terms"))
+    both = candidates.join(named(a, "left"), "left_id").join(named(b, "right"), "right_id")
+    shared = F.size(F.array_intersect("left_terms", "right_terms"))
+    similarity = shared / (F.size("left_terms") + F.size("right_terms") - shared)
+    return both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("left_id", "right_id", F.round("similarity", 4).alias("similarity"))
+
+
+def contained_passages(passages: DataFrame, passage_id: str, docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
+    """(passage_id, doc_id): all documents that hold the whole normalised passage, word by word; ids are unique.
+
+    A passage is looked up by its first 8, 4 or 1 words, whichever it has, among
+    the word runs of the documents; whole texts decide.
+    """
+    runs = (8, 4, 1)
+    words = F.split("norm", " ")
+    normal = lambda d, id_, name: d.select(F.col(id_).alias(name), T.question_key(F.col(text)).alias("norm")).filter("norm <> ''")
+    key = lambda ws, at, k: F.xxhash64(F.lit(k), F.array_join(F.slice(ws, at, k), " "))
+    asked = normal(passages, passage_id, "_passage").withColumn("_words", words)
+    first = F.coalesce(*[F.when(F.size("_words") >= k, key(F.col("_words"), F.lit(1), k)) for k in runs])
+    asked = asked.select("_passage", F.col("norm").alias("_asked"), first.alias("_key"))
+    held = normal(docs, doc_id, "_doc")
+    split = held.withColumn("_words", words)
+    starts = lambda k: F.when(F.size("_words") >= k, F.sequence(F.lit(1), F.size("_words") - k + 1)).otherwise(F.array().cast("array<int>"))
+    keys_of = lambda k: F.transform(starts(k), lambda i: key(F.col("_words"), i, k))
+    every = F.flatten(F.array(*[keys_of(k) for k in runs]))
+    found = split.select("_doc", F.explode(F.array_distinct(every)).alias("_key")).join(asked.select("_passage", "_key"), "_key").select("_passage", "_doc").distinct()
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    both = found.join(asked.select("_passage", "_asked"), "_passage").join(held, "_doc").filter(F.contains(padded("norm"), padded("_asked")))
+    return both.select(F.col("_passage").alias(passage_id), F.col("_doc").alias(doc_id))
+
+
 def order_hash(seed: str, key: Column) -> Column:
     """A reproducible order that stands in for a seeded shuffle."""
     return F.sha2(F.concat(F.lit(seed + "|"), key.cast("string")).cast("binary"), 256)

@@ -83,6 +83,32 @@ def leakage_report(spark, d):
     return leakage.leakage_report(exact_leakage(spark, d), asked.limit(0), asked)
 
 
+_PASSAGE = f"SELECT b.item_id::VARCHAR AS q_id, d.doc_id FROM benchmark b JOIN documents d ON contains(' ' || {_norm('d.text')} || ' ', ' ' || {_norm('b.text')} || ' ') WHERE {_norm('b.text')} <> ''"
+_NEAR = f"""WITH x AS (SELECT item_id::VARCHAR AS q_id, list_distinct({S.toks('text')}) AS a FROM benchmark), y AS (SELECT doc_id, list_distinct({S.toks('text')}) AS b FROM documents),
+j AS (SELECT q_id, doc_id, len(list_intersect(a, b)) AS shared, len(a) AS n, len(b) AS m FROM x JOIN y ON len(a) > 0 AND len(b) > 0 AND len(b) >= 0.79 * len(a) AND len(b) <= len(a) / 0.79)
+SELECT q_id, doc_id, round(shared / (n + m - shared), 4) AS similarity FROM j WHERE shared / (n + m - shared) >= 0.8"""
+
+
+@query(_PASSAGE)
+def passage_leakage(spark, d):
+    asked = R.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("q_id"), "text")
+    return leakage.contained_passages(asked, "q_id", R.table(spark, d, "documents"), "doc_id")
+
+
+@query(_NEAR)
+def near_leakage(spark, d):
+    terms = T.tokens(F.col("text"))
+    asked = R.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("q_id"), "text")
+    found = leakage.near_sets(asked, "q_id", terms, R.table(spark, d, "documents"), "doc_id", terms, 0.8)
+    return found.select(F.col("left_id").alias("q_id"), F.col("right_id").alias("doc_id"), "similarity")
+
+
+@query(f"WITH c AS (SELECT (SELECT count(*) FROM benchmark) AS rows, (SELECT count(*) FROM ({_PASSAGE})) AS exact, (SELECT count(*) FROM ({_NEAR})) AS near) SELECT *, CASE WHEN exact > 0 OR near > 0 THEN 'leakage_found' ELSE 'clean' END AS decision FROM c")
+def leakage_audit(spark, d):
+    """Passages anywhere in a text, and near copies of whole texts."""
+    return leakage.leakage_report(passage_leakage(spark, d), near_leakage(spark, d), R.table(spark, d, "benchmark"))
+
+
 @query(S.query([*BM25_ROWS, "k AS MATERIALIZED (SELECT q_id, list(place - 1 ORDER BY place) AS a, list(doc_id ORDER BY place) AS d FROM p WHERE place <= 12 GROUP BY q_id)",
     "k3 AS MATERIALIZED (SELECT q_id, a, a[1:3] AS b, a[4:] AS o, d FROM k)", "sl AS (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM k3)",
     "ev_ AS (SELECT q_id, 0 AS o, 'baseline' AS family, b AS idx FROM k3 UNION ALL SELECT q_id, 1, 'delete_slot_' || i, list_concat(b[1 : i - 1], b[i + 1 :]) FROM sl UNION ALL SELECT q_id, 2, 'replace_slot_' || i, list_concat(list_concat(b[1 : i - 1], [x]), b[i + 1 :]) FROM (SELECT *, unnest(o) AS x FROM sl) UNION ALL SELECT q_id, 3, 'append_candidate', list_concat(b, [x]) FROM (SELECT *, unnest(o) AS x FROM k3) WHERE len(b) < 3 UNION ALL SELECT q_id, 4, 'keep_prefix_1', b[1:1] FROM k3 UNION ALL SELECT q_id, 5, 'keep_prefix_2', b[1:2] FROM k3 UNION ALL SELECT q_id, 6, 'document_coverage', list_filter(a, lambda x: list_position(d, d[x + 1]) = x + 1)[1:3] FROM k3)",
