@@ -54,6 +54,20 @@ def similar_sets(rows: DataFrame, id_: str, terms: Column, threshold: float = 0.
     return both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("left_id", "right_id", F.round("similarity", 4).alias("similarity"), "n_left", "n_right")
 
 
+def set_members(rows: DataFrame, id_: str, terms: Column, pairs: DataFrame) -> DataFrame:
+    """(id, representative, members, n_links): every row with terms, beside the pairs of `similar_sets`.
+
+    The representative is the smallest id with an equal set; n_links counts the
+    other classes that are similar to its class.
+    """
+    sets = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(terms)).alias("terms")).filter(F.size("terms") > 0)
+    keyed = sets.select("id", F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("key"))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("members"))
+    links = pairs.select(F.explode(F.array("left_id", "right_id")).alias("representative")).groupBy("representative").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.join(links, "representative", "left")
+    return keyed.join(named, "key").select("id", "representative", "members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_sets(left: DataFrame, left_id: str, left_terms: Column, right: DataFrame, right_id: str, right_terms: Column, threshold: float = 0.9) -> DataFrame:
     """(left_id, right_id, similarity): all pairs of rows of two tables whose term sets have Jaccard >= threshold.
 

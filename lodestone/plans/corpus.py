@@ -42,6 +42,15 @@ def near_duplicate_join(spark, d):
     return leakage.similar_sets(R.table(spark, d, "documents"), "doc_id", T.tokens(F.col("text")), 0.8)
 
 
+@query(f"""WITH p AS ({ORACLES["near_duplicate_join"]}), l AS (SELECT id, count(*) AS n_links FROM (SELECT left_id AS id FROM p UNION ALL SELECT right_id FROM p) GROUP BY id),
+t AS (SELECT doc_id, list_sort(list_distinct({S.toks("text")})) AS terms FROM documents), m AS (SELECT doc_id AS id, min(doc_id) OVER w AS representative, count(*) OVER w AS members FROM t WHERE len(terms) > 0 WINDOW w AS (PARTITION BY terms))
+SELECT m.id, representative, members, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN l ON l.id = representative""")
+def near_duplicate_members(spark, d):
+    """Who is in the classes of near_duplicate_join."""
+    docs = R.table(spark, d, "documents")
+    return leakage.set_members(docs, "doc_id", T.tokens(F.col("text")), near_duplicate_join(spark, d))
+
+
 @query(f"WITH k AS (SELECT doc_id AS id, {_norm('text')} AS norm FROM documents) SELECT id, min(id) OVER (PARTITION BY norm) AS class_id, count(*) OVER (PARTITION BY norm) AS n FROM k QUALIFY n > 1")
 def internal_duplicates(spark, d):
     return leakage.internal_duplicates(R.table(spark, d, "documents"), "doc_id")

@@ -23,3 +23,11 @@ def test_near_join_of_two_tables_changes_the_decision(spark):
     assert sorted((r.left_id, r.right_id, r.similarity) for r in near.collect()) == [("a", 0, 1.0), ("a", 1, 0.9048), ("a", 2, 0.8182)]
     got = leakage.leakage_report(asked.limit(0), near, asked).first()
     assert (got.exact, got.near, got.decision) == (0, 3, "leakage_found")
+
+
+def test_every_member_of_a_class_is_named(spark):
+    words = "a b c d e f g h i j".split()
+    docs = spark.createDataFrame([(7, "x y"), (3, "Y, x x"), (9, "y x"), (1, " ".join(words)), (2, " ".join(words[:9])), (4, " ".join(words[::-1])), (5, ""), (6, "alone")], "doc_id bigint, text string")
+    terms = T.tokens(F.col("text"))
+    got = leakage.set_members(docs, "doc_id", terms, leakage.similar_sets(docs, "doc_id", terms, 0.8)).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 2, 1), (2, 2, 1, 1), (3, 3, 3, 0), (4, 1, 2, 1), (6, 6, 1, 0), (7, 3, 3, 0), (9, 3, 3, 0)]
