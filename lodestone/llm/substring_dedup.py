@@ -20,13 +20,22 @@ a match that would pass `length` words is first cut back by one.  Where the
 matching statistic reaches `length`, the smallest document of the suffix
 interval is the window's first occurrence.
 
-An anchor with more than `hot` distinct segments (boilerplate inside many
-different texts) isn't built into one index: its windows are dealt out one by
-one by a 128-bit hash of their words and added up, so no task holds a group.
+Hot anchors.  An anchor with more than `hot` distinct segments (boilerplate
+inside many different texts) is split before it is indexed.  Windows of one
+anchor are aligned at it, so each has a place from -(length - GRAM) to 0, and
+all windows of a range of places contain the same core: the words from the last
+place to the end of the first window.  A hot key's range of places is halved,
+and each half of a segment goes on under the hash of its core, which has 29
+words after one step and 40, 45, 48, 49 and 50 after the next.  Equal windows
+share every core.  A segment makes two rows a step, halves that became equal are
+added up again, and a core of one document goes no further; at the last step a
+key has one distinct segment.  So each leaf fits an FM-index, and its matches
+climb back over (parent, child) rows.
 
 Defined results: a null or empty text has no words; a row without an id removes
 nothing and loses nothing; rows with equal ids are one document and don't
-remove each other's words; texts shorter than a window stay as they are.
+remove each other's words, whether their texts are equal or not; texts shorter
+than a window stay as they are.
 """
 
 from __future__ import annotations
@@ -90,10 +99,10 @@ def _batches_of_words(column: pa.Array) -> Iterator[tuple[list[int], list[bytes]
 
 
 def _runs(words: list[bytes], starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first window, windows, anchor, document number."""
+    """Runs of windows with one anchor: first window, windows, anchor, document number, place of the anchor."""
     none = np.zeros(0, np.int64)
     if len(words) < length:
-        return none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none
     place, anchor = _anchors(_word_hashes(words), length)
     window = np.arange(len(place))
     doc = np.searchsorted(starts, window, "right") - 1
@@ -106,14 +115,14 @@ def _runs(words: list[bytes], starts: np.ndarray, length: int) -> tuple[np.ndarr
     n = counted[ends] - counted[first]  # windows that don't reach into the next document come first
     keep = n > 0
     first, n = first[keep], n[keep]
-    return first, n, anchor[first], doc[first]
+    return first, n, anchor[first], doc[first], place[first]
 
 
 def _hashes_of(length: int):
     def hashes(batch: pa.RecordBatch) -> list[np.ndarray]:
         out = []
         for _, words, starts in _batches_of_words(batch.column(0)):
-            _, _, anchor, doc = _runs(words, starts, length)
+            _, _, anchor, doc, _ = _runs(words, starts, length)
             if len(anchor):
                 pairs = np.unique(np.stack([doc.astype(np.uint64), anchor], axis=1), axis=0)
                 out += [pairs[:, 1]]
@@ -230,30 +239,36 @@ def first_documents(segments: list[np.ndarray], docs: np.ndarray, symbols: int,
 
 
 def _segments(docs: DataFrame, length: int, shared, bits: int) -> DataFrame:
-    """(anchor, segment id, doc, start, words) of the runs with suspected anchors."""
+    """(key, segment, doc, row, start, at, words) of the runs with suspected anchors.
+
+    `at` is the first window's place, counted from the anchor.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            ids = b.column(0)
-            for rows, words, starts in _batches_of_words(b.column(1)):
-                first, n, anchor, doc = _runs(words, starts, length)
+            ids, hashes = b.column(0), b.column(1)
+            for rows, words, starts in _batches_of_words(b.column(2)):
+                first, n, anchor, doc, place = _runs(words, starts, length)
                 hit = np.flatnonzero(seen_twice(anchor, shared.value, bits))
                 texts = [b" ".join(words[s : s + m + length - 1]) for s, m in zip(first[hit].tolist(), n[hit].tolist())]
                 if texts:
+                    of = pa.array(np.array(rows)[doc[hit]])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(anchor[hit].astype(np.int64)),
                             pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                            ids.take(pa.array(np.array(rows)[doc[hit]])),
+                            ids.take(of),
+                            hashes.take(of),
                             pa.array(first[hit] - starts[doc[hit]]),
+                            pa.array((first - place)[hit].astype(np.int32)),
                             pa.array(texts, pa.binary()),
                         ],
-                        ["anchor", "segment", "doc", "start", "words"],
+                        ["key", "segment", "doc", "row", "start", "at", "words"],
                     )
 
-    return written(docs.mapInArrow(cut, "anchor bigint, segment binary, doc bigint, start bigint, words binary"), "segments")
+    return written(docs.mapInArrow(cut, "key bigint, segment binary, doc bigint, row bigint, start bigint, at int, words binary"), "segments")
 
 
 def _indexed(distinct: DataFrame, length: int, shard_words: int) -> DataFrame:
@@ -280,71 +295,101 @@ def _indexed(distinct: DataFrame, length: int, shard_words: int) -> DataFrame:
         if held:
             yield from shard(held)
 
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "segment", "low", "high", "words")
+    dealt = distinct.repartition("key").sortWithinPartitions("key").select("key", "segment", "low", "high", "words")
     return dealt.mapInArrow(search, "segment binary, firsts array<bigint>")
 
 
-def _added_up(distinct: DataFrame, length: int) -> DataFrame:
-    """The same for segments of hot anchors, by a hash of each window."""
+def halves(words: list[bytes], at: int, lo: int, hi: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """The two halves of a segment of windows at places `at` and on, within lo..hi.
+
+    Yields (lo, hi, first place, last place) of each half that has a window.
+    """
+    end, middle = at + len(words) - length, (lo + hi) // 2
+    for a, z in ((lo, middle), (middle + 1, hi)):
+        if max(at, a) <= min(end, z):
+            yield a, z, max(at, a), min(end, z)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        def batch(rows: tuple) -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["segment", "at", "window", "low", "high"])
+def _split(hot: DataFrame, length: int) -> DataFrame:
+    """Both halves of the segments of hot keys, each under its core: (parent, shift) say where from."""
 
-        rows: tuple = ([], [], [], [], [])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        kinds = {"parent": pa.binary(), "shift": pa.int64(), "key": pa.int64(), "segment": pa.binary(), "low": pa.int64(), "high": pa.int64(), "at": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "words": pa.binary()}
         for b in batches:
-            for segment, low, high, data in zip(*(b.column(c).to_pylist() for c in ("segment", "low", "high", "words"))):
+            out = []
+            for parent, low, high, at, lo, hi, data in zip(*(b.column(c).to_pylist() for c in ("segment", "low", "high", "at", "lo", "hi", "words"))):
                 words = data.split(b" ")
-                n = len(words) - length + 1
-                keys = [xxhash.xxh3_128_digest(b" ".join(words[i : i + length])) for i in range(n)]
-                for x, new in zip(rows, ([segment] * n, range(n), keys, [low] * n, [high] * n)):
-                    x += new
-                if len(rows[0]) >= 20_000:
-                    yield batch(rows)
-                    rows = ([], [], [], [], [])
-        if rows[0]:
-            yield batch(rows)
+                for a, z, s, e in halves(words, at, lo, hi, length):
+                    part, core = b" ".join(words[s - at : e - at + length]), b" ".join(words[z - at : a - at + length])
+                    where = a.to_bytes(4, "little", signed=True) + s.to_bytes(4, "little", signed=True)
+                    key = xxhash.xxh3_64_intdigest(where[:4] + core) - (1 << 63)
+                    out.append((parent, s - at, key, xxhash.xxh3_128_digest(where + part), low, high, s, a, z, part))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds.values())], list(kinds))
+
+    return hot.mapInArrow(split, "parent binary, shift bigint, key bigint, segment binary, low bigint, high bigint, at int, lo int, hi int, words binary")
+
 
-    each = written(distinct.mapInArrow(windows, "segment binary, at bigint, window binary, low bigint, high bigint"), "windows")
-    first = each.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("window", "first")
-    return each.join(first, "window").filter("first < high").groupBy("segment").agg(F.collect_list(F.struct("at", "first")).alias("some"))
+def _matches(distinct: DataFrame, length: int, hot: int, shard_words: int) -> DataFrame:
+    """(segment, some): windows of a segment with their first documents, hot keys split first.
+
+    distinct: (key, segment, low, high, at, lo, hi, words).
+    """
+    names, leaves, children = distinct.columns, None, []
+    now = distinct
+    while True:
+        counts = now.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("low").alias("_a"), F.max("high").alias("_b")).filter("_a < _b")
+        # One place is one window: its key has one distinct segment and needs no split.
+        counts = written(counts.select("key", (F.col("_n") > hot).alias("_hot")), "keys")
+        known = now.join(counts, "key")
+        cold = known.filter(~F.col("_hot") | (F.col("lo") == F.col("hi"))).select(*names)
+        leaves = cold if leaves is None else leaves.unionByName(cold)
+        if not counts.filter("_hot").head(1):
+            break
+        split = written(_split(known.filter(F.col("_hot") & (F.col("lo") < F.col("hi"))).select(*names), length), "halves")
+        children.append(split.select("parent", "shift", F.col("segment").alias("child")))
+        least = {c: F.min(c) for c in names if c not in ("key", "segment")} | {"high": F.max("high")}
+        now = written(split.groupBy("key", "segment").agg(*[f.alias(c) for c, f in least.items()]).select(*names), "distinct")
+        if not now.head(1):
+            break
+    some = F.transform("firsts", lambda x, i: F.struct(i.cast("bigint").alias("at"), x.alias("first")))
+    matches = written(_indexed(leaves, length, shard_words).select("segment", some.alias("some")), "matches")
+    climbed = None
+    for links in reversed(children):
+        below = matches if climbed is None else matches.unionByName(climbed)
+        moved = F.transform("some", lambda e: F.struct((e["at"] + F.col("shift")).alias("at"), e["first"].alias("first")))
+        climbed = links.join(below, links["child"] == below["segment"]).select(F.col("parent").alias("segment"), moved.alias("some"))
+    return matches if climbed is None else matches.unionByName(climbed)
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc, spans): word ranges [start, end) that go, for documents that lose any.
+    """(doc, row, begins): where windows that go begin, for rows that lose any.
 
-    docs: (_id long, _data binary); rows without an id are left out.
+    docs: (_id long, _row long, _data binary); a row is known by its id and the
+    hash `_row` of its text, and rows without an id are left out.
     """
     usable = docs.filter(F.col("_id").isNotNull())
     size = usable.agg(F.sum(F.octet_length("_data"))).first()[0] or 0
     bits = filter_bits(size // 140)  # about one anchor in 22 words
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen(usable.select("_data"), _hashes_of(length), bits))
     found = _segments(usable, length, shared, bits)
-    distinct = found.groupBy("anchor", "segment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("words").alias("words"))
-    distinct = written(distinct, "distinct")
-    counts = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("a"), F.max("high").alias("b")).filter("a < b")
-    counts = written(counts.select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
-    known = distinct.join(counts, "anchor")
-    cold = _indexed(known.filter("not hot").select(*distinct.columns), length, shard_words)
-    warm = _added_up(known.filter("hot").select(*distinct.columns), length)
-    at = lambda e: F.struct(e["at"].alias("at"), e["first"].alias("first"))
-    cold = cold.select("segment", F.transform("firsts", lambda x, i: F.struct(i.cast("bigint").alias("at"), x.alias("first"))).alias("some"))
-    warm = warm.select("segment", F.transform("some", at).alias("some"))
-    matches = written(cold.unionByName(warm), "matches")
-    hits = found.select("segment", "doc", "start").join(matches, "segment")
+    distinct = found.groupBy("key", "segment").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("at").alias("at"), F.min("words").alias("words"))
+    distinct = distinct.select("key", "segment", "low", "high", "at", F.lit(GRAM - length).alias("lo"), F.lit(0).alias("hi"), "words")
+    matches = written(_matches(written(distinct, "distinct"), length, hot, shard_words), "matches")
+    hits = found.select("segment", "doc", "row", "start").join(matches, "segment")
     mine = F.transform(F.filter("some", lambda e: e["first"] < F.col("doc")), lambda e: F.col("start") + e["at"])
-    begins = hits.select("doc", mine.alias("at")).filter(F.size("at") > 0)
-    return begins.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("begins"))
+    begins = hits.select("doc", "row", mine.alias("at")).filter(F.size("at") > 0)
+    return begins.groupBy("doc", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("begins"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, kept, n_words, n_removed, spans): kept words joined by one space; spans that went."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_data"))
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.xxhash64(data).alias("_row"), data.alias("_data"))
     gone = removed_ranges(rows, length, hot, shard_words)
-    both = rows.join(gone, rows["_id"] == gone["doc"], "left").select("_id", "_data", "begins")
+    both = rows.join(gone, (rows["_id"] == gone["doc"]) & (rows["_row"] == gone["row"]), "left").select("_id", "_data", "begins")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
