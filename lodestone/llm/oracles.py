@@ -59,20 +59,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 _WEIGHT = "([" + ", ".join(map(str, mixing.WEIGHTS)) + f"])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}]"
 OP9 = f"""
-WITH d AS MATERIALIZED (SELECT doc_id, source, len({_words('text')})::BIGINT AS size, (('0x' || md5('9|' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT + 0.5::DOUBLE) / {2**52}.0::DOUBLE AS unit FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, source, len({_words('text')})::BIGINT AS size, (('0x' || md5('9|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))))[1:13])::BIGINT + 0.5::DOUBLE) / {2**52}.0::DOUBLE AS unit FROM documents),
 n AS (SELECT source, source_size, {_WEIGHT} AS weight, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
 o AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM n WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT arg_min(level, (cap / weight, source IS NULL, source)) AS final FROM o WHERE level * weight <= cap),
 t AS (SELECT source, source_size, least(cap, coalesce(final * weight, cap)) AS target FROM o, v),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END::DOUBLE AS ratio FROM t),
-p AS MATERIALIZED (SELECT *, floor(ratio)::BIGINT AS copies, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS need FROM r),
-q AS MATERIALIZED (SELECT d.*, p.* EXCLUDE (source), CASE WHEN p > 0 THEN (unit / (1 - unit)) / (p / (1 - p)) END AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-k AS MATERIALIZED (SELECT *, CASE WHEN p > 0 THEN least(floor(q / (1 + q) * {mixing.STEPS}.0::DOUBLE)::BIGINT, {mixing.STEPS - 1}) ELSE {mixing.STEPS - 1} END AS rank FROM q),
+p AS MATERIALIZED (SELECT *, floor(ratio)::BIGINT AS copies, target - floor(ratio) * source_size AS need FROM r),
+s AS MATERIALIZED (SELECT *, length(bin(greatest(size, 1))) AS digits FROM d),
+y AS (SELECT s.source, digits, need, sum(size) AS words FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND need > 0 GROUP BY s.source, digits, need),
+yc AS (SELECT *, (need - coalesce(sum(words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(digits * words) OVER (PARTITION BY source ORDER BY digits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS c FROM y),
+c0 AS MATERIALIZED (SELECT source, arg_max(c, digits) AS c FROM yc WHERE c * digits <= 1 GROUP BY source),
+q0 AS MATERIALIZED (SELECT s.*, p.* EXCLUDE (source), c, least(1.0::DOUBLE, coalesce(c, 0) * digits) AS p FROM s JOIN p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN c0 ON s.source IS NOT DISTINCT FROM c0.source),
+q AS MATERIALIZED (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (unit / (1 - unit)) / (p / (1 - p)) END AS q FROM q0),
+k AS MATERIALIZED (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN greatest(least(floor(q / (1 + q) * {mixing.STEPS}.0::DOUBLE)::BIGINT, {mixing.STEPS - 1}), 1) ELSE {mixing.STEPS - 1} END AS rank FROM q),
 h AS (SELECT source, need, rank, sum(size) AS n FROM k GROUP BY source, need, rank),
 e AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM h),
 f AS MATERIALIZED (SELECT source, min(rank) AS cut, arg_min(need - (run - n), rank) AS gap FROM e WHERE run > need GROUP BY source),
-z AS MATERIALIZED (SELECT k.*, coalesce(cut, CASE WHEN p > 0 THEN {mixing.STEPS} ELSE 0 END) AS cut, gap FROM k LEFT JOIN f ON k.source IS NOT DISTINCT FROM f.source),
-c AS (SELECT source, arg_min(unit, (abs(size - gap), unit)) AS closer FROM z WHERE gap > 0 AND rank >= cut AND abs(size - gap) < gap GROUP BY source)
-SELECT doc_id, size, source_size, target, (copies + (rank < cut OR coalesce(unit = closer, false))::BIGINT) * size AS taken FROM z LEFT JOIN c ON z.source IS NOT DISTINCT FROM c.source"""
+z AS MATERIALIZED (SELECT k.*, coalesce(cut, CASE WHEN k.c > 0 THEN {mixing.STEPS} ELSE 0 END) AS cut, gap FROM k LEFT JOIN f ON k.source IS NOT DISTINCT FROM f.source),
+cl AS (SELECT source, arg_min(unit, (abs(size - gap), unit)) AS closer FROM z WHERE gap > 0 AND rank >= cut AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, (copies + (rank < cut OR coalesce(unit = closer, false))::BIGINT) * size AS taken FROM z LEFT JOIN cl ON z.source IS NOT DISTINCT FROM cl.source"""
 
 ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9}

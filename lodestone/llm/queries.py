@@ -58,9 +58,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    m = F.col("_m")
-    return mixing.with_copies(docs).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).alias("taken"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixing.shares(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", taken)
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
