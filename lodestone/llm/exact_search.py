@@ -3,13 +3,16 @@
 Vectors become integers, floor(scale * x).  Queries and candidates are packed
 into blocks of bounded size, candidates in vertical layout (one row a
 dimension).  Every pair of blocks is one group; blocks are dealt out as whole
-rows, so no row is built for a pair of vectors.  Within a group, scores grow
-dimension block by dimension block, in order of falling energy.  After each, a
-candidate survives for a query if its partial score plus the product of both
+rows, so no row is built for a pair of vectors, and a block of queries is large,
+so that candidates are shuffled few times.  Within a group the longest
+candidates come first, in batches, and a few queries at a time meet them.  Scores
+grow dimension block by dimension block, in order of falling energy.  After each,
+a candidate survives for a query if its partial score plus the product of both
 remaining lengths (Cauchy-Schwarz on the remaining mass) reaches the query's
-k-th best score so far; columns with no surviving query are compacted away.
-Each group gives at most k candidates a query; the k best over all groups are
-chosen by a window of bounded size a query.
+k-th best score so far, which rises after every batch; columns that no query of
+the few wants are compacted away, and the batches end where no length reaches
+any k-th best.  Each group gives at most k candidates a query; the k best over
+all groups are chosen by a window of bounded size a query.
 
 Sums stay exact: single precision while no sum can pass 2 ** 24, double while
 none can pass 2 ** 53, else Python integers, held to the range of a long before
@@ -34,8 +37,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCALE, K = 64, 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-QUERIES_AT_ONCE, DIMENSION_BLOCK = 64, 16
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 8192
+QUERIES_AT_ONCE, CANDIDATES_AT_ONCE, DIMENSION_BLOCK = 16, 1024, 16
 
 
 def _matrix(vectors: pa.Array, scale: int) -> np.ndarray:
@@ -78,10 +81,11 @@ def _unpacked(ids: bytes, matrix: bytes, dimensions: int, kind: str) -> tuple[np
     return np.frombuffer(ids, "<i8"), np.frombuffer(matrix, kind).astype(np.float64).reshape(dimensions, -1)
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, seen: list[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its id, and ids and scores of its k best in the block.
 
-    q and c are vertical: dimensions x rows.
+    q and c are vertical: dimensions x rows.  `seen`, if given, gets the number
+    of products of one dimension that were made.
     """
     d = max(len(q), len(c))
     q, c = (np.vstack([m, np.zeros((d - len(m), m.shape[1]), m.dtype)]) for m in (q, c))
@@ -96,40 +100,42 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
     energy = np.argsort(-(c * c).sum(axis=1), kind="stable")
     q, c = q[energy].astype(kind), c[energy].astype(kind)
     steps = list(range(0, d, DIMENSION_BLOCK)) + [d]
+    length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=0))
+    order = np.lexsort((c_ids, -length))
+    c, c_ids = np.ascontiguousarray(c[:, order]), c_ids[order]
     # Remaining lengths after each step, rounded up a little so that no bound is too low.
-    rest_q = [np.sqrt((q[s:].astype(np.float64) ** 2).sum(axis=0)) * (1 + 1e-6) for s in steps]
-    rest_c = [np.sqrt((c[s:].astype(np.float64) ** 2).sum(axis=0)) * (1 + 1e-6) for s in steps]
-    order = np.argsort(c_ids, kind="stable")
-    c, c_ids = c[:, order], c_ids[order]
-    rest_c = [x[order] for x in rest_c]
+    rest_q, rest_c = (np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1][steps[:-1]]) * (1 + 1e-6) for m in (q, c))
     for at in range(0, len(q_ids), QUERIES_AT_ONCE):
         own = slice(at, at + QUERIES_AT_ONCE)
-        # k-th best of the first candidates: a lower bound of the k-th best score.
-        head = c[:, : 8 * k].T @ q[:, own]
-        head[c_ids[: 8 * k, None] == q_ids[None, own]] = -np.inf
-        low = np.sort(head, axis=0)[-k] if len(head) >= k else np.full(head.shape[1], -np.inf)
-        alive = np.arange(len(c_ids))
-        part = np.zeros((len(alive), head.shape[1]), kind)
-        for n, (s, e) in enumerate(zip(steps, steps[1:])):
-            whole = len(alive) == len(c_ids)
-            part += (c[s:e] if whole else c[s:e, alive]).T @ q[s:e, own]
-            if e < d:
-                reach = part + np.outer(rest_c[n + 1][alive], rest_q[n + 1][own])
-                keep = (reach >= low[None]).any(axis=1)
-                if keep.mean() < 0.8:
-                    alive, part = alive[keep], part[keep]
-        score = part.astype(np.float64)
-        score[c_ids[alive][:, None] == q_ids[None, own]] = -np.inf
-        for j in range(score.shape[1]):
-            s = score[:, j]
-            if len(s) > k:
-                edge = np.partition(s, len(s) - k)[len(s) - k]
-                hits = np.flatnonzero((s >= edge) & (s > -np.inf))
-            else:
-                hits = np.flatnonzero(s > -np.inf)
-            ids = c_ids[alive[hits]]
-            best = np.lexsort((ids, -s[hits]))[:k]
-            yield int(q_ids[at + j]), ids[best], s[hits][best].astype(np.int64)
+        n = len(q_ids[own])
+        # Score and minus id of the k best so far, and the k-th best score.
+        top, top_ids, low = np.full((k, n), -np.inf), np.full((k, n), np.iinfo(np.int64).max), np.full(n, -np.inf)
+        for begin in range(0, len(c_ids), CANDIDATES_AT_ONCE):
+            if not (rest_c[0][begin] * rest_q[0][own] >= low).any():
+                break
+            alive = np.arange(begin, min(begin + CANDIDATES_AT_ONCE, len(c_ids)))
+            part, whole = np.zeros((len(alive), n), kind), slice(alive[0], alive[-1] + 1)
+            for i, (s, e) in enumerate(zip(steps, steps[1:])):
+                keep = (part + np.outer(rest_c[i][alive], rest_q[i][own]) >= low).any(axis=1)
+                if keep.mean(dtype=float) < 0.8:
+                    alive, part, whole = alive[keep], part[keep], None
+                if not len(alive):
+                    break
+                part += (c[s:e, whole] if whole is not None else c[s:e, alive]).T @ q[s:e, own]
+                if seen is not None:
+                    seen.append(len(alive) * n * (e - s))
+            score = part.astype(np.float64)
+            score[c_ids[alive][:, None] == q_ids[None, own]] = -np.inf
+            hits = np.flatnonzero((score >= low).any(axis=1))
+            if not len(hits):
+                continue
+            both, ids = np.vstack([top, score[hits]]), np.vstack([top_ids, np.broadcast_to(c_ids[alive[hits]][:, None], (len(hits), n))])
+            best = np.lexsort((ids, -both), axis=0)[:k]
+            top, top_ids = np.take_along_axis(both, best, axis=0), np.take_along_axis(ids, best, axis=0)
+            low = top[-1]
+        for j in range(n):
+            found = top[:, j] > -np.inf
+            yield int(q_ids[at + j]), top_ids[found, j], top[found, j].astype(np.int64)
 
 
 def _integers(m: np.ndarray) -> np.ndarray:
