@@ -5,12 +5,18 @@ All 1- to 4-grams of code points fall into 2 ** BITS buckets by a multiplicative
 hash, computed for a whole batch of texts in numpy.  Training adds up bucket
 counts per language over a bounded sample of the learning rows (at most
 `max_rows` a language, drawn by a hash of the id; a rarer language keeps all its
-rows).  The matrix of log probabilities is broadcast: at most MAX_LANGUAGES
-x 2 ** BITS floats, whatever the size of the corpus.
+rows).  Every language is learned.  The matrix of log probabilities is broadcast;
+it has 2 ** b floats a language, where b is BITS for up to 256 languages and one
+less each time their number doubles, so it holds 64 MB whatever the corpus (past
+2 ** 16 languages b stays at 8 and the matrix grows by 1 KB a language).
+
+The score is the winner's share of the posterior of the mean n-gram, sharpened to
+SHARPNESS n-grams: that of a whole document would be 1 up to rounding for nearly
+every text, however close its two best languages are.  The winner is the same.
 
 Defined results: a text that is null or has no letter gives `und` with score 0;
-if nothing can be learned, every text does.  The score is the winner's share of
-the posterior.  Ties go to the language that comes first by code point.
+if nothing can be learned, every text does.  Ties go to the language that comes
+first by code point.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import worker_cache
+from lodestone.llm.common import worker_cache, written
 
 BITS, ORDERS, SMOOTHING = 16, (1, 2, 3, 4), 0.5
 MAX_ROWS = 15_000  # of each language that the model learns from
-MAX_LANGUAGES = 256  # the most frequent ones are learned; bounds the model
+SHARPNESS = 24  # n-grams whose evidence makes the score
 UNKNOWN = "und"
 CHUNK = 1_000_000  # characters handled at once
 
@@ -36,7 +42,7 @@ def _letters() -> np.ndarray:
     held = worker_cache("letters")
     if "table" not in held:
         table = np.full(0x110000, 32, np.uint32)
-        for i in range(0x32000):  # no letters are assigned above
+        for i in range(0x110000):
             if not 0xD800 <= i < 0xE000 and chr(i).isalpha():
                 table[i] = i
         held["table"] = table
@@ -70,6 +76,11 @@ def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
         yield codes[i - max(ORDERS) + 1 : i + CHUNK]
 
 
+def bits_for(languages: int) -> int:
+    """Buckets, as a power of two, that keep the model bounded."""
+    return max(BITS - max(int(np.ceil(np.log2(max(languages, 1)))) - 8, 0), 8)
+
+
 def _counts(codes: np.ndarray, bits: int) -> np.ndarray:
     total = np.zeros(1 << bits, np.int64)
     for k, part in enumerate(_pieces(codes)):
@@ -78,26 +89,26 @@ def _counts(codes: np.ndarray, bits: int) -> np.ndarray:
     return total
 
 
-def trained(rows: DataFrame, text: str, label: str, bits: int = BITS, max_rows: int = MAX_ROWS, order: str = "doc_id") -> tuple[list[str], np.ndarray]:
+def trained(rows: DataFrame, text: str, label: str, bits: int | None = None, max_rows: int = MAX_ROWS, order: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages by code point, and their log probabilities (languages x buckets)."""
     usable = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(order)).alias("h")).filter("label is not null and text is not null")
-    frequent = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
-    share = frequent.select("label", F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("count")).alias("share"))
+    share = written(usable.groupBy("label").count().select("label", F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("count")).alias("share")), "languages")
     unit = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(2**53))
-    share = share.cache()
-    languages = sorted(r.label for r in share.select("label").collect())
+    languages = sorted(r.label for r in share.select("label").collect())  # the classes of the model, one row a language
+    bits = bits or bits_for(len(languages))
     if not languages:
         return [], np.zeros((0, 1 << bits), np.float32)
     number = {x: i for i, x in enumerate(languages)}
-    sample = usable.join(F.broadcast(share), "label").filter(unit < F.col("share")).select("label", "text")
+    sample = usable.join(share, "label").filter(unit < F.col("share")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), 1 << bits), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
             for name, t in zip(b.column(0).to_pylist(), b.column(1)):
-                sums[number[name]] += _counts(_padded(t.as_py()), bits)
+                i = number[name]
+                sums[i] = sums.get(i, 0) + _counts(_padded(t.as_py()), bits)
         step = 1 << 12  # a slice of a language's counts: bounded rows, summed in parallel
-        for i, row in enumerate(sums):
+        for i, row in sums.items():
             for s in range(0, 1 << bits, step):
                 part = row[s : s + step]
                 if part.any():
@@ -113,7 +124,6 @@ def trained(rows: DataFrame, text: str, label: str, bits: int = BITS, max_rows:
     for r in summed.collect():  # at most languages x 16 rows of 32 KB
         part = np.frombuffer(r.counts, np.int64)
         matrix[r.label, r.start : r.start + len(part)] = part
-    share.unpersist()
     matrix += SMOOTHING
     return languages, np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -122,46 +132,52 @@ def _padded(text: str | None) -> np.ndarray:
     return np.concatenate([[np.uint32(32)], _codes(text), [np.uint32(32)]]).astype(np.uint32)
 
 
-def _scored(texts, model: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihoods (texts x languages) and whether a text has a letter."""
-    columns = model.shape[0]
-    sums, has = np.zeros((len(texts), columns)), np.zeros(len(texts), bool)
-    group, places, size = [], [], 0
+def _scored(texts, model: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihoods (texts x languages), whether a text has a letter, and its number of n-grams."""
+    columns, most = model.shape[0], max(ORDERS)
+    sums, has, grams = np.zeros((len(texts), columns)), np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
+    group, places, skips, size = [], [], [], 0
 
     def flush():
-        nonlocal group, places, size
+        nonlocal group, places, skips, size
         if not group:
             return
-        codes = np.concatenate(group)
-        cuts = np.cumsum([0] + [len(x) for x in group])[:-1]
+        codes, skip = np.concatenate(group), np.array(skips)
+        ends = np.cumsum([len(x) for x in group])
+        cuts = ends - [len(x) for x in group]
         for n, b in zip(ORDERS, _buckets(codes, bits)):
+            # n-grams that reach into the next text, or that the piece before had, don't count
+            use = np.zeros(len(codes) + 1, np.int64)
+            first, last = np.minimum(cuts + np.where(skip, most - n, 0), ends), ends - n + 1
+            some = last > first
+            use[first[some]] += 1
+            use[last[some]] -= 1
+            used = np.cumsum(use)[: len(b)].astype(bool)
+            np.add.at(grams, places, np.where(some, last - first, 0))
             for c in range(columns):
                 value = np.zeros(len(codes))
-                value[: len(b)] = model[c][b]
-                # n-grams that reach into the next text don't count
-                ends = np.concatenate([cuts[1:], [len(codes)]])
-                for back in range(1, n):
-                    value[np.maximum(ends - back, cuts)] = 0
+                value[: len(b)][used] = model[c][b[used]]
                 np.add.at(sums[:, c], places, np.add.reduceat(value, cuts))
-        group, places, size = [], [], 0
+        group, places, skips, size = [], [], [], 0
 
     for i, t in enumerate(texts):
         codes = _padded(t)
         if (codes != 32).any():
             has[i] = True
-            for k in range(0, len(codes), CHUNK):
-                part = codes[k : k + CHUNK]
+            for k, part in enumerate(_pieces(codes)):
                 group.append(part)
                 places.append(i)
+                skips.append(k > 0)
                 size += len(part)
                 if size >= CHUNK:
                     flush()
     flush()
-    return sums, has
+    return sums, has, grams
 
 
-def predicted(docs: DataFrame, languages: list[str], model: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), bits: int = BITS) -> DataFrame:
+def predicted(docs: DataFrame, languages: list[str], model: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred and score of every row; no shuffle."""
+    bits = int(model.shape[1]).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast((languages, model))
     narrow = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -173,10 +189,11 @@ def predicted(docs: DataFrame, languages: list[str], model: np.ndarray, text: st
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, model = shared.value
         for b in batches:
-            sums, has = _scored(b.column(b.num_columns - 1).to_pylist(), model, bits)
+            sums, has, grams = _scored(b.column(b.num_columns - 1).to_pylist(), model, bits)
             if languages:
-                odds = np.exp(sums - sums.max(axis=1, keepdims=True))
-                best, score = odds.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
+                mean = sums * (np.minimum(grams, SHARPNESS) / np.maximum(grams, 1))[:, None]
+                odds = np.exp(mean - mean.max(axis=1, keepdims=True))
+                best, score = sums.argmax(axis=1), odds.max(axis=1) / odds.sum(axis=1)
                 names_ = [languages[k] if h else UNKNOWN for k, h in zip(best, has)]
                 score = np.where(has, score, 0.0)
             else:
