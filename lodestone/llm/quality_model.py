@@ -55,7 +55,7 @@ def _ids(text: str | None) -> tuple[list[int], list[int]]:
     if len(known) > MAX_SHAPES_CACHED:
         known.clear()
     for x in set(shapes) - known.keys():
-        known[x] = h(x[:64], 1) >> shift
+        known[x] = h(x, 1) >> shift
     again = h(b"again", 2) >> shift
     first = [again if a == b else known[s] for a, b, s in zip(words[1:], words, shapes[1:])]
     return [h(w) >> shift for w in words], [known[s] for s in shapes[:1]] + first
