@@ -20,7 +20,7 @@ Defined results: a null or empty text is one empty line; a line without
 characters besides white space is never dropped; every row counts as a document
 of its own, so repeated rows add up; rows with a null id come after all others
 in the order of occurrences; where rows share the id of a first occurrence, the
-line stays in each of them.
+line stays in each of them.  An input column named `_lines` is replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from lodestone.llm.bloom import filter_bits, seen_twice, twice_seen
 from lodestone.llm.common import written
 
 BROADCAST_BYTES = 16 << 20
+LINE_BYTES = 48  # guessed mean, which sizes the filters; a poor guess costs suspects, not results
 
 
 def _keys(data: bytes) -> list[bytes]:
@@ -106,9 +107,8 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spark, keep_first = docs.sparkSession, keep == "first"
     others = [c for c in docs.columns if c not in (text, "_lines")]
     narrow = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_data"))
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.agg(F.sum(1 + F.char_length(whole) - F.char_length(F.translate(whole, "\n", "")))).first()[0] or 0
-    bits = filter_bits(lines)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    bits = filter_bits(size.n + (size.bytes or 0) // LINE_BYTES)
     shared = spark.sparkContext.broadcast(twice_seen(narrow.select("_data"), _hashes_of, bits))
     repeated = repeated_keys(narrow, least, shared, bits)
     size = repeated.agg(F.sum(F.octet_length("key") + 40)).first()[0] or 0
@@ -136,8 +136,13 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
 
 def _joined(rows: DataFrame, narrow: DataFrame, repeated: DataFrame, shared, bits: int, keep_first: bool) -> DataFrame:
-    """Brings every document its own repeated keys: (key, first_line or -1)."""
+    """Brings every document its own repeated keys: (key, first_line or -1).
+
+    A document is known by its id and the hash of its text, so that rows
+    without an id don't meet in one group.
+    """
     id_type = narrow.schema["_id"].dataType.simpleString()
+    narrow = narrow.select("_id", "_data", F.xxhash64("_data").alias("_row"))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,9 +151,10 @@ def _joined(rows: DataFrame, narrow: DataFrame, repeated: DataFrame, shared, bit
                 own = _suspected(list(set(_keys(x.as_py()))), shared.value, bits)
                 owner += [i] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(keys, pa.binary())], ["doc", "key"])
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(keys, pa.binary())], ["doc", "row", "key"])
 
-    own = narrow.mapInArrow(suspects, f"doc {id_type}, key binary").join(repeated, "key")
+    own = narrow.mapInArrow(suspects, f"doc {id_type}, row bigint, key binary").join(repeated, "key")
     line = F.when(F.col("doc").eqNullSafe(F.col("first_id")), F.col("first_line")).otherwise(F.lit(-1).cast("bigint"))
-    brought = own.groupBy("doc").agg(F.collect_set(F.struct("key", line.alias("first_line"))).alias("_found"))
-    return rows.join(brought, rows["_id"].eqNullSafe(brought["doc"]), "left")
+    brought = own.groupBy("doc", "row").agg(F.collect_set(F.struct("key", line.alias("first_line"))).alias("_found"))
+    return rows.join(brought, (F.xxhash64(rows["_data"]) == brought["row"]) & rows["_id"].eqNullSafe(brought["doc"]), "left")
