@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
@@ -20,12 +21,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a folder of this
-    machine is chosen.
+    Only where that setting is absent and all runs on this machine (tests, a
+    laptop) a folder of its own is chosen; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = worker_cache("scratch")
     if "dir" not in held:
         local = tempfile.mkdtemp(prefix="lodestone-")
