@@ -59,6 +59,24 @@ def test_pruning_keeps_all_that_can_win():
         assert list(zip(-scores, ids)) == want
 
 
+def test_bounds_prune_vectors_of_uneven_energy():
+    rng = np.random.default_rng(2)
+    shape = np.linspace(1, 0, 64)[:, None] ** 4
+    c = np.floor(64 * rng.normal(size=(64, 8192)) * shape * rng.lognormal(size=8192))
+    seen = []
+    found = list(exact_search.best_of_block(np.arange(100), c[:, :100], np.arange(8192), c, 20, seen))
+    for j in (0, 50, 99):
+        want = sorted((-x, k) for k, x in enumerate(c.T @ c[:, j]) if k != j)[:20]
+        assert list(zip(-found[j][2], found[j][1])) == want
+    assert sum(seen) < 0.3 * 100 * 8192 * 64
+
+
+def test_equal_ids_are_separate_candidates(spark):
+    d = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (1, [3.0])], "vec_id bigint, embedding array<double>")
+    got = exact_search.top_k(d, F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 64 * 192), (2, 1, 64 * 128), (3, 1, 64 * 128)]
+
+
 def waterfill(sizes, total):
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
     out, open_ = {}, set(sizes)
@@ -100,6 +118,46 @@ def test_large_sources_come_near_their_targets(spark):
     assert all(abs(r.taken - r.target) <= 0.001 * r.target for r in per)
 
 
+def test_inclusion_frequencies_match_the_probabilities(spark):
+    """Equal sources draw independently, so each is a repetition for the others of its weight."""
+    sizes, n = [1, 3, 6, 12, 25, 50, 100, 200, 400, 800] * 3, 240
+    rows = [(1000 * s + i, f"s{s:03d}", "w " * size) for s in range(n) for i, size in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    # Weights of 9 and 1: the first half of the sources stops at twice its size, the others draw.
+    got = mixing.shares(d, weights=(9, 1), share=1.3).filter("copies < 2 and target < 2 * source_size").collect()
+    drawn = {r.doc_id // 1000 for r in got}
+    assert len(drawn) == n // 2
+    target = got[0].target - math.floor(got[0].target / sum(sizes)) * sum(sizes)
+    count = {}
+    for r in mixing.shares(d, weights=(9, 1), share=1.3).collect():
+        if r.doc_id // 1000 in drawn:
+            count.setdefault(r["size"], []).append(r.copies - math.floor(r.target / r.source_size))
+    c, full = 0.0, []
+    for size in sorted(count, reverse=True):
+        open_ = sum(3 * x * x.bit_length() for x in count if x not in full)
+        c = (target - sum(3 * x for x in full)) / open_
+        if c * size.bit_length() <= 1:
+            break
+        full.append(size)
+    want = {x: min(1.0, c * x.bit_length()) for x in count}
+    assert len({round(p, 6) for p in want.values()}) > 5
+    for size, taken in count.items():
+        assert abs(np.mean(taken) - want[size]) < 0.1, (size, np.mean(taken), want[size])
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    d = spark.createDataFrame([(None, f"t{i} " * 20, "a") for i in range(200)] + [(1, "x " * 50, "b")], "doc_id bigint, text string, source string")
+    got = mixing.with_copies(d, weights=(1, 100)).filter("doc_id is null").select("_m.*").collect()
+    assert len({r.copies for r in got}) == 2 and abs(sum(r.copies * r["size"] for r in got) - got[0].target) <= 20
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    d = spark.range(20).selectExpr("id as doc_id", "'a b' as text", "'s' as source", "id as _copy", "1 as m", "2 as p", "3 as k", "4 as row", "5 as col")
+    got = mixing.mixed(d)
+    assert got.columns == d.columns and all(r["_copy"] == r.doc_id and r.row == 4 for r in got.collect())
+    assert mixing.with_copies(d).columns == [*d.columns, "_m"]
+
+
 def test_mixing_plan_is_native(docs):
     text = mixing.with_copies(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text

@@ -121,14 +121,56 @@ def test_language_id(spark, docs, empty):
     assert language_id.identified(docs, F.lit(False)).count() == docs.count()
 
 
-def test_language_scores_equal_brute_force():
+def test_language_scores_equal_brute_force(monkeypatch):
     model = np.random.default_rng(0).normal(size=(3, 1 << 10)).astype(np.float32)
     texts = ["abc déf", "", None, "x", "hello world " * 40, "12"]
-    sums, has = language_id._scored(texts, model, 10)
-    for t, s, h in zip(texts, sums, has):
-        codes = language_id._padded(t)
-        assert h == any(c.isalpha() for c in t or "")
-        assert np.allclose(s, model.astype(float) @ language_id._counts(codes, 10) if h else 0)
+    for chunk in (language_id.CHUNK, 7):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        sums, has, grams = language_id._scored(texts, model, 10)
+        for t, s, h, n in zip(texts, sums, has, grams):
+            want = plain_counts(t, 10)
+            assert h == any(c.isalpha() for c in t or "")
+            assert np.allclose(s, model.astype(float) @ want if h else 0) and n == (want.sum() if h else 0)
+
+
+def plain_counts(text, bits):
+    """Buckets of all 1- to 4-grams of a text, one by one."""
+    codes = [32] + [ord(c) if c.isalpha() else 32 for c in (text or "").lower()] + [32]
+    out = np.zeros(1 << bits, int)
+    for i in range(len(codes)):
+        h = 0
+        for n, c in enumerate(codes[i : i + 4], 1):
+            h = (h * 0x9E3779B97F4A7C15 + c + n) % 2**64
+            mixed = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+            out[mixed >> (64 - bits)] += 1
+    return out
+
+
+def test_the_trained_model_and_its_answers_equal_brute_force(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("a dog", "en"), ("ein hund \U00032000 \U000323af", "de")] * 3)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    languages, model = language_id.trained(d, "text", "lang", bits=12)
+    assert languages == ["de", "en", "fr"]
+    sums = np.array([sum(plain_counts(t, 12) for _, t, x in rows if x == lang) for lang in languages]) + 0.5
+    want = np.log(sums / sums.sum(axis=1, keepdims=True))
+    assert np.allclose(model, want, atol=1e-4)
+    asked = ["the hund", "le dog et", "katze cat chat", "d", "\U00032000", "chien " * 400]
+    got = language_id.predicted(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), languages, model).collect()
+    for r in got:
+        n = plain_counts(asked[r.doc_id], 12)
+        logs = want @ n
+        tempered = np.exp((logs - logs.max()) * min(24, n.sum()) / n.sum())
+        assert r.lang_pred == languages[int(logs.argmax())]
+        assert r.score == pytest.approx(1 / tempered.sum(), abs=1e-3)
+    assert {round(r.score, 3) for r in got} != {1.0}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"x{chr(0x4E00 + i)}{chr(0x4E00 + i)}y {chr(0x4E00 + i)}" * 5, f"l{i:03d}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identified(d, F.lit(False)).collect()}
+    assert sum(got[i] == x for i, _, x in rows) >= 297
+    assert language_id.bits_for(256) == 16 and language_id.bits_for(257) == 15 and language_id.bits_for(1 << 20) == 8
 
 
 def test_long_texts_count_every_gram_once(monkeypatch):
@@ -152,3 +194,18 @@ def test_quality_model(spark, docs, empty):
     none = quality_model.classified(docs, labels.limit(0), held).collect()
     assert len(none) == docs.count() and {r.score for r in none} == {0.5}
     assert quality_model.classified(empty, labels, held).count() == 0
+
+
+def test_quality_model_of_one_class_null_ids_and_long_texts(spark):
+    long = "word " * 300_000
+    d = spark.createDataFrame([(i, f"some text {i}") for i in range(40)] + [(None, "no id"), (None, None), (90, long), (91, "z" * 200_000)], "doc_id bigint, text string")
+    for quality in (0, 1):
+        labels = spark.createDataFrame([(i, quality) for i in range(30)], "doc_id bigint, quality int")
+        got = quality_model.classified(d, labels, lambda c: crc_mod(c, 5) == 0).collect()
+        assert len(got) == 44 and all(0 <= r.score <= 1 for r in got)
+        assert all((r.score >= 0.5) == bool(quality) for r in got if r.doc_id is not None and r.doc_id < 40)
+
+
+def test_words_that_differ_late_have_shapes_of_their_own():
+    a, b = ("aA0!" * 30 + x for x in ("a", "0"))
+    assert quality_model._ids(a)[1] != quality_model._ids(b)[1]
