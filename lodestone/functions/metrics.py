@@ -104,3 +104,19 @@ def length_bucket(r: Column) -> Column:
 
 def f1_bucket(value: Column) -> Column:
     return bucket(value, [(0.2, "f1_lt_0_2"), (0.4, "f1_0_2_to_0_4"), (0.6, "f1_0_4_to_0_6"), (0.8, "f1_0_6_to_0_8")], "f1_gte_0_8", "f1_none", closed=False)
+
+
+def ratio_bucket(ratio_: Column) -> Column:
+    return F.when(ratio_ == float("inf"), "ratio_document_score_zero").when(ratio_ >= 1.6, "ratio_gte_1_60").when(ratio_ >= 1.45, "ratio_1_45_to_1_59").when(ratio_ >= 1.2, "ratio_1_20_to_1_44").when(ratio_ >= 1.1, "ratio_1_10_to_1_19").otherwise("ratio_lt_1_10")
+
+
+def gap_bucket(value: Column) -> Column:
+    return F.when(value.isNull(), "not_applicable").when(value < 0.05, "gap_0_00_to_0_04").when(value < 0.2, "gap_0_05_to_0_19").when(value < 0.4, "gap_0_20_to_0_39").otherwise("gap_0_40_plus")
+
+
+def query_length_bucket(n: Column) -> Column:
+    return F.when(n < 6, "lt_6").when(n < 8, "6_7").when(n < 10, "8_9").when(n < 20, "10_19").otherwise("ge_20")
+
+
+def overlap_bucket(value: Column) -> Column:
+    return F.when(value <= 0.1, "le_0_10").when(value <= 0.2, "0_10_0_20").when(value <= 0.3, "0_20_0_30").when(value <= 0.5, "0_30_0_50").otherwise("gt_0_50")

@@ -46,6 +46,7 @@ HEADING = (
 POST_FIX = r"\b(after applying|after apply|after installing|after install|crash|gpf|verifyerror|noclassdeffounderror|exception|error)\b"
 AFFECTED = r"\b(affected products? and versions?|affected versions?|what\s+versions?|which\s+versions?|what\s+products?|which\s+products?|what\s+releases?|which\s+releases?)\b"
 REMEDIATION = r"\b(remediation|fixes|first fix|workarounds?|mitigations?|patch|patches|apply|upgrade|update|download)\b"
+COMPOSE_SIGNAL = r"\b(answer|apply|configure|corrective action|disable|download|enable|fix|install|local fix|must|resolution|resolving the problem|set|should|solution|use|workaround)\b"
 SECURITY_WORDS = ("cve-", "cveid", "cvss", "security bulletin")
 ROUTE_WORDS = (
     ("limitation_or_restriction", ("limitation", "restriction", "not supported")),
@@ -251,6 +252,11 @@ def sections(text: Column) -> Column:
     return F.filter(named, lambda s: s["body"] != "")
 
 
+def plain_terms(text: Column) -> Column:
+    """Distinct tokens of two letters or more that aren't stop words."""
+    return F.filter(F.array_distinct(tokens(text)), lambda t: ~t.isin(*STOPWORDS) & (F.length(t) > 1))
+
+
 def any_of(text: Column, parts) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts], F.lit(False))
 
@@ -267,9 +273,15 @@ def cases(pairs, otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
+def full_question(title: Column, text: Column) -> Column:
+    """Title and text, a blank line between; blank ones left out."""
+    parts = [F.regexp_replace(x, r"(?U)^\s+|\s+$", "") for x in (title, text)]
+    return F.concat_ws("\n\n", *[F.when(p != "", p) for p in parts])
+
+
 def route(title: Column, question: Column) -> Column:
-    """Nine question routes by ordered keyword rules."""
-    q, t = F.lower(question), F.lower(title)
+    """Nine question routes by ordered keyword rules over title and text; look-ups by how the title starts."""
+    q, t = F.lower(full_question(title, question)), F.lower(title)
     security = any_of(q, SECURITY_WORDS)
     return cases(
         [

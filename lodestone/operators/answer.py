@@ -13,7 +13,7 @@ REFUSAL = "I do not have enough retrieved evidence to answer this question."
 MIN_SCORE, MAX_SENTENCES = 2.0, 3
 #: Routes that keep all their sentences, and routes that may answer with one.
 CITED_ROUTES = ("security_bulletin_affected_product", "security_bulletin_remediation", "security_bulletin_vulnerability_detail", "security_bulletin_post_fix_behavior", "limitation_or_restriction")
-DIRECT_ROUTES = ("install_upgrade_config", "how_to_or_lookup", "error_or_log", "other")
+DIRECT_ROUTES = ("how_to_or_lookup", "install_upgrade_config")
 
 
 def composed(ranked: DataFrame, asked: DataFrame, least: float = MIN_SCORE, most: int = MAX_SENTENCES) -> DataFrame:
@@ -42,19 +42,27 @@ def verified(answers: DataFrame, results: DataFrame, least: int = 1, score: floa
     return out.withColumn("final_refused", ~F.array_contains("reasons", "verified")).drop("context")
 
 
-def route_composed(ranked: DataFrame, routes: DataFrame, score_min: float = 60.0, ratio_min: float = 1.5, margin_min: float = 20.0, rank_max: int = 3, duplicate: float = 0.96) -> DataFrame:
-    """(q_id, decision, kept): three sentences, one strong one, or near-duplicates of a document removed."""
+def route_composed(ranked: DataFrame, routes: DataFrame, score_min: float = 100.0, ratio_min: float = 1.15, margin_min: float = 20.0, install_margin_min: float = 60.0, how_to: bool = False, rank_max: int = 3, duplicate: float = 0.96) -> DataFrame:
+    """(q_id, decision, kept): three sentences, one strong one, or near-duplicates of a document removed.
+
+    A strong first sentence beats the second by ratio or by margin; questions
+    about installing go by a margin of their own alone, and look-ups answer
+    with one sentence only if `how_to` is set.
+    """
     top = top_k(ranked, ["q_id"], [F.col("place")], MAX_SENTENCES, "slot")
-    row = F.struct("slot", "doc_id", "rank", "score", "sentence", T.content_terms(F.col("sentence")).alias("terms"))
+    row = F.struct("slot", "doc_id", "rank", "score", "sentence", F.array_distinct(T.tokens(F.col("sentence"))).alias("terms"))
     lists = top.groupBy("q_id").agg(F.array_sort(F.collect_list(row)).alias("c")).join(routes, "q_id")  # three rows a question
     first, second = F.col("c")[0], F.get("c", F.lit(1))
-    rest = F.greatest(second["score"], F.lit(0.0))
-    lead = second.isNull() | (rest == 0) | (first["score"] / rest >= ratio_min) | (first["score"] - rest >= margin_min)
-    strong = (first["score"] >= score_min) & (first["rank"] <= rank_max) & (T.answer_bonus(first["sentence"]) > 0) & lead
+    rest, install = F.greatest(second["score"], F.lit(0.0)), F.col("route") == "install_upgrade_config"
+    margin = first["score"] - rest >= F.when(install, install_margin_min).otherwise(margin_min)
+    lead = second.isNull() | (rest == 0) | (~install & (first["score"] / rest >= ratio_min)) | margin
+    strong = (first["score"] >= score_min) & (first["rank"] <= rank_max) & T.has(F.lower(first["sentence"]), T.COMPOSE_SIGNAL) & lead
+    direct = F.col("route").isin(*[r for r in DIRECT_ROUTES if how_to or r != "how_to_or_lookup"])
     same = lambda a, b: (a["doc_id"] == b["doc_id"]) & (M.jaccard(a["terms"], b["terms"]) >= duplicate)
-    unique = F.aggregate("c", F.filter("c", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    some = F.filter("c", lambda x: F.size(x["terms"]) > 0)
+    unique = F.aggregate(some, F.filter("c", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
     decision = (
-        F.when(F.col("route").isin(*CITED_ROUTES), "keep_top3_citation_sensitive").when(F.col("route").isin(*DIRECT_ROUTES) & strong, "top1_direct_strong_signal")
+        F.when(F.col("route").isin(*CITED_ROUTES), "keep_top3_citation_sensitive").when(direct & strong, "top1_direct_strong_signal")
         .when(F.size(unique) < F.size("c"), "dedup_same_document").otherwise("keep_top3_default")
     )
     kept = F.when(decision == "top1_direct_strong_signal", F.slice("c", 1, 1)).when(decision == "dedup_same_document", unique).otherwise(F.col("c"))

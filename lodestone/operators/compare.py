@@ -124,15 +124,20 @@ def support_gate(candidates: DataFrame, score: float, rank: int, least: int) ->
     return candidates.groupBy("q_id").agg(n.alias("support")).withColumn("accepted", F.col("support") >= least)
 
 
-def window_gate(rows: DataFrame, max_tokens: int = 90, max_added: int = 60, max_ratio: float = 4.0, min_coverage: float = 0.5, min_signal: float = 0.0) -> DataFrame:
+def window_gate(rows: DataFrame, max_tokens: int = 90, max_sentences: int = 3, max_added: int = 60, max_ratio: float = 4.0, min_coverage: float = 0.5, min_signal: float = 0.0, block_problem_headings: bool = True, block_question_heading: bool = True, block_noise_growth: bool = True) -> DataFrame:
     """(…, replace): whether `window` may take the place of `sentence`."""
-    a, b = T.tokens(F.col("sentence")), T.tokens(F.col("window"))
+    sentence, window = F.col("sentence"), F.col("window")
+    a, b = T.tokens(sentence), T.tokens(window)
     n, m = F.size(a), F.size(b)
-    covered = M.overlap_ratio(F.array_distinct(a), b) >= min_coverage
-    signal = T.answer_signal(F.col("window")) - T.answer_signal(F.col("sentence")) >= min_signal
-    noise = T.problem_noise(F.col("window")) <= T.problem_noise(F.col("sentence"))
-    fits = (m <= max_tokens) & (m - n <= max_added) & (m <= F.greatest(n, F.lit(1)) * max_ratio)
-    return rows.withColumn("replace", (F.col("sentence") != F.col("window")) & fits & covered & signal & noise)
+    ok = (sentence != window) & (m <= max_tokens) & (F.size(T.sentences(window)) <= max_sentences) & (m - n <= max_added) & (m <= F.greatest(n, F.lit(1)) * max_ratio)
+    ok = ok & (M.overlap_ratio(T.plain_terms(sentence), T.plain_terms(window)) >= min_coverage) & (T.answer_signal(window) - T.answer_signal(sentence) >= min_signal)
+    if block_problem_headings:
+        ok = ok & ~T.has(F.lower(window), T.NOISE_HEADING)
+    if block_question_heading:
+        ok = ok & ~T.has(F.lower(window), T.QUESTION_HEADING)
+    if block_noise_growth:
+        ok = ok & (T.problem_noise(window) <= T.problem_noise(sentence))
+    return rows.withColumn("replace", ok)
 
 
 def anchored(rows: DataFrame, asked: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:

@@ -119,13 +119,20 @@ def routed(branches: list[tuple[DataFrame, Column]], routes: DataFrame) -> DataF
     return out
 
 
+def route_trace(routes: DataFrame, spanned: tuple[str, ...]) -> DataFrame:
+    """Which selector each routed strategy takes for a question."""
+    span, other = F.col("route").isin(*spanned), F.col("route") == "other"
+    routed_ = F.when(span, "section_span").otherwise("answer_aware")
+    return routes.select("q_id", "route", F.when(other, "answer_window").otherwise(routed_).alias("windowed"), routed_.alias("routed"), F.when(other, "local_window").otherwise("routed").alias("reranked"))
+
+
 def local_windows(chosen: DataFrame, docs: DataFrame, asked: DataFrame, least: int = MIN_CHARS, most: int = 3, text: str = "text") -> DataFrame:
     """For each chosen sentence, the best window of its document around it.
 
     Anchors are the document's sentences that equal a sentence of the candidate,
     else contain it or lie in it, else the one that shares most of its terms.
     """
-    terms = lambda c: F.filter(F.array_distinct(T.tokens(c)), lambda t: ~t.isin(T.STOPWORDS) & (F.length(t) > 1))
+    terms = T.plain_terms
     own = chosen.select("q_id", "doc_id", "pos", "sentence").join(docs.select("doc_id", "text"), "doc_id").join(asked.select("q_id", terms(F.col(text)).alias("qt")), "q_id")
     sents = F.filter(T.sentences(F.col("text")), lambda x: F.length(x) >= least)
     own = own.select("q_id", "doc_id", "pos", "sentence", "qt", sents.alias("sents"), T.sentences(F.col("sentence")).alias("parts"), terms(F.col("sentence")).alias("at"))

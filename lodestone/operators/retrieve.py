@@ -26,7 +26,7 @@ def ranked(scores: DataFrame, k: int | None = None, keys: list[str] | None = Non
     return top_k(scores, keys or ["q_id"], [F.col("score").desc(), F.col(item)], k)
 
 
-def query_terms(asked: DataFrame, text: str = "title") -> DataFrame:
+def query_terms(asked: DataFrame, text: str = "text") -> DataFrame:
     """(q_id, term, qtf): a repeated query term adds its score again."""
     return asked.select("q_id", F.explode(T.tokens(F.col(text))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 

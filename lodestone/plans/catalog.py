@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import comparisons, corpus, evidence, learned, retrieval, scalars
+from lodestone.plans import comparisons, composition, corpus, evidence, learned, retrieval, scalars
 
-MODULES = (scalars, retrieval, evidence, corpus, comparisons, learned)
+MODULES = (scalars, retrieval, evidence, corpus, comparisons, composition, learned)
 
 
 def queries() -> dict:

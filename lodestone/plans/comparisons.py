@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import answer, compare, evidence, retrieve
 from lodestone.operators.retrieve import ranked
 from lodestone.plans import sql as S
-from lodestone.plans.evidence import BM25_ROWS, CASES, Evidence, cases
+from lodestone.plans.evidence import BM25_ROWS, CASES, Evidence, cases, reranked
 from lodestone.plans.retrieval import ALL, SHOW, Setting, shown
 
 QUERIES, ORACLES = {}, {}
@@ -129,13 +129,15 @@ def evidence_summary(spark, d):
 
 @query(None)
 def local_window_gate(spark, d):
-    e = Evidence(spark, d)
-    chosen = evidence.bm25_ranked(e.rows()).filter("place <= 3")
-    w = evidence.local_windows(chosen, e.docs, e.asked).join(chosen.select("q_id", "doc_id", "pos", "sentence"), ["q_id", "doc_id", "pos"])
+    chosen, best = reranked(Evidence(spark, d))
+    w = best.join(chosen.select("q_id", "doc_id", "pos", "sentence"), ["q_id", "doc_id", "pos"])
     return compare.window_gate(w).select("q_id", "doc_id", "pos", "replace")
 
 
-@query(None)
+_ORACLE = [*BM25_ROWS, f"c3 AS (SELECT p.q_id, place, sentence, string_agg(sentence, ' ') OVER (PARTITION BY p.q_id ORDER BY place) AS so_far, q.text FROM p JOIN (SELECT q_id, text FROM ques) q USING (q_id) WHERE place <= 3)", f"c4 AS (SELECT q_id, place, {S.f1(S.toks('sentence'), S.toks('text'))} AS f, {S.f1(S.toks('so_far'), S.toks('text'))} AS pf FROM c3)"]
+
+
+@query(S.query(_ORACLE, "SELECT q_id, max(f) AS best_single, max(pf) AS best_prefix, max(f) FILTER (place = 1) AS first FROM c4 GROUP BY q_id"))
 def composition_oracle(spark, d):
     from pyspark.sql import Window as W
 

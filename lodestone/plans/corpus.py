@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators import actions, evaluate, evidence, leakage, threads
 from lodestone.plans import sql as S
 from lodestone.plans.evidence import BM25_ROWS, Evidence
-from lodestone.plans.retrieval import FIT, Setting, with_fit
+from lodestone.plans.retrieval import FIT, POOL, PREFIX, Setting, fit_sql, with_fit
 from lodestone.sources import tables as R
 
 QUERIES, ORACLES = {}, {}
@@ -80,18 +81,17 @@ def fold_round_robin(spark, d):
     return leakage.fold_round_robin(R.questions(spark, d), "q_id", 5)
 
 
-@query(None)
+_FOLDS = """WITH RECURSIVE g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sha256(source) NULLS FIRST) AS i FROM documents GROUP BY source),
+st AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS load, 0 AS fold UNION ALL SELECT g.i, list_transform(load, lambda v, j: CASE WHEN j = list_position(load, list_min(load)) THEN v + g.n ELSE v END), list_position(load, list_min(load)) FROM st JOIN g ON g.i = st.i + 1)
+SELECT source, fold FROM st JOIN g USING (i)"""
+
+
+@query(_FOLDS)
 def greedy_folds(spark, d):
     g = R.table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return leakage.greedy_folds(g, "source", "n", 5)
 
 
-@query(S.query([S.DOCS, S.SECTIONS, f"ex AS (SELECT count(*) AS exact FROM benchmark b JOIN sections s ON {_norm('b.text')} = {_norm('s.text')} WHERE {_norm('b.text')} <> '')"], "SELECT (SELECT count(*) FROM benchmark) AS rows, exact, 0 AS near, CASE WHEN exact > 0 THEN 'leakage_found' ELSE 'clean' END AS decision FROM ex"))
-def leakage_report(spark, d):
-    asked = R.table(spark, d, "benchmark")
-    return leakage.leakage_report(exact_leakage(spark, d), asked.limit(0), asked)
-
-
 _PASSAGE = f"SELECT b.item_id::VARCHAR AS q_id, d.doc_id FROM benchmark b JOIN documents d ON contains(' ' || {_norm('d.text')} || ' ', ' ' || {_norm('b.text')} || ' ') WHERE {_norm('b.text')} <> ''"
 _NEAR = f"""WITH x AS (SELECT item_id::VARCHAR AS q_id, list_distinct({S.toks('text')}) AS a FROM benchmark), y AS (SELECT doc_id, list_distinct({S.toks('text')}) AS b FROM documents),
 j AS (SELECT q_id, doc_id, len(list_intersect(a, b)) AS shared, len(a) AS n, len(b) AS m FROM x JOIN y ON len(a) > 0 AND len(b) > 0 AND len(b) >= 0.79 * len(a) AND len(b) <= len(a) / 0.79)
@@ -112,6 +112,15 @@ def near_leakage(spark, d):
     return found.select(F.col("left_id").alias("q_id"), F.col("right_id").alias("doc_id"), "similarity")
 
 
+_LINES = f"SELECT b.item_id FROM benchmark b JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) s ON {_norm('b.text')} = {_norm('s.line')} WHERE {_norm('b.text')} <> ''"
+
+
+@query(f"WITH c AS (SELECT (SELECT count(*) FROM benchmark) AS rows, (SELECT count(*) FROM ({_LINES})) AS exact, (SELECT count(*) FROM ({_NEAR})) AS near) SELECT *, CASE WHEN exact > 0 OR near > 0 THEN 'leakage_found' ELSE 'clean' END AS decision FROM c")
+def leakage_report(spark, d):
+    """Lines equal to a passage, and near copies of whole texts."""
+    return leakage.leakage_report(exact_leakage(spark, d), near_leakage(spark, d), R.table(spark, d, "benchmark"))
+
+
 @query(f"WITH c AS (SELECT (SELECT count(*) FROM benchmark) AS rows, (SELECT count(*) FROM ({_PASSAGE})) AS exact, (SELECT count(*) FROM ({_NEAR})) AS near) SELECT *, CASE WHEN exact > 0 OR near > 0 THEN 'leakage_found' ELSE 'clean' END AS decision FROM c")
 def leakage_audit(spark, d):
     """Passages anywhere in a text, and near copies of whole texts."""
@@ -208,22 +217,30 @@ def relative_features(spark, d):
     return actions.relative(predictions(spark, d), "gain")
 
 
-@query("WITH c AS (SELECT doc_id, (doc_id * 37 % 101) / 101.0::DOUBLE AS p, quality FROM labels) SELECT least(floor(p * 5), 4)::INT AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(quality), 6) AS observed, round(avg((p - quality) * (p - quality)), 6) AS brier FROM c GROUP BY bin")
+VARIETY = f"SELECT l.doc_id, round(CASE WHEN len(t) > 0 THEN len(list_distinct(t)) / len(t)::DOUBLE ELSE 0 END, 6) AS p, quality FROM labels l JOIN (SELECT doc_id, {S.toks('text')} AS t FROM documents) USING (doc_id) WHERE quality IS NOT NULL"
+
+
+def variety(spark, d):
+    """Labelled documents with the share of their tokens that are distinct, as a score of quality."""
+    t = T.tokens(F.col("text"))
+    docs = R.table(spark, d, "documents").select("doc_id", F.round(M.ratio(F.size(F.array_distinct(t)), F.size(t)), 6).alias("p"))
+    return R.table(spark, d, "labels").filter("quality is not null").select("doc_id", "quality").join(docs, "doc_id")
+
+
+@query(f"WITH c AS ({VARIETY}) SELECT least(floor(p * 5), 4)::INT AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(quality), 6) AS observed, round(avg((p - quality) * (p - quality)), 6) AS brier FROM c GROUP BY bin")
 def risk_calibration(spark, d):
-    rows = R.table(spark, d, "labels").select("doc_id", ((F.col("doc_id") * 37 % 101) / F.lit(101.0)).alias("p"), "quality")
-    return actions.risk_calibration(rows, "p", "quality")
+    return actions.risk_calibration(variety(spark, d), "p", "quality")
 
 
-@query("SELECT min(v) AS threshold FROM (SELECT (doc_id * 37 % 101) / 101.0::DOUBLE AS v FROM labels ORDER BY v DESC LIMIT (SELECT ceil(count(*) * 0.3)::BIGINT FROM labels))")
+@query(f"SELECT min(v) AS threshold FROM (SELECT p AS v FROM ({VARIETY}) ORDER BY v DESC LIMIT (SELECT ceil(count(*) * 0.3)::BIGINT FROM labels))")
 def coverage_threshold(spark, d):
-    rows = R.table(spark, d, "labels").select(((F.col("doc_id") * 37 % 101) / F.lit(101.0)).alias("p"))
-    return actions.coverage_threshold(rows, "p", 0.3)
+    return actions.coverage_threshold(variety(spark, d), "p", 0.3)
 
 
-_SIDE = [S.BM25, FIT, f"wt AS (SELECT fits.*, list_intersect(list_distinct({S.toks('q.text')}), {S.toks('d.text')}) AS t FROM fits JOIN docs d USING (doc_id) JOIN ques q USING (q_id))", "pri AS (SELECT q_id, list_distinct(flatten(list(t))) AS seen FROM (SELECT * FROM wt WHERE rank <= 25 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY fit DESC, rank, doc_id) <= 10) GROUP BY q_id)"]
+_SIDE = [S.BM25, fit_sql(POOL), f"wt AS (SELECT fits.*, list_intersect(list_distinct({S.toks('q.text')}), {S.toks('d.text')}) AS t FROM fits JOIN docs d USING (doc_id) JOIN ques q USING (q_id))", "pri AS (SELECT q_id, list_distinct(flatten(list(t))) AS seen FROM (SELECT * FROM wt WHERE rank <= 200 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY fit DESC, rank, doc_id) <= 10) GROUP BY q_id)"]
 
 
-@query(S.query(_SIDE, "SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY fit DESC, rank, doc_id) AS place, len(list_filter(t, lambda x: NOT list_contains(seen, x))) AS novel FROM wt JOIN pri USING (q_id) WHERE rank > 25 QUALIFY place <= 5"))
+@query(S.query(_SIDE, "SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY fit DESC, rank, doc_id) AS place, len(list_filter(t, lambda x: NOT list_contains(seen, x))) AS novel FROM wt JOIN pri USING (q_id) WHERE rank > 200 QUALIFY place <= 5"))
 def sidecar_observation(spark, d):
     """The best tail documents beside the primary context, and their novel query terms."""
     from lodestone.operators.retrieve import top_k
@@ -231,10 +248,10 @@ def sidecar_observation(spark, d):
     s = Setting(spark, d)
     docs = s.docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
     asked = s.asked.select("q_id", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
-    c = with_fit(s).join(docs, "doc_id").join(asked, "q_id").withColumn("t", F.array_intersect("qt", "dt")).drop("dt", "qt").withColumnRenamed("rank", "was")
+    c = with_fit(s, POOL).join(docs, "doc_id").join(asked, "q_id").withColumn("t", F.array_intersect("qt", "dt")).drop("dt", "qt").withColumnRenamed("rank", "was")
     order = [F.col("fit").desc(), F.col("was"), F.col("doc_id")]
-    primary = top_k(c.filter("was <= 25"), ["q_id"], order, 10, "n").groupBy("q_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("seen"))  # ten rows a question
-    side = top_k(c.filter("was > 25"), ["q_id"], order, 5, "place")
+    primary = top_k(c.filter(F.col("was") <= PREFIX), ["q_id"], order, 10, "n").groupBy("q_id").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("seen"))  # ten rows a question
+    side = top_k(c.filter(F.col("was") > PREFIX), ["q_id"], order, 5, "place")
     return side.join(primary, "q_id").select("q_id", "doc_id", "place", F.size(F.array_except("t", "seen")).alias("novel"))
 
 

@@ -10,7 +10,7 @@ from lodestone.operators import answer, evaluate, evidence
 from lodestone.operators.retrieve import top_k
 from lodestone.plans import sql as S
 from lodestone.plans.retrieval import Setting
-from lodestone.plans.scalars import _noise, action_bonus_sql, answer_bonus_sql, answer_multiplier_sql, problem_penalty_sql, signal_sql
+from lodestone.plans.scalars import _noise, _route_sql, action_bonus_sql, answer_bonus_sql, answer_multiplier_sql, problem_penalty_sql, signal_sql
 
 QUERIES, ORACLES = {}, {}
 CONTEXT = 5
@@ -113,31 +113,52 @@ def section_span_sentences(spark, d):
     return shown(evidence.section_span_ranked(Evidence(spark, d).spans()))
 
 
+#: Routes whose answers lie in a section of their own.
+SPAN_ROUTES = ("security_bulletin_vulnerability_detail", "limitation_or_restriction")
+
+
 def _routed(e, windows=False):
-    other = F.col("route") == "other"
-    aware, span = evidence.answer_aware_ranked(e.rows()), evidence.section_span_ranked(e.spans())
-    branches = [(aware, other), (span, ~other)]
+    """Section spans for SPAN_ROUTES, answer-aware sentences for the rest; with windows, these for `other`."""
+    span = F.col("route").isin(*SPAN_ROUTES)
+    branches = [(evidence.section_span_ranked(e.spans()), span)]
+    aware = ~span
     if windows:
-        setup = F.col("route") == "install_upgrade_config"
-        branches = [(aware, other), (evidence.answer_window_ranked(e.spans()), setup), (span, ~other & ~setup)]
-    return evidence.routed(branches, e.routes())
+        aware = aware & (F.col("route") != "other")
+        branches.append((evidence.answer_window_ranked(e.spans()), F.col("route") == "other"))
+    return evidence.routed([*branches, (evidence.answer_aware_ranked(e.rows()), aware)], e.routes())
 
 
-@query(None)
+_SPANNED = "(" + ", ".join(S.lit(r) for r in SPAN_ROUTES) + ")"
+ROUTES = f"qr AS MATERIALIZED (SELECT q_id, {_route_sql()} AS route FROM (SELECT q_id, lower(concat_ws(chr(10) || chr(10), nullif(trim(title), ''), nullif(trim(text), ''))) AS q, lower(title) AS t FROM ques))"
+_HYBRID = [S.BM25, ROUTES, EV, WIN, rows_sql("ev", "ra", True), placed("ra_s", ANSWERED, "pa"), rows_sql("wv", "rw", True), placed("rw_s", _SPAN, "ps")]
+_WINDOW = placed("rw_s", f"({ANSWERED} + {action_bonus_sql('scoring')}) * {_COMPACT} * {_long(140, 95)}", "pw")
+_ONLY = "JOIN qr USING (q_id) WHERE route"
+
+
+@query(S.query(_HYBRID, f"{SHOW} ps {_ONLY} IN {_SPANNED} UNION ALL {SHOW} pa {_ONLY} NOT IN {_SPANNED}"))
 def hybrid_routed_sentences(spark, d):
     return shown(_routed(Evidence(spark, d)))
 
 
-@query(None)
+@query(S.query([*_HYBRID, _WINDOW], f"{SHOW} ps {_ONLY} IN {_SPANNED} UNION ALL {SHOW} pw {_ONLY} = 'other' UNION ALL {SHOW} pa {_ONLY} NOT IN {_SPANNED} AND route <> 'other'"))
 def hybrid_window_sentences(spark, d):
     return shown(_routed(Evidence(spark, d), True))
 
 
+@query(S.query([S.BASE, ROUTES], f"SELECT q_id, route, CASE WHEN route IN {_SPANNED} THEN 'section_span' WHEN route = 'other' THEN 'answer_window' ELSE 'answer_aware' END AS windowed, CASE WHEN route IN {_SPANNED} THEN 'section_span' ELSE 'answer_aware' END AS routed, CASE WHEN route = 'other' THEN 'local_window' ELSE 'routed' END AS reranked FROM qr"))
+def route_trace(spark, d):
+    return evidence.route_trace(Evidence(spark, d).routes(), SPAN_ROUTES)
+
+
+def reranked(e):
+    """Best windows around the first three routed sentences of questions on the route `other`; other routes keep theirs."""
+    chosen = _routed(e).filter("place <= 3")
+    return chosen, evidence.local_windows(chosen.filter("route = 'other'"), e.docs, e.asked)
+
+
 @query(None)
 def local_window_rerank(spark, d):
-    e = Evidence(spark, d)
-    chosen = evidence.bm25_ranked(e.rows()).filter("place <= 3")
-    best = evidence.local_windows(chosen, e.docs, e.asked)
+    best = reranked(Evidence(spark, d))[1]
     return best.select("q_id", "doc_id", "pos", F.md5(F.col("window").cast("binary")).alias("window"), F.round("local", 6).alias("score"))
 
 
@@ -228,32 +249,58 @@ def error_decomposition(spark, d):
     return _bucketed(Evidence(spark, d)).select("q_id", "bucket")
 
 
-@query(None)
+_KINDS = ["answerability_false_answer", "retrieval_context_miss", "evidence_selection_miss", "verification_over_refusal", "low_overlap_gold_cited_answer", "answer_supported_and_cited"]
+
+
+@query(S.query([*CASES, _INSIDE, ROUTES, f"bu AS (SELECT q_id, {_BUCKET} AS bucket FROM cx)"], "SELECT route, " + ", ".join(f"count(*) FILTER (bucket = '{k}') AS {k}" for k in _KINDS) + " FROM bu JOIN qr USING (q_id) GROUP BY route"))
 def route_bucket_crosstab(spark, d):
     e = Evidence(spark, d)
     j = _bucketed(e).join(e.routes(), "q_id")
-    kinds = ["answerability_false_answer", "retrieval_context_miss", "evidence_selection_miss", "verification_over_refusal", "low_overlap_gold_cited_answer", "answer_supported_and_cited"]
-    return j.groupBy("route").pivot("bucket", kinds).agg(F.count(F.lit(1))).na.fill(0)
-
-
-_GAP = "CASE WHEN gold IS NULL THEN 'gold_document_missing' WHEN NOT in_context THEN 'gold_not_in_context' WHEN NOT cited_gold THEN 'gold_in_context_not_selected' WHEN f1 < 0.2 THEN 'selected_answer_low_overlap' ELSE 'selected_answer_reasonable_overlap' END"
+    return j.groupBy("route").pivot("bucket", _KINDS).agg(F.count(F.lit(1))).na.fill(0)
+
+
+GAP_MARGIN = 0.05
+_GAP = f"""CASE WHEN gold IS NULL THEN 'gold_document_missing' WHEN NOT in_context THEN 'gold_not_in_context' WHEN NOT cited_gold THEN 'gold_in_context_not_selected' WHEN round(best_window, 4) >= round(f1 + {GAP_MARGIN}::DOUBLE, 4) THEN 'gold_window_beats_selected_answer'
+WHEN round(best_sentence, 4) >= round(f1 + {GAP_MARGIN}::DOUBLE, 4) THEN 'gold_sentence_beats_selected_answer' WHEN f1 < 0.2 THEN 'selected_answer_low_overlap' ELSE 'selected_answer_reasonable_overlap' END"""
+_BEST = [
+    f"gs0 AS MATERIALIZED (SELECT cs.q_id, list_filter({S.sents('d.text')}, lambda s: length(s) >= 24) AS s, {S.toks('q.text')} AS gt FROM cs JOIN docs d ON d.doc_id = gold JOIN ques q ON q.q_id = cs.q_id)",
+    "gs1 AS (SELECT q_id, gt, s, size, unnest(range(1, len(s) - size + 2)) AS start FROM (SELECT *, unnest(range(1, least(3, len(s)) + 1)) AS size FROM gs0))",
+    f"gs2 AS (SELECT q_id, gt, size, {S.toks(chr(97) + 'rray_to_string(s[start : start + size - 1], chr(32))')} AS wt FROM gs1)",
+    f"gs3 AS MATERIALIZED (SELECT q_id, max(f) AS best_window, max(f) FILTER (size = 1) AS best_sentence FROM (SELECT q_id, size, {S.f1('wt', 'gt')} AS f FROM gs2) GROUP BY q_id)",
+    f"ga AS MATERIALIZED (SELECT *, {_GAP} AS gap FROM cx LEFT JOIN gs3 USING (q_id))",
+]
 
 
 def _gaps(e):
+    """Cases with the best F1 of a sentence and of a window of the gold document, and the gap category."""
     c = _bucketed(e)
-    return c.withColumn("gap", F.when(F.col("gold").isNull(), "gold_document_missing").when(~F.col("inside"), "gold_not_in_context").when(~F.col("cited_gold"), "gold_in_context_not_selected").when(F.col("f1") < 0.2, "selected_answer_low_overlap").otherwise("selected_answer_reasonable_overlap"))
+    texts = c.select("q_id", F.col("gold").alias("doc_id")).join(e.docs.select("doc_id", "text"), "doc_id").join(e.asked.select("q_id", T.tokens(F.col("text")).alias("gt")), "q_id")
+    sents = F.filter(T.sentences(F.col("text")), lambda x: F.length(x) >= evidence.MIN_CHARS)
+    sized = lambda k: F.array_max(F.transform(T.windows(sents, k), lambda w: F.round(M.token_f1(T.tokens(w), F.col("gt")), 4)))
+    c = c.join(texts.select("q_id", sized(evidence.SPAN_SENTENCES).alias("best_window"), sized(1).alias("best_sentence")), "q_id", "left")
+    over = lambda x: F.round(F.col(x), 4) >= F.round(F.col("f1") + GAP_MARGIN, 4)
+    return c.withColumn(
+        "gap",
+        F.when(F.col("gold").isNull(), "gold_document_missing").when(~F.col("inside"), "gold_not_in_context").when(~F.col("cited_gold"), "gold_in_context_not_selected").when(over("best_window"), "gold_window_beats_selected_answer")
+        .when(over("best_sentence"), "gold_sentence_beats_selected_answer").when(F.col("f1") < 0.2, "selected_answer_low_overlap").otherwise("selected_answer_reasonable_overlap"),
+    )
 
 
-@query(S.query([*CASES, _INSIDE], f"SELECT {_GAP} AS gap, count(*) AS n, round(avg(f1), 4) AS average_f1 FROM cx GROUP BY gap"))
+@query(S.query([*CASES, _INSIDE, *_BEST], "SELECT gap, count(*) AS n, round(avg(f1), 4) AS average_f1 FROM ga GROUP BY gap"))
 def answer_gap_buckets(spark, d):
     return _gaps(Evidence(spark, d)).groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f1"), 4).alias("average_f1"))
 
 
-@query(S.query([*CASES, _INSIDE, f"g AS (SELECT {_GAP} AS gap, f1, q_id::BIGINT % 4 AS part FROM cx)"], "SELECT part, round((2 * count(*) FILTER (gap = 'gold_in_context_not_selected') + count(*) FILTER (gap = 'gold_not_in_context') + count(*) FILTER (gap = 'selected_answer_low_overlap')) * (1 + avg(1 - f1)), 4) AS priority FROM g GROUP BY part"))
+_PRIORITY = "round((2 * count(*) FILTER (gap = 'gold_in_context_not_selected') + count(*) FILTER (gap = 'gold_window_beats_selected_answer') + count(*) FILTER (gap = 'selected_answer_low_overlap')) * (1 + coalesce(round(avg(CASE WHEN best_window IS NOT NULL THEN greatest(0, best_window - f1) END), 4), 0)), 4)"
+
+
+@query(S.query([*CASES, _INSIDE, *_BEST], f"SELECT q_id::BIGINT % 4 AS part, {_PRIORITY} AS priority FROM ga GROUP BY part"))
 def gap_priority(spark, d):
+    """Weighted count of the cases that better selection would mend, times one plus the mean F1 that gold windows have over answers."""
     g = _gaps(Evidence(spark, d)).withColumn("part", F.col("q_id").cast("bigint") % 4)
     n = lambda k: F.count_if(F.col("gap") == k)
-    score = (2 * n("gold_in_context_not_selected") + n("gold_not_in_context") + n("selected_answer_low_overlap")) * (1 + F.avg(1 - F.col("f1")))
+    mean = F.coalesce(F.round(F.avg(F.when(F.col("best_window").isNotNull(), F.greatest(F.lit(0.0), F.col("best_window") - F.col("f1")))), 4), F.lit(0.0))
+    score = (2 * n("gold_in_context_not_selected") + n("gold_window_beats_selected_answer") + n("selected_answer_low_overlap")) * (1 + mean)
     return g.groupBy("part").agg(F.round(score, 4).alias("priority"))
 
 
@@ -280,7 +327,18 @@ def pareto_frontier(spark, d):
     return evaluate.pareto(s, "id", ["kept", "min_score", "tight"]).select("min_score", "max_rank", "kept")
 
 
-@query(None)
+_IN = lambda names: "(" + ", ".join(S.lit(r) for r in names) + ")"
+_COMPOSE = [
+    S.BM25, ROUTES, EV, rows_sql("ev", "r", False), placed("r_s", "base", "p", 3),
+    f"t3 AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY place) AS slot, list_distinct({S.toks('sentence')}) AS tt FROM p QUALIFY slot <= 3)",
+    f"w3 AS (SELECT q_id, count(*) AS n, max(score) FILTER (slot = 1) AS s1, max(greatest(score, 0)) FILTER (slot = 2) AS s2, max(rank) FILTER (slot = 1) AS r1, bool_or(slot = 1 AND {S.has('lower(sentence)', T.COMPOSE_SIGNAL)}) AS signal, max(len(tt)) FILTER (slot = 1) AS l1, max(len(tt)) FILTER (slot = 2) AS l2, max(len(tt)) FILTER (slot = 3) AS l3 FROM t3 GROUP BY q_id)",
+    "du AS (SELECT a.q_id, bool_or(a.slot = 1 AND b.slot = 2) AS d12, bool_or(a.slot = 1 AND b.slot = 3) AS d13, bool_or(a.slot = 2 AND b.slot = 3) AS d23 FROM t3 a JOIN t3 b ON a.q_id = b.q_id AND a.slot < b.slot AND a.doc_id = b.doc_id AND len(a.tt) > 0 AND len(b.tt) > 0 AND len(list_intersect(a.tt, b.tt)) / (len(a.tt) + len(b.tt) - len(list_intersect(a.tt, b.tt))) >= 0.96 GROUP BY a.q_id)",
+    "kp AS (SELECT w3.*, route, l1 > 0 AS k1, coalesce(l2 > 0 AND NOT coalesce(d12, false), false) AS k2, coalesce(l3 > 0 AND NOT coalesce(d13, false) AND NOT (coalesce(d23, false) AND NOT coalesce(d12, false)), false) AS k3 FROM w3 JOIN qr USING (q_id) LEFT JOIN du USING (q_id))",
+    f"dc AS (SELECT *, CASE WHEN route IN {_IN(answer.CITED_ROUTES)} THEN 'keep_top3_citation_sensitive' WHEN route = 'install_upgrade_config' AND s1 >= 100 AND r1 <= 3 AND signal AND (n = 1 OR s2 = 0 OR s1 - s2 >= 60) THEN 'top1_direct_strong_signal' WHEN k1::INT + k2::INT + k3::INT < n THEN 'dedup_same_document' ELSE 'keep_top3_default' END AS decision FROM kp)",
+]
+
+
+@query(S.query(_COMPOSE, "SELECT q_id, route, decision, array_to_string(CASE decision WHEN 'top1_direct_strong_signal' THEN [1] WHEN 'dedup_same_document' THEN list_filter([1, 2, 3], lambda i: ([k1, k2, k3])[i]) ELSE range(1, n + 1) END, ',') AS kept FROM dc"))
 def route_aware_compose(spark, d):
     e = Evidence(spark, d)
     return answer.route_composed(evidence.bm25_ranked(e.rows(), 3), e.routes())
@@ -365,11 +423,11 @@ def paired_bootstrap(spark, d):
     return diffs.groupBy(F.lit(1).alias("all")).applyInPandas(resample, "mean double, low double, high double")
 
 
-@query(S.query([S.BM25, S.GOLD, RANKED, f"qn AS (SELECT q_id, len(list_distinct({S.toks('title')})) AS n FROM ques)", "tg AS (SELECT q_id, list_sort(list_filter([CASE WHEN n <= 3 THEN 'short_query_lte_3_unique_terms' END, CASE WHEN rank IS NULL THEN 'gold_doc_not_found_within_top50' WHEN rank > 50 THEN 'gold_doc_not_found_within_top50' WHEN rank <= 20 THEN 'gold_doc_rank_11_to_20' ELSE 'gold_doc_rank_21_to_50' END], lambda x: x IS NOT NULL)) AS tags FROM gr JOIN qn USING (q_id) WHERE rank IS NULL OR rank > 10)"], "SELECT q_id, array_to_string(tags, ',') AS tags FROM tg"))
+@query(S.query([S.BM25, S.GOLD, RANKED, f"qn AS (SELECT q_id, len(list_distinct({S.toks('text')})) AS n FROM ques)", "tg AS (SELECT q_id, list_sort(list_filter([CASE WHEN n <= 3 THEN 'short_query_lte_3_unique_terms' END, CASE WHEN rank IS NULL THEN 'gold_doc_not_found_within_top50' WHEN rank > 50 THEN 'gold_doc_not_found_within_top50' WHEN rank <= 20 THEN 'gold_doc_rank_11_to_20' ELSE 'gold_doc_rank_21_to_50' END], lambda x: x IS NOT NULL)) AS tags FROM gr JOIN qn USING (q_id) WHERE rank IS NULL OR rank > 10)"], "SELECT q_id, array_to_string(tags, ',') AS tags FROM tg"))
 def bm25_miss_tags(spark, d):
     s = Setting(spark, d)
     g = evaluate.gold_ranks(s.asked, s.gold, s.bm25()).filter("rank is null or rank > 10")
-    j = g.join(s.asked.select("q_id", F.size(F.array_distinct(T.tokens(F.col("title")))).alias("n")), "q_id")
+    j = g.join(s.asked.select("q_id", F.size(F.array_distinct(T.tokens(F.col("text")))).alias("n")), "q_id")
     where = F.when(F.col("rank").isNull() | (F.col("rank") > 50), "gold_doc_not_found_within_top50").when(F.col("rank") <= 20, "gold_doc_rank_11_to_20").otherwise("gold_doc_rank_21_to_50")
     tags = F.array_sort(F.array_compact(F.array(F.when(F.col("n") <= 3, "short_query_lte_3_unique_terms"), where)))
     return j.select("q_id", F.array_join(tags, ",").alias("tags"))
@@ -385,7 +443,10 @@ def candidate_features(spark, d):
     return r.select("q_id", "doc_id", "pos", "rank", F.round("score", 4).alias("score"), F.size(T.tokens(x)).alias("n_tokens"), F.size(T.sentences(x)).alias("n_sentences"), F.size("overlap").alias("n_overlap"), F.round(F.size("overlap") / F.size("terms"), 4).alias("coverage"), T.answer_signal(x).alias("signal"))
 
 
-@query(None)
+_LABELS = [*BM25_ROWS, S.GOLD, f"bl AS (SELECT p.*, {S.f1(S.toks('sentence'), S.toks('q.text'))} AS f1, gold FROM p JOIN (SELECT q_id, text FROM ques) q USING (q_id) LEFT JOIN gold USING (q_id))"]
+
+
+@query(S.query(_LABELS, "SELECT q_id, doc_id, pos, f1, row_number() OVER (PARTITION BY q_id ORDER BY f1 DESC, place) = 1 AS is_best, coalesce(doc_id = gold, false) AS is_gold, round(max(f1) OVER (PARTITION BY q_id) - f1, 4) AS gap FROM bl"))
 def best_candidate_label(spark, d):
     from pyspark.sql import Window as W
 

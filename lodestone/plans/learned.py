@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators import evidence, learn
+from lodestone.plans.corpus import VARIETY, variety
 from lodestone.plans.evidence import Evidence
 from lodestone.sources import tables as R
 
@@ -56,7 +57,6 @@ def guarded_policy(spark, d):
     return learn.guarded(s, 3, 0.05)
 
 
-@query("WITH x AS (SELECT (doc_id * 37 % 101) / 101.0::DOUBLE AS p, quality AS y FROM labels), v AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM x GROUP BY p), c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM c")
+@query(f"WITH x AS (SELECT p, quality AS y FROM ({VARIETY})), v AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM x GROUP BY p), c AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM c")
 def roc_auc(spark, d):
-    rows = R.table(spark, d, "labels").select(((F.col("doc_id") * 37 % 101) / F.lit(101.0)).alias("p"), "quality")
-    return learn.auc(rows, "p", "quality")
+    return learn.auc(variety(spark, d), "p", "quality")

@@ -11,7 +11,8 @@ from lodestone.plans import sql as S
 from lodestone.sources import tables as R
 
 QUERIES, ORACLES = {}, {}
-DEPTH = 50
+DEPTH = 50  # of the lists that gates and contexts read
+CHANNEL_DEPTH, PREFIX, POOL = 400, 200, 400  # of the channels, the kept prefix and the candidate pool
 
 
 def query(oracle: str | None):
@@ -48,7 +49,7 @@ class Setting:
     def section(self, k=None):
         return ranked(retrieve.max_rollup(retrieve.section_scores(self.sections, self.terms)), k)
 
-    def channels(self, k=DEPTH):
+    def channels(self, k=CHANNEL_DEPTH):
         """Three lexical channels as one list: whole documents, best sections, titles."""
         parts = [("document", self.bm25(k)), ("section", self.section(k)), ("title", self.title(k))]
         out = None
@@ -69,7 +70,7 @@ def shown(df, *more):
 SHOW = "SELECT q_id, doc_id, rank, round(score, 6) AS score FROM"
 SEC = ",\n".join([S.SECTIONS, S.index("s", "sections", "title || chr(10) || chr(10) || section_id || chr(10) || chr(10) || text", "doc_id, section_id"), S.scores("s", "ss", "doc_id, section_id"), "sm AS MATERIALIZED (SELECT q_id, doc_id, max(score) AS score FROM ss GROUP BY q_id, doc_id)", S.ranks("sm", "sr")])
 TITLE = ",\n".join([S.index("t", "docs", "title"), S.scores("t", "ts"), S.ranks("ts", "tr")])
-CHANNELS = f"ch AS MATERIALIZED (SELECT 'document' AS channel, q_id, doc_id, rank FROM br WHERE rank <= {DEPTH} UNION ALL SELECT 'section', q_id, doc_id, rank FROM sr WHERE rank <= {DEPTH} UNION ALL SELECT 'title', q_id, doc_id, rank FROM tr WHERE rank <= {DEPTH})"
+CHANNELS = f"ch AS MATERIALIZED (SELECT 'document' AS channel, q_id, doc_id, rank FROM br WHERE rank <= {CHANNEL_DEPTH} UNION ALL SELECT 'section', q_id, doc_id, rank FROM sr WHERE rank <= {CHANNEL_DEPTH} UNION ALL SELECT 'title', q_id, doc_id, rank FROM tr WHERE rank <= {CHANNEL_DEPTH})"
 ALL = [S.BM25, SEC, TITLE, CHANNELS]
 
 
@@ -131,20 +132,22 @@ def fielded_fusion(spark, d):
     return shown(ranked(retrieve.fielded(s.docs, s.terms), 10))
 
 
+_ORDERED = f"list_filter({S.toks('text')}, lambda t, i: list_position({S.toks('text')}, t) = i)"
 _VIEWS = [
     S.DOCS, S.QUES,
-    f"views AS (SELECT q_id || '/dedup' AS q_id, term, 1 AS qtf FROM (SELECT q_id, unnest(list_distinct({S.toks('text')})[1:24]) AS term FROM ques) UNION ALL SELECT q_id || '/content', term, 1 FROM (SELECT q_id, unnest(({S.content('text')})[1:24]) AS term FROM ques))",
+    f"views AS (SELECT q_id || '/dedup' AS q_id, term, 1 AS qtf FROM (SELECT q_id, unnest({_ORDERED}) AS term FROM ques) UNION ALL SELECT q_id || '/content', term, 1 FROM (SELECT q_id, unnest({S.content('text')}) AS term FROM ques) UNION ALL SELECT q_id || '/title', term, 1 FROM (SELECT q_id, unnest(list_distinct({S.toks('title')})) AS term FROM ques))",
     S.index("v", "docs", S.DOC_TEXT, terms="views"), S.scores("v", "vs"), S.ranks("vs", "vr", 5),
 ]
 
 
-@query(S.query([S.DOCS, S.QUES, f"views AS (SELECT q_id || '/dedup' AS q_id, term, 1 AS qtf FROM (SELECT q_id, unnest(list_filter({S.toks('text')}, lambda t, i: list_position({S.toks('text')}, t) = i)[1:24]) AS term FROM ques) UNION ALL SELECT q_id || '/content', term, 1 FROM (SELECT q_id, unnest(list_filter(list_filter({S.toks('text')}, lambda t, i: list_position({S.toks('text')}, t) = i), lambda t: list_contains({S.content('text')}, t))[1:24]) AS term FROM ques))", *_VIEWS[3:]], f"{SHOW} vr"))
+@query(S.query(_VIEWS, f"{SHOW} vr"))
 def query_view_dedup(spark, d):
+    """Distinct terms, content terms, and the first tokens only (the title) as views of a question."""
     s = Setting(spark, d)
-    views = [("dedup", F.array_distinct(T.tokens(F.col("text")))), ("content", T.content_terms(F.col("text")))]
+    views = [("dedup", F.array_distinct(T.tokens(F.col("text")))), ("content", T.content_terms(F.col("text"))), ("title", F.array_distinct(T.tokens(F.col("title"))))]
     terms = None
     for name, t in views:
-        x = s.asked.select(F.concat("q_id", F.lit(f"/{name}")).alias("q_id"), F.explode(F.slice(t, 1, 24)).alias("term"), F.lit(1).alias("qtf"))
+        x = s.asked.select(F.concat("q_id", F.lit(f"/{name}")).alias("q_id"), F.explode(t).alias("term"), F.lit(1).alias("qtf"))
         terms = x if terms is None else terms.unionByName(x)
     return shown(ranked(retrieve.bm25(s.docs, terms), 5))
 
@@ -175,10 +178,10 @@ def dense_cosine_topk(spark, d):
     return shown(ranked(retrieve.cosine(e, q).filter("q_id <> doc_id"), 10))
 
 
-@query(S.query([S.BM25, SEC, "l AS (SELECT q_id, doc_id, rank FROM br WHERE rank <= 50 UNION ALL SELECT q_id, doc_id, rank FROM sr WHERE rank <= 50)", "f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM l GROUP BY q_id, doc_id)", S.ranks("f", "fr", 10)], f"{SHOW} fr"))
+@query(S.query([S.BM25, SEC, "l AS (SELECT q_id, doc_id, rank FROM br WHERE rank <= 400 UNION ALL SELECT q_id, doc_id, rank FROM sr WHERE rank <= 400)", "f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM l GROUP BY q_id, doc_id)", S.ranks("f", "fr", 10)], f"{SHOW} fr"))
 def rrf_two(spark, d):
     s = Setting(spark, d)
-    lists = fuse.channel(s.bm25(DEPTH), "document").unionByName(fuse.channel(s.section(DEPTH), "section"))
+    lists = fuse.channel(s.bm25(CHANNEL_DEPTH), "document").unionByName(fuse.channel(s.section(CHANNEL_DEPTH), "section"))
     return shown(ranked(fuse.rrf(lists), 10))
 
 
@@ -196,24 +199,24 @@ def route_interleave(spark, d):
     return fuse.interleave(Setting(spark, d).channels(), ["document", "section", "title"])
 
 
-_POOL = ["pre AS (SELECT q_id, doc_id, rank FROM br WHERE rank <= 20)", "more AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM ws)", "pool AS (SELECT q_id, doc_id, 0 AS part, rank AS was FROM pre UNION ALL SELECT q_id, doc_id, 1, rank FROM more WHERE (q_id, doc_id) NOT IN (SELECT (q_id, doc_id) FROM pre))"]
+_POOL = [f"pre AS (SELECT q_id, doc_id, rank FROM br WHERE rank <= {PREFIX})", "more AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM ws)", "pool AS (SELECT q_id, doc_id, 0 AS part, rank AS was FROM pre UNION ALL SELECT q_id, doc_id, 1, rank FROM more WHERE (q_id, doc_id) NOT IN (SELECT (q_id, doc_id) FROM pre))"]
 
 
-@query(S.query([*ALL, _WEIGHTED, *_POOL], "SELECT q_id, doc_id, part, row_number() OVER (PARTITION BY q_id ORDER BY part, was) AS rank FROM pool QUALIFY rank <= 40"))
+@query(S.query([*ALL, _WEIGHTED, *_POOL], f"SELECT q_id, doc_id, part, row_number() OVER (PARTITION BY q_id ORDER BY part, was) AS rank FROM pool QUALIFY rank <= {POOL}"))
 def prefix_pool(spark, d):
     s = Setting(spark, d)
-    return fuse.prefix_pool(s.bm25(20), ranked(fuse.rrf(s.channels(), WEIGHTS)), 20, 40)
+    return fuse.prefix_pool(s.bm25(PREFIX), ranked(fuse.rrf(s.channels(), WEIGHTS), POOL + PREFIX), PREFIX, POOL)
 
 
-@query(S.query([*ALL, S.GOLD, _WEIGHTED, S.ranks("ws", "wr"), "sized AS (SELECT q_id, count(*) AS n FROM ws GROUP BY q_id)", "g AS (SELECT gold.q_id, rank FROM gold LEFT JOIN wr ON wr.q_id = gold.q_id AND wr.doc_id = gold)"], "SELECT count(*) AS questions, round(avg((coalesce(rank, 1000000) <= 10)::INT), 4) AS hit10, round(avg((coalesce(rank, 1000000) <= 50)::INT), 4) AS hit50, (SELECT round(avg(n), 4) FROM sized) AS pool_avg, (SELECT max(n) FROM sized) AS pool_max, (SELECT median(n) FROM sized) AS pool_median FROM g"))
+@query(S.query([*ALL, S.GOLD, _WEIGHTED, S.ranks("ws", "wr"), "sized AS (SELECT q_id, count(*) AS n FROM ws GROUP BY q_id)", "g AS (SELECT gold.q_id, rank FROM gold LEFT JOIN wr ON wr.q_id = gold.q_id AND wr.doc_id = gold)"], "SELECT count(*) AS questions, round(avg((coalesce(rank, 1000000) <= 10)::INT), 4) AS hit10, round(avg((coalesce(rank, 1000000) <= 50)::INT), 4) AS hit50, round(avg((coalesce(rank, 1000000) <= 100)::INT), 4) AS hit100, round(avg((coalesce(rank, 1000000) <= 200)::INT), 4) AS hit200, round(avg((coalesce(rank, 1000000) <= 400)::INT), 4) AS hit400, (SELECT round(avg(n), 4) FROM sized) AS pool_avg, (SELECT max(n) FROM sized) AS pool_max, (SELECT median(n) FROM sized) AS pool_median FROM g"))
 def union_pool_metrics(spark, d):
     s = Setting(spark, d)
-    pool = ranked(fuse.rrf(s.channels(), WEIGHTS)).cache()
+    pool = ranked(fuse.rrf(s.channels(), WEIGHTS))
     sized = pool.groupBy("q_id").agg(F.count(F.lit(1)).alias("n")).agg(F.round(F.avg("n"), 4).alias("pool_avg"), F.max("n").alias("pool_max"), F.percentile("n", F.lit(0.5)).alias("pool_median"))
     g = s.gold
     found = g.join(pool, (pool["q_id"] == g["q_id"]) & (pool["doc_id"] == g["gold"]), "left").select("rank")
     hit = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1).otherwise(0)), 4).alias(f"hit{k}")
-    return found.agg(F.count(F.lit(1)).alias("questions"), hit(10), hit(50)).join(F.broadcast(sized))
+    return found.agg(F.count(F.lit(1)).alias("questions"), *[hit(k) for k in (10, 50, 100, 200, 400)]).join(F.broadcast(sized))
 
 
 @query(S.query([*ALL, S.GOLD, "f AS (SELECT gold.q_id, min(CASE channel WHEN 'document' THEN 1 WHEN 'section' THEN 2 ELSE 3 END) AS p FROM gold JOIN ch ON ch.q_id = gold.q_id AND ch.doc_id = gold WHERE rank <= 10 GROUP BY gold.q_id)"], "SELECT (['document', 'section', 'title'])[p] AS channel, count(*) AS hits FROM f GROUP BY p"))
@@ -274,7 +277,11 @@ def score_margins(spark, d):
     return fuse.previous_margin(Setting(spark, d).bm25(20))
 
 
-FIT = f"fit AS MATERIALIZED (SELECT br.q_id, br.doc_id, br.rank, br.score, len(list_intersect(list_distinct({S.toks('q.text')}), {S.toks('d.text')})) AS shared, len(list_distinct({S.toks('q.text')})) AS n_q FROM br JOIN docs d USING (doc_id) JOIN ques q USING (q_id) WHERE rank <= 50), fits AS MATERIALIZED (SELECT *, round(shared + shared / n_q::DOUBLE + 0.35::DOUBLE / log2(rank + 1), 8) AS fit FROM fit)"
+def fit_sql(k: int = DEPTH) -> str:
+    return f"fit AS MATERIALIZED (SELECT br.q_id, br.doc_id, br.rank, br.score, len(list_intersect(list_distinct({S.toks('q.text')}), {S.toks('d.text')})) AS shared, len(list_distinct({S.toks('q.text')})) AS n_q FROM br JOIN docs d USING (doc_id) JOIN ques q USING (q_id) WHERE rank <= {k}), fits AS MATERIALIZED (SELECT *, round(shared + shared / n_q::DOUBLE + 0.35::DOUBLE / log2(rank + 1), 8) AS fit FROM fit)"
+
+
+FIT = fit_sql()
 
 
 def with_fit(s, k=DEPTH):
@@ -327,12 +334,12 @@ def margin_threshold_grid(spark, d):
     return s.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.coalesce(F.percentile("gain", F.lit(p)), F.lit(0.0)), 6).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
 
 
-@query(S.query([S.BM25, S.DOCS.replace("docs AS", "docs2 AS"), "q1 AS (SELECT q_id, list_distinct(" + S.toks("title") + ") AS qt FROM ques)", "o AS (SELECT q_id, rank, len(list_intersect(qt, " + S.toks("d.text") + ")) / len(qt)::DOUBLE AS r FROM br JOIN docs2 d USING (doc_id) JOIN q1 USING (q_id) WHERE rank <= 10)", "f AS (SELECT q_id, max(r) FILTER (rank = 1) AS top1, avg(r) AS mean10 FROM o GROUP BY q_id)"], "SELECT q_id, round(top1, 6) AS top1, round(mean10, 6) AS mean10, CASE WHEN len(qt) > 30 THEN 'query_too_long' WHEN top1 > 0.9 THEN 'overlap_high' ELSE 'activated' END AS gate FROM f JOIN q1 USING (q_id)"))
+@query(S.query([S.BM25, S.DOCS.replace("docs AS", "docs2 AS"), "q1 AS (SELECT q_id, list_distinct(" + S.toks("text") + ") AS qt FROM ques)", "o AS (SELECT q_id, rank, len(list_intersect(qt, " + S.toks("d.text") + ")) / len(qt)::DOUBLE AS r FROM br JOIN docs2 d USING (doc_id) JOIN q1 USING (q_id) WHERE rank <= 10)", "f AS (SELECT q_id, max(r) FILTER (rank = 1) AS top1, avg(r) AS mean10 FROM o GROUP BY q_id)"], "SELECT q_id, round(top1, 6) AS top1, round(mean10, 6) AS mean10, CASE WHEN len(qt) > 30 THEN 'query_too_long' WHEN top1 > 0.9 THEN 'overlap_high' ELSE 'activated' END AS gate FROM f JOIN q1 USING (q_id)"))
 def selective_dense_gate(spark, d):
     from lodestone.functions import metrics as M
 
     s = Setting(spark, d)
-    q = s.asked.select("q_id", F.array_distinct(T.tokens(F.col("title"))).alias("qt"))
+    q = s.asked.select("q_id", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
     docs = s.docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
     r = s.bm25(10).join(docs, "doc_id").join(q, "q_id").withColumn("r", M.overlap_ratio(F.col("qt"), F.col("dt")))
     f = r.groupBy("q_id").agg(F.max(F.when(F.col("rank") == 1, F.col("r"))).alias("top1"), F.avg("r").alias("mean10"), F.first(F.size("qt")).alias("n"))

@@ -77,7 +77,7 @@ def _route_sql() -> str:
     return S.case(pairs, "other")
 
 
-_TURNS = "(SELECT conv_id, turn, lower(text) AS q, lower(left(text, 60)) AS t, lower(left(text, 60) || chr(10) || text) AS b FROM conversations)"
+_TURNS = "(SELECT conv_id, turn, lower(concat_ws(chr(10) || chr(10), nullif(trim(left(text, 60)), ''), nullif(trim(text), ''))) AS q, lower(left(text, 60)) AS t, lower(left(text, 60) || chr(10) || text) AS b FROM conversations)"
 
 
 def _turns(spark, d):
@@ -217,11 +217,11 @@ _LENGTH = "CASE WHEN r <= 0.75 THEN 'length_lte_0_75' WHEN r <= 0.85 THEN 'lengt
 
 
 @query(
-    f"""WITH x AS (SELECT doc_id, n_chars / avg(n_chars) OVER () AS r, doc_id % 70 AS k, (doc_id % 7) / 100.0 AS m FROM documents)
-SELECT doc_id, {_LENGTH} AS length_bucket, {_edges('k', M.RANK_EDGES, 'not_found_top50', 'not_found_top50')} AS rank_bucket, {_edges('m', M.MARGIN_EDGES, 'margin_gt_0_05', 'margin_not_available')} AS margin_bucket, round(1 / log2(k + 1), 8) AS rank_score FROM x WHERE k > 0"""
+    f"""WITH x AS (SELECT doc_id, n_chars / avg(n_chars) OVER () AS r, 1 + doc_id % 70 AS k, (doc_id % 7) / 100.0 AS m FROM documents)
+SELECT doc_id, {_LENGTH} AS length_bucket, {_edges('k', M.RANK_EDGES, 'not_found_top50', 'not_found_top50')} AS rank_bucket, {_edges('m', M.MARGIN_EDGES, 'margin_gt_0_05', 'margin_not_available')} AS margin_bucket, round(1 / log2(k + 1), 8) AS rank_score FROM x"""
 )
 def report_buckets(spark, d):
     docs = R.table(spark, d, "documents")
     mean = docs.agg(F.avg("n_chars").alias("mean"))
-    x = docs.join(F.broadcast(mean)).select("doc_id", (F.col("n_chars") / F.col("mean")).alias("r"), (F.col("doc_id") % 70).alias("k"), ((F.col("doc_id") % 7) / F.lit(100.0)).alias("m")).filter("k > 0")
+    x = docs.join(F.broadcast(mean)).select("doc_id", (F.col("n_chars") / F.col("mean")).alias("r"), (1 + F.col("doc_id") % 70).alias("k"), ((F.col("doc_id") % 7) / F.lit(100.0)).alias("m"))
     return x.select("doc_id", M.length_bucket(F.col("r")).alias("length_bucket"), M.rank_bucket(F.col("k")).alias("rank_bucket"), M.margin_bucket(F.col("m")).alias("margin_bucket"), M.rank_score(F.col("k")).alias("rank_score"))

@@ -54,6 +54,13 @@ def case(pairs: list[tuple[str, str]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {lit(label)}" for label, c in pairs) + f" ELSE {lit(otherwise)} END"
 
 
+def f1(a: str, b: str) -> str:
+    """Token F1 of two token lists."""
+    count = "len(list_filter({x}, lambda y: y = z))"
+    n = f"list_sum(list_transform(list_distinct(list_intersect({a}, {b})), lambda z: least({count.format(x=a)}, {count.format(x=b)})))"
+    return f"round(coalesce(2.0::DOUBLE * ({n} / len({a})::DOUBLE) * ({n} / len({b})::DOUBLE) / nullif({n} / len({a})::DOUBLE + {n} / len({b})::DOUBLE, 0), 0), 4)"
+
+
 def any_of(x: str, words) -> str:
     return "(" + " OR ".join([f"contains({x}, {lit(w)})" for w in words] or ["false"]) + ")"
 
@@ -64,7 +71,7 @@ def starts(x: str, words) -> str:
 
 DOCS = r"docs AS MATERIALIZED (SELECT doc_id::VARCHAR AS doc_id, regexp_extract(text, '^[^.!?\n]*') AS title, text, lang, source FROM documents)"
 QUES = f"ques AS MATERIALIZED (SELECT item_id::VARCHAR AS q_id, array_to_string(({toks('text')})[1:12], ' ') AS title, text FROM benchmark)"
-TERMS = f"terms AS MATERIALIZED (SELECT q_id, term, count(*) AS qtf FROM (SELECT q_id, unnest({toks('title')}) AS term FROM ques) GROUP BY q_id, term)"
+TERMS = f"terms AS MATERIALIZED (SELECT q_id, term, count(*) AS qtf FROM (SELECT q_id, unnest({toks('text')}) AS term FROM ques) GROUP BY q_id, term)"
 SECTIONS = r"""sections AS MATERIALIZED (SELECT doc_id, title, pos, 's' || pos AS section_id, text FROM (SELECT doc_id, title, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM docs) WHERE trim(text) <> '')"""
 GOLD = f"""want AS (SELECT q_id, array_to_string(t[1:8], ' ') AS run FROM (SELECT q_id, {toks('text')} AS t FROM ques) WHERE len(t) >= 8),
 dtok AS MATERIALIZED (SELECT doc_id, {toks('text')} AS t FROM docs),

@@ -31,9 +31,6 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def full_question(title: Column, text: Column) -> Column:
-    return F.concat_ws("\n\n", F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(text), F.lit("")))
-
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """An object of documents by id: (doc_id, title, text, sections)."""
