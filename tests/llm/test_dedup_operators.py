@@ -42,6 +42,15 @@ def test_line_dedup_of_nothing_and_of_null_ids(spark, empty):
         assert sorted(r.text for r in got.collect()) == ["", "X ", "y"]
 
 
+def test_line_dedup_with_full_filters(docs, monkeypatch):
+    """A filter too small suspects every line; the result is the same."""
+    digest = lambda d: collections.Counter((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
+    want = digest(line_dedup.deduplicated(docs, least=3, keep="first"))
+    monkeypatch.setattr("lodestone.llm.bloom.MAX_BITS", 9)
+    for bytes_ in (0, 1 << 20):
+        assert digest(line_dedup.deduplicated(docs, least=3, keep="first", broadcast_bytes=bytes_)) == want
+
+
 def print_of(text, k=3):
     w = WORDS.findall(folded(text or ""))
     if not w:
@@ -143,6 +152,45 @@ def test_substring_dedup_of_nothing_and_of_null_ids(spark, empty):
     assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup.deduplicated(d).collect()) == [("3", 0), ("5", 60), ("None", 0)]
 
 
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(80)) for c in "tu")
+    d = spark.createDataFrame([(1, t), (5, t), (5, u), (5, t), (7, u)], "doc_id bigint, text string")
+    for hot in (1000, 0):
+        got = substring_dedup.deduplicated(d, hot=hot).collect()
+        assert sorted((r.doc_id, r.kept[:2], r.n_removed) for r in got) == [(1, "t0", 0), (5, "", 80), (5, "", 80), (5, "u0", 0), (7, "", 80)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Many different contexts of the same anchors: they are split until they fit, and no window is lost."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(60)}" for _ in range(160)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(w[rnd.randrange(20) :]), None, None))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    want = without_passages(rows)
+    for hot in (1000, 20, 3):
+        got = substring_dedup.deduplicated(d, hot=hot).collect()
+        assert collections.Counter((r.doc_id, r.kept, r.n_words, r.n_removed) for r in got) == want
+
+
+def test_halves_share_the_core_of_equal_windows():
+    rnd = random.Random(3)
+    words = [b"%d" % rnd.randrange(9) for _ in range(92)]
+    todo, seen = [(words, -42, -42, 0)], set()
+    while todo:
+        part, at, lo, hi = todo.pop()
+        for a, z, s, e in substring_dedup.halves(part, at, lo, hi, 50):
+            own = part[s - at : e - at + 50]
+            assert a <= s <= e <= z and own == words[s + 42 : e + 92] and len(part[z - at : a - at + 50]) == 50 - (z - a)
+            todo += [(own, s, a, z)] if a < z else []
+            seen |= {s} if a == z else set()
+    assert seen == set(range(-42, 1))
+
+
 def test_fm_index_counts_like_a_scan():
     rnd = np.random.default_rng(1)
     text = np.append(rnd.integers(1, 4, 300), 0)
@@ -234,6 +282,50 @@ def test_repeated_shingles_do_not_make_texts_alike(spark):
 def test_hot_candidate_groups_are_cut_without_loss(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[: 200 - i] + [f"{i}y{k}" for k in range(i)])) for i in range(40)]
+    rows += [(100 + i, " ".join(f"v{i}x{k}" for k in range(50))) for i in range(5)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     whole = {r.doc_id: r.component_id for r in simhash.similar(d).collect()}
     assert {r.doc_id: r.component_id for r in simhash.similar(d, sets=3).collect()} == whole and set(whole.values()) != set(whole)
+
+
+def test_large_groups_by_pivots_equal_all_pairs(spark):
+    """Several classes, chains between them and single nodes in one group of many chunks."""
+    rnd = random.Random(4)
+    flip = lambda x, k: [x[0] ^ sum(1 << b for b in rnd.sample(range(63), k)), *x[1:]]
+    nodes = []
+    for _ in range(4):
+        x = [rnd.getrandbits(63) for _ in simhash.WORDS]
+        nodes += [x] + [flip(x, rnd.randint(1, 9)) for _ in range(40)]
+        for _ in range(15):
+            x = flip(x, 10)
+            nodes.append(x)
+    nodes += [[rnd.getrandbits(63) for _ in simhash.WORDS] for _ in range(20)]
+    rnd.shuffle(nodes)
+    distance = lambda x, y: sum(bin(a ^ b).count("1") for a, b in zip(x, y))
+    want = list(range(len(nodes)))
+    for i in range(len(nodes)):
+        for j in range(i):
+            if distance(nodes[i], nodes[j]) <= 10:
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    rows = spark.createDataFrame([(7, i, *x) for i, x in enumerate(nodes)], "g bigint, node bigint, " + ", ".join(f"{w} bigint" for w in simhash.WORDS))
+    sizes = spark.createDataFrame([(7, len(nodes), 6)], "g bigint, n bigint, chunks int")
+    near = lambda t: simhash._bits_near(np.stack([t[c].to_numpy().astype(np.uint64) for c in simhash.WORDS], axis=1), 10)
+    got = {r.node: r.component for r in simhash.components(simhash._pivoted(rows, sizes, near)).collect()}
+    assert [got.get(i, i) for i in range(len(nodes))] == want
+
+
+def test_keys_grow_with_the_nodes():
+    assert simhash.tables_for(1 << 20) == (simhash.TABLES, simhash.KEY_BITS)
+    tables, bits = simhash.tables_for(1 << 30)
+    assert bits == 22 and tables > 2 * simhash.TABLES
+    agree = 1 - np.arccos(1.6 / 1.8) / np.pi
+    assert 1 - (1 - agree**bits) ** tables >= 1 - (1 - agree**simhash.KEY_BITS) ** simhash.TABLES - 1e-3
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    d = spark.createDataFrame([(1, "a b", "x"), (2, "a b", "y"), (None, "a b", "z")], "doc_id bigint, text string, leader string").toDF("doc_id", "text", "_leader")
+    d = d.selectExpr("*", "1 as leader", "2 as id", "3 as row", "4 as component_id")
+    for f in (simhash.deduplicated, simhash.without_similar):
+        got = f(d)
+        assert got.columns == d.columns and sorted(str(r["_leader"]) for r in got.collect()) == ["x", "z"]
