@@ -7,9 +7,12 @@ in the table is one token, and only the rest goes through the merges,
 each distinct one once per worker process as long as a bounded cache holds it.
 
 The cut is done by the vocabulary's own pattern.  It is used where Unicode
-versions cannot disagree (Latin letters and common punctuation, `SAFE`); a text
-with any other character, or with the string of a special token, goes through
-the library as a whole.  Results are those of the library in either case.
+versions cannot disagree (letters of common scripts, digits and punctuation,
+`SAFE`).  A text with other characters is parted where a blank stands between
+two safe characters, which the pattern always cuts: runs of safe words are
+counted here, the words between them go through the library.  A text with the
+string of a special token goes through the library as a whole.  Results are
+those of the library in every case.
 
 Defined results: a null text is empty and has 0 tokens; special strings inside
 a text become their special token, as the library does by default; rows are
@@ -29,8 +32,12 @@ from lodestone.llm.common import worker_cache
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A text of these characters only is cut by PATTERN here.
-SAFE = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧‰-›€™]*"
+#: Characters of the same kind (letter, digit, white space, other) in every version of Unicode that libraries use:
+#: ASCII, Latin, general punctuation, Greek, Cyrillic, Hebrew, Arabic, Kana, ideographs, Hangul and their punctuation.
+BLANKS, SIGNS = r"\t\n\r\x20", r"\x21-\x7e\xa1-\xac\xae-ɏ‐-‧‰-›€™ΆΈ-ΊΌΎ-ΡΣ-ώЀ-ҁҊ-ӿא-תء-غف-ي、-〃〈-】ぁ-ゖァ-ヺー一-龥가-힣！-？"
+SAFE = f"[{BLANKS}{SIGNS}]*"
+#: Places where every text may be parted: before a blank between two safe characters.
+PARTS = f"(?<=[{SIGNS}])(?= [{SIGNS}])"
 CACHE_ENTRIES = 400_000
 TOKEN_LIMIT = 1024
 
@@ -78,14 +85,29 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.cut, self.safe = regex.compile(PATTERN).findall, regex.compile(SAFE).fullmatch
+        self.cut, self.safe, self.parts = regex.compile(PATTERN).findall, regex.compile(SAFE).fullmatch, regex.compile(PARTS)
         self.special = regex.compile("|".join(map(regex.escape, special))).search if special else lambda text: None
         # The same merges, without the library's cost for each call.
         self.merges = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
         self.whole, self.known = whole, dict.fromkeys(whole, 1)
 
-    def _shortcut(self, text: str) -> bool:
-        return self.safe(text) is not None and self.special(text) is None
+    def _runs(self, text: str) -> Iterator[tuple[bool, str]]:
+        """The text in runs that the pattern cuts here, or that the library must encode."""
+        if self.special(text) is not None:
+            yield False, text
+            return
+        if self.safe(text) is not None:
+            yield True, text
+            return
+        cuts = [0, *(m.start() for m in self.parts.finditer(text)), len(text)]
+        begin, kind = 0, None
+        for s, e in zip(cuts, cuts[1:]):
+            safe = self.safe(text, s, e) is not None
+            if kind is not None and safe != kind:
+                yield kind, text[begin:s]
+                begin = s
+            kind = safe
+        yield bool(kind), text[begin:]
 
     def _learn(self, pieces: list[str]) -> None:
         """Counts the merges of pre-tokens that aren't whole tokens, once each."""
@@ -97,8 +119,9 @@ class Encoder:
                 known[p] = len(merge(p.encode()))
 
     def count(self, text: str) -> int:
-        if not self._shortcut(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+        return sum(self._counted(x) if safe else len(self.library.encode(x, add_special_tokens=False).ids) for safe, x in self._runs(text))
+
+    def _counted(self, text: str) -> int:
         pieces = self.cut(text)
         try:
             return sum(map(self.known.__getitem__, pieces))
@@ -107,9 +130,10 @@ class Encoder:
             return sum(map(self.known.__getitem__, pieces))
 
     def ids(self, text: str) -> list[int]:
-        if not self._shortcut(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.merges.encode_ordinary(text)
+        out: list[int] = []
+        for safe, x in self._runs(text):
+            out += self.merges.encode_ordinary(x) if safe else self.library.encode(x, add_special_tokens=False).ids
+        return out
 
 
 def worker_encoder(path: str, whole=None) -> Encoder:

@@ -71,13 +71,24 @@ def test_encoder_equals_the_library_on_safe_characters(library):
     whole = tokens.whole_tokens(tokens.default_vocabulary())
     assert len(whole) > 40_000 and all(len(library.encode(s, add_special_tokens=False).ids) == 1 for s in list(whole)[:500])
     e, rnd = tokens.Encoder(tokens.default_vocabulary(), whole), random.Random(5)
-    safe = [chr(i) for i in range(0x3000) if regex.fullmatch(tokens.SAFE, chr(i))]
-    for _ in range(2000):
-        s = "".join(rnd.choice(safe) if rnd.random() < 0.5 else rnd.choice(" ab's\n1.") for _ in range(rnd.randint(0, 30)))
+    safe = [chr(i) for i in range(0x10000) if regex.fullmatch(tokens.SAFE, chr(i))]
+    latin = [c for c in safe if ord(c) < 0x3000]
+    odd = [chr(i) for i in (0x85, 0xA0, 0x300, 0x64B, 0x2003, 0x200D, 0x3000, 0xAD, 0xFEFF, 0x1F600, 0x10400, 0x1D7CE, 0x32000, 0x0E01, 0x0905)]
+    for k in range(6000):
+        pool = (safe, latin, safe + odd * 2000)[k % 3]
+        s = "".join(rnd.choice(pool) if rnd.random() < 0.5 else rnd.choice(" ab's\n1. ") for _ in range(rnd.randint(0, 30)))
         ids = library.encode(s, add_special_tokens=False).ids
         assert e.ids(s) == ids and e.count(s) == len(ids)
 
 
+def test_words_of_odd_characters_leave_the_shortcut_to_the_others():
+    e = tokens.Encoder(tokens.default_vocabulary(), {})
+    runs = list(e._runs("plain words \U0001f600 then Ελληνικά и русский 日本語 a\u0300 x end"))
+    assert "".join(x for _, x in runs) == "plain words \U0001f600 then Ελληνικά и русский 日本語 a\u0300 x end"
+    assert [safe for safe, _ in runs] == [True, False, True, False, True] and "русский" in runs[2][1]
+    assert list(e._runs("a <|endoftext|> b")) == [(False, "a <|endoftext|> b")] and list(e._runs("")) == [(True, "")]
+
+
 def test_packing_round_trip(docs, rows, empty, library):
     got = packing.packed(docs, with_ids=True).collect()
     stream = collections.defaultdict(dict)
