@@ -134,7 +134,8 @@ def _padded(text: str | None) -> np.ndarray:
 
 def _scored(texts, model: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log likelihoods (texts x languages), whether a text has a letter, and its number of n-grams."""
-    columns, most = model.shape[0], max(ORDERS)
+    columns, most, unused = model.shape[0], max(ORDERS), model.shape[1]
+    padded = np.hstack([model, np.zeros((columns, 1), model.dtype)])  # one more bucket, which adds nothing
     sums, has, grams = np.zeros((len(texts), columns)), np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
     group, places, skips, size = [], [], [], 0
 
@@ -152,11 +153,11 @@ def _scored(texts, model: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
             some = last > first
             use[first[some]] += 1
             use[last[some]] -= 1
-            used = np.cumsum(use)[: len(b)].astype(bool)
+            b = np.where(np.cumsum(use)[: len(b)] > 0, b, unused)
             np.add.at(grams, places, np.where(some, last - first, 0))
             for c in range(columns):
                 value = np.zeros(len(codes))
-                value[: len(b)][used] = model[c][b[used]]
+                value[: len(b)] = padded[c][b]
                 np.add.at(sums[:, c], places, np.add.reduceat(value, cuts))
         group, places, skips, size = [], [], [], 0
 
