@@ -36,7 +36,6 @@ from lodestone.llm.bloom import filter_bits, seen_twice, twice_seen
 from lodestone.llm.common import written
 
 BROADCAST_BYTES = 16 << 20
-LINE_BYTES = 48  # guessed mean, which sizes the filters; a poor guess costs suspects, not results
 
 
 def _keys(data: bytes) -> list[bytes]:
@@ -107,8 +106,9 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spark, keep_first = docs.sparkSession, keep == "first"
     others = [c for c in docs.columns if c not in (text, "_lines")]
     narrow = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_data"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
-    bits = filter_bits(size.n + (size.bytes or 0) // LINE_BYTES)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = docs.agg(F.sum(1 + F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))))).first()[0] or 0
+    bits = filter_bits(lines)
     shared = spark.sparkContext.broadcast(twice_seen(narrow.select("_data"), _hashes_of, bits))
     repeated = repeated_keys(narrow, least, shared, bits)
     size = repeated.agg(F.sum(F.octet_length("key") + 40)).first()[0] or 0
