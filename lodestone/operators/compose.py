@@ -159,7 +159,7 @@ def listwise_metrics(ranks: DataFrame, depths: tuple[int, ...] = (1, 5, 10, 20))
     The median is a percentile over counts by rank, which bounded depths keep short.
     """
     found, k = F.col("rank").isNotNull(), F.col("rank")
-    share = lambda d, whole: F.round(F.count_if(found & (k <= d)) / whole, 6)
+    share = lambda d, whole: F.round(F.try_divide(F.count_if(found & (k <= d)), whole), 6)
     n, all_ = F.count("rank"), F.count(F.lit(1))
     return ranks.groupBy("method").agg(
         n.alias("found"), F.round(F.avg(1 / k), 6).alias("mrr"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.percentile("rank", F.lit(0.5)), 6).alias("median_rank"),

@@ -118,6 +118,8 @@ def test_splits(spark):
 def test_listwise_metrics_and_changed_answers(spark):
     got = one(compose.listwise_metrics(spark.createDataFrame([("m", "a", 1), ("m", "b", 3), ("m", "c", None), ("m", "d", 12)], "method string, q_id string, rank int")))
     assert (got.found, got.mrr, got.median_rank, got.conditional_recall_5, got.recall_5) == (3, round((1 + 1 / 3 + 1 / 12) / 3, 6), 3.0, 0.666667, 0.5)
+    none = one(compose.listwise_metrics(spark.createDataFrame([("m", "a", None)], "method string, q_id string, rank int")))
+    assert (none.found, none.mrr, none.conditional_recall_1, none.recall_1, none.ndcg) == (0, None, None, 0.0, 0.0)
     schema = "q_id int, answerable boolean, refused boolean, answer string, f1 double"
     base = spark.createDataFrame([(1, False, True, "r", 0.0), (2, True, False, "x", 0.5), (3, True, False, "x", 0.5), (4, True, False, "x", 0.5), (5, True, False, "s", 0.1)], schema)
     other = spark.createDataFrame([(1, False, False, "a", 0.0), (2, True, False, "y", 0.7), (3, True, False, "y", 0.1), (4, True, False, "y", 0.5), (5, True, False, "s", 0.1)], schema)

@@ -71,9 +71,9 @@ DOCS = [
 def test_bm25_order(spark):
     docs = spark.createDataFrame(DOCS, "doc_id string, title string, text string")
     asked = spark.createDataFrame([("q", "service A stopped after upgrade")], "q_id string, title string")
-    got = retrieve.ranked(retrieve.bm25(docs, retrieve.query_terms(asked)), 2).orderBy("rank").collect()
+    got = retrieve.ranked(retrieve.bm25(docs, retrieve.query_terms(asked, "title")), 2).orderBy("rank").collect()
     assert [r.doc_id for r in got] == ["doc-a", "doc-b"] and got[0].score > got[1].score
-    empty = retrieve.ranked(retrieve.bm25(docs.limit(0), retrieve.query_terms(asked)))
+    empty = retrieve.ranked(retrieve.bm25(docs.limit(0), retrieve.query_terms(asked, "title")))
     assert empty.count() == 0
 
 
