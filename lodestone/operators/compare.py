@@ -159,3 +159,18 @@ def prefix_oracle(rows: DataFrame) -> DataFrame:
     """Best F1 over single sentences and over prefixes of one to three. Inputs: q_id, place, f1, prefix_f1."""
     w = W.partitionBy("q_id")
     return rows.withColumn("_m", F.max("f1").over(w)).groupBy("q_id").agg(F.max("f1").alias("best_single"), F.max("prefix_f1").alias("best_prefix"), F.max(F.when(F.col("place") == 1, F.col("f1"))).alias("first"))
+
+
+def locality_bucket(query: Column, text: Column, start: Column, end: Column, section_tokens: Column, position: Column) -> Column:
+    """Whether the text within 220 characters of the answer shares terms with the query.
+
+    `query` is a set of tokens, `section_tokens` the token count of the gold
+    section (null: none was found), `position` the answer's place in it, 0 to 1.
+    """
+    first = F.greatest(start - 220, F.lit(0))
+    near = F.substring(text, first + 1, F.greatest(F.coalesce(F.nullif(end, F.lit(0)), start) + 220 - first, F.lit(0)))
+    far = F.coalesce(M.overlap_ratio(query, F.array_distinct(T.tokens(near))), F.lit(0.0)) < 0.1
+    return (
+        F.when(text.isNull(), "gold_document_missing").when(section_tokens.isNull() | start.isNull(), "section_not_identified").when(far & (section_tokens > 220), "long_section_low_local_anchor")
+        .when(far & (position <= 0.15), "boundary_early_low_local_anchor").when(far & (position >= 0.85), "boundary_late_low_local_anchor").when(far, "low_local_anchor").otherwise("local_anchor_present")
+    )

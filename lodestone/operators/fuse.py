@@ -139,3 +139,8 @@ def swaps(candidates: DataFrame, keep: int = 10, budget: int = 3, margin: float
     gain = F.round(F.col("in_model") - F.col("out_model"), 6)
     return a.join(b, ["q_id", "i"]).withColumn("gain", gain).withColumn("accepted", F.col("gain") > margin).select("q_id", "i", "out_doc", "in_doc", "gain", "accepted")
 
+
+
+def one_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in the given order: first wins, or with a descending order last wins."""
+    return top_k(rows, keys, order, 1, "_n").drop("_n")

@@ -154,3 +154,18 @@ def leakage_report(exact: DataFrame, near: DataFrame, total: DataFrame) -> DataF
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     both = count(total, "rows").join(count(exact, "exact")).join(count(near, "near"))
     return both.withColumn("decision", F.when((F.col("exact") > 0) | (F.col("near") > 0), "leakage_found").otherwise("clean"))
+
+
+def exact_precheck(external: DataFrame, development: DataFrame, id_: str, dev_id: str, split: str) -> DataFrame:
+    """One row: development questions, exact pairs, distinct external rows in them, and whether there are none.
+
+    Both tables have a `text`.  The counts of equal texts are multiplied, so a
+    text that a third of the rows hold never becomes pairs.
+    """
+    norm = T.question_key(F.col("text"))
+    a = external.select(F.col(id_).alias("_id"), norm.alias("norm")).distinct().groupBy("norm").agg(F.count(F.lit(1)).alias("n_external"))
+    b = development.select(F.struct(split, dev_id).alias("_dev"), norm.alias("norm"))
+    by_norm = b.groupBy("norm").agg(F.count(F.lit(1)).alias("n_dev"))
+    met = a.join(by_norm, "norm").filter("norm <> ''").agg(F.coalesce(F.sum(F.col("n_external") * F.col("n_dev")), F.lit(0)).alias("exact_pairs"), F.coalesce(F.sum("n_external"), F.lit(0)).alias("external_rows"))
+    asked = b.agg(F.count(F.lit(1)).alias("development_questions"))
+    return asked.join(met).withColumn("passed", F.col("exact_pairs") == 0)
