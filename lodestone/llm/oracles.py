@@ -80,4 +80,22 @@ z AS MATERIALIZED (SELECT k.*, coalesce(cut, CASE WHEN k.c > 0 THEN {mixing.STEP
 cl AS (SELECT source, arg_min(unit, (abs(size - gap), unit)) AS closer FROM z WHERE gap > 0 AND rank >= cut AND abs(size - gap) < gap GROUP BY source)
 SELECT doc_id, size, source_size, target, (copies + (rank < cut OR coalesce(unit = closer, false))::BIGINT) * size AS taken FROM z LEFT JOIN cl ON z.source IS NOT DISTINCT FROM cl.source"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9}
+_LETTERS = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS {x})"
+OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_words('text')} AS w FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS MATERIALIZED (SELECT part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d LEFT JOIN l USING (doc_id)),
+m AS MATERIALIZED (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT a || b || c || d || e AS filter_order FROM {_LETTERS.format(x='a')}, {_LETTERS.format(x='b')}, {_LETTERS.format(x='c')}, {_LETTERS.format(x='d')}, {_LETTERS.format(x='e')} WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+r AS MATERIALIZED (SELECT part, filter_order, step, filter_order[step] AS letter,
+sum(n) FILTER (length(translate(fails, filter_order[:step], '')) = length(fails)) AS kept,
+sum(n) FILTER (contains(fails, filter_order[step]) AND length(translate(fails, filter_order[:step - 1], '')) = length(fails)) AS removed,
+sum(n) FILTER (contains(fails, filter_order[step]) AND length(translate(fails, filter_order[:step - 1], '')) < length(fails)) AS redundant,
+sum(n) FILTER (fails = filter_order[step]) AS unique_fails,
+sum(good) FILTER (contains(fails, filter_order[step]) AND length(translate(fails, filter_order[:step - 1], '')) = length(fails)) AS good_lost,
+sum(toxic) FILTER (contains(fails, filter_order[step]) AND length(translate(fails, filter_order[:step - 1], '')) = length(fails)) AS toxic_lost
+FROM m, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM r"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op11_filter_audit": OP11}

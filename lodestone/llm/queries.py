@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_search, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens
+from lodestone.llm import exact_search, filter_audit, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens
 from lodestone.llm.common import crc_mod
 from lodestone.llm.oracles import ORACLES  # noqa: F401
 
@@ -67,4 +67,9 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(docs, labels, lambda c: crc_mod(c, 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.audited(docs, labels)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model, op11_filter_audit)}
