@@ -44,12 +44,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     The folder goes when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
+    path = forgotten(spark, f"{scratch_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(spark: SparkSession, path: str) -> str:
+    """The path, whose files go when the driver's Python ends."""
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -79,3 +84,23 @@ def crc_mod(id_column: Column, modulus: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, for use inside lambda functions."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: A key above this share of all rows is hot; at most HOT_KEYS keys can be.
+HOT_KEYS = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
+    """Left join on `key`, unique in `table` and not null, where a key may hold a large share of `rows`.
+
+    The HOT_KEYS keys of the largest `weight` (their number of rows) are
+    broadcast; any other key holds at most a 1 / HOT_KEYS of the rows.  Rows of
+    hot keys are dealt out by `spread` in the join with the other keys, which
+    they can't match.  The weight column is left out of the result.
+    """
+    values = [c for c in table.columns if c not in (key, weight)]
+    hot = table.orderBy(F.col(weight).desc(), key).limit(HOT_KEYS).select(key, F.struct(*values).alias("_hot"))
+    rest = table.join(F.broadcast(hot), key, "left_anti").select(key, F.lit(0).cast("bigint").alias("_salt"), F.struct(*values).alias("_rest"))
+    one = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(spread.bitwiseOR(F.lit(1))))
+    both = one.join(rest, [key, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_rest"))
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("_got")[c].alias(c) for c in values])

@@ -98,4 +98,11 @@ sum(toxic) FILTER (contains(fails, filter_order[step]) AND length(translate(fail
 FROM m, s GROUP BY part, filter_order, step)
 SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM r"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op11_filter_audit": OP11}
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first, sha1(h) AS x FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || x[5 * (i // 4) + 1 : 5 * (i // 4) + 5])::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT]), '') AS payload_digest,
+CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NULL OR page_id < first THEN first END AS refers_to FROM m"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op11_filter_audit": OP11, "op12_warc": OP12}

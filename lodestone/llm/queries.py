@@ -6,11 +6,13 @@ SQL for those that SQL can express.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_search, filter_audit, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens
-from lodestone.llm.common import crc_mod
+from lodestone.llm import exact_search, filter_audit, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens, warc
+from lodestone.llm.common import crc_mod, forgotten, scratch_dir
 from lodestone.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -72,4 +74,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(docs, labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model, op11_filter_audit)}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = forgotten(spark, f"{scratch_dir(spark)}/lodestone-warc-{uuid.uuid4().hex}")
+    warc.archived(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.summary(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model, op11_filter_audit, op12_warc)}
