@@ -105,4 +105,31 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || x[5 * (i // 4) + 1 : 5 * (i // 4) + 5])::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT]), '') AS payload_digest,
 CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NULL OR page_id < first THEN first END AS refers_to FROM m"""
 
-ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op11_filter_audit": OP11, "op12_warc": OP12}
+_FLOOR = "((s - ((s % n) + n) % n) // n)"
+
+
+def _codes() -> str:
+    """Six rounds, each a pair of CTEs: the nearest entry of every part, then the entries' means."""
+    near = "SELECT r, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, x.part, entry, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d FROM x JOIN {c} c ON x.part = c.part) GROUP BY r, part"
+    rounds = []
+    for k in range(6):
+        rounds.append(f"a{k} AS MATERIALIZED ({near.format(c=f'c{k}')})")
+        rounds.append(
+            f"m{k} AS (SELECT part, entry, list({_FLOOR} ORDER BY i) AS v FROM (SELECT a.part, a.entry, i, sum(x.v[i])::BIGINT AS s, count(*) AS n FROM a{k} a JOIN x USING (r, part), LATERAL (SELECT unnest(range(1, len(x.v) + 1)) AS i) GROUP BY a.part, a.entry, i) GROUP BY part, entry), "
+            f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (part, entry))"
+        )
+    return f"""
+WITH u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+x AS MATERIALIZED (SELECT r, p AS part, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM u, LATERAL (SELECT unnest(range(8)) AS p)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v FROM x WHERE r <= 16),
+{', '.join(rounds)},
+f AS MATERIALIZED ({near.format(c='c6')}),
+g AS MATERIALIZED (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM f GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM u JOIN g USING (r), b"""
+
+
+OP13 = _codes()
+
+ORACLES = {"op1_line_dedup": OP1, "op2_exact_search": OP2, "op5_substring_dedup": OP5, "op7_quality_rules": OP7, "op9_mixing": OP9, "op11_filter_audit": OP11, "op12_warc": OP12, "op13_vector_codes": OP13}

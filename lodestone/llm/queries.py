@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_search, filter_audit, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens, warc
+from lodestone.llm import exact_search, filter_audit, language_id, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, tokens, vector_codes, warc
 from lodestone.llm.common import crc_mod, forgotten, scratch_dir
 from lodestone.llm.oracles import ORACLES  # noqa: F401
 
@@ -80,4 +80,8 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model, op11_filter_audit, op12_warc)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_search, op3_language_id, op4_simhash, op5_substring_dedup, op6_packing, op7_quality_rules, op8_token_counts, op9_mixing, op10_quality_model, op11_filter_audit, op12_warc, op13_vector_codes)}
