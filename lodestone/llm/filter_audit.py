@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, written
+from lodestone.llm.common import SPACES
 
 LETTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
@@ -67,16 +67,16 @@ def mask_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     name = F.coalesce(F.col(f"`{part}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), name.alias("part"), body.alias("body"))
     rows = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest"), own.alias("own"))
-    rows = written(rows.groupBy("doc_id", "part", "digest", "own").agg(F.count(F.lit(1)).alias("n")), "masks")
-    named, nameless = rows.filter("doc_id IS NOT NULL"), rows.filter("doc_id IS NULL")
-    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
-    copy = F.shiftleft(F.col("first").isNull().cast("int"), 4)
-    judged = named.join(firsts, ["digest", "doc_id"], "left").select("doc_id", "part", "n", F.col("own").bitwiseOR(copy).alias("mask"))
+    # One shuffle of the digests serves both uses below: the same aggregate, so that its exchange is made once.
+    rows = rows.groupBy("doc_id", "part", "digest", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    copy = F.shiftleft((F.col("first").isNull() & F.col("doc_id").isNotNull()).cast("int"), 4)
+    judged = rows.join(firsts, ["digest", "doc_id"], "left").withColumn("mask", F.col("own").bitwiseOR(copy))
     says = [F.max((F.coalesce(F.col(f"`{c}`"), F.lit(0)) == 1).cast("int")).alias(n) for c, n in ((quality, "good"), (toxic, "toxic"))]
-    marks = labels.filter(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("doc_id")).agg(*says)
-    marked = judged.join(marks, "doc_id", "left").select("part", "mask", "n", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    zero = F.lit(0)
-    both = marked.unionByName(nameless.select("part", F.col("own").alias("mask"), "n", zero.alias("good"), zero.alias("toxic")))
+    marks = labels.filter(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("doc_id")).agg(*says).withColumn("salt", F.lit(0).cast("bigint"))
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("digest", "part")).otherwise(F.lit(0).cast("bigint"))  # rows without an id are spread
+    both = judged.withColumn("salt", salt).join(marks, ["doc_id", "salt"], "left")
+    both = both.select("part", "mask", "n", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     return both.groupBy("part", "mask").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in MEASURES[1:]])
 
 
