@@ -203,8 +203,8 @@ class Gzip(Plain):
         while n > len(self.held):
             n -= len(self.held)
             self.held = b""
-            if self.unpacker and self.next and n >= self.left:  # the rest of the member
-                n -= self.left
+            if self.unpacker and self.next and n >= self.left - 2 * len(CRLF):  # only the line ends of the member follow
+                n = max(0, n - self.left)
                 self.passed += max(0, self.next - self.at)
                 self.raw = self.raw[len(self.raw) - (self.at - self.next) :] if self.at > self.next else b""
                 self.at, self.unpacker = max(self.at, self.next), None
