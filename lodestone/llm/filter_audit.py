@@ -69,9 +69,10 @@ def mask_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     rows = rows.select("doc_id", "part", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest"), own.alias("own"))
     # One shuffle of the digests serves both uses below: the same aggregate, so that its exchange is made once.
     rows = rows.groupBy("doc_id", "part", "digest", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    firsts = rows.groupBy(F.col("digest").alias("same")).agg(F.min("doc_id").alias("least")).withColumn("first", F.lit(True))
+    # Null-safe equality keeps the planner from adding filters to one of the two uses, which would part their exchanges.
     copy = F.shiftleft((F.col("first").isNull() & F.col("doc_id").isNotNull()).cast("int"), 4)
-    judged = rows.join(firsts, ["digest", "doc_id"], "left").withColumn("mask", F.col("own").bitwiseOR(copy))
+    judged = rows.join(firsts, F.col("digest").eqNullSafe(F.col("same")) & F.col("doc_id").eqNullSafe(F.col("least")), "left").withColumn("mask", F.col("own").bitwiseOR(copy))
     says = [F.max((F.coalesce(F.col(f"`{c}`"), F.lit(0)) == 1).cast("int")).alias(n) for c, n in ((quality, "good"), (toxic, "toxic"))]
     marks = labels.filter(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("doc_id")).agg(*says).withColumn("salt", F.lit(0).cast("bigint"))
     salt = F.when(F.col("doc_id").isNull(), F.xxhash64("digest", "part")).otherwise(F.lit(0).cast("bigint"))  # rows without an id are spread
