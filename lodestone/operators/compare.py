@@ -114,8 +114,8 @@ def feature_contrasts(rows: DataFrame, group: str, features: list[str]) -> DataF
 
 def fold_stability(rows: DataFrame, value: str, fold: str) -> DataFrame:
     """Spread of a metric's mean across folds."""
-    per = rows.groupBy(fold).agg(F.avg(value).alias("m"))
-    return per.agg(F.round(F.min("m"), 4).alias("lowest"), F.round(F.max("m"), 4).alias("highest"), F.round(F.max("m") - F.min("m"), 4).alias("spread"), F.round(F.avg("m"), 4).alias("average"))
+    per = rows.groupBy(fold).agg((F.sum(F.round(F.col(value) * 10_000).cast("bigint")) / F.count(value) / F.lit(10_000.0)).alias("m"))  # exact sums of 1e-4
+    return per.agg(F.round(F.min("m"), 6).alias("lowest"), F.round(F.max("m"), 6).alias("highest"), F.round(F.max("m") - F.min("m"), 6).alias("spread"), F.round(F.avg("m"), 6).alias("average"))
 
 
 def support_gate(candidates: DataFrame, score: float, rank: int, least: int) -> DataFrame:

@@ -105,7 +105,7 @@ def feature_contrasts(spark, d):
     return compare.feature_contrasts(c, "cited_gold", ["f1", "refused"])
 
 
-@query(S.query(CASES, "SELECT round(min(m), 4) AS lowest, round(max(m), 4) AS highest, round(max(m) - min(m), 4) AS spread, round(avg(m), 4) AS average FROM (SELECT avg(f1) AS m FROM cs GROUP BY q_id::BIGINT % 5)"))
+@query(S.query(CASES, "SELECT round(min(m), 6) AS lowest, round(max(m), 6) AS highest, round(max(m) - min(m), 6) AS spread, round(avg(m), 6) AS average FROM (SELECT sum(round(f1 * 10000)::BIGINT) / count(f1) / 10000.0::DOUBLE AS m FROM cs GROUP BY q_id::BIGINT % 5)"))
 def fold_stability(spark, d):
     c = cases(Evidence(spark, d)).withColumn("fold", F.col("q_id").cast("bigint") % 5)
     return compare.fold_stability(c, "f1", "fold")
