@@ -6,6 +6,7 @@ expressions that must treat Unicode white space alike carry `(?U)`.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -127,62 +128,103 @@ def non_ascii_ratio(text: Column) -> Column:
     return ratio_of(text, r"[\x00-\x7F]")
 
 
-def noise_penalty(text: Column) -> Column:
-    low, n = F.lower(text), F.length(text)
-    return product(factor(n > 260, 0.72), factor(n > 500, 0.55), factor(has(low, PATH_LIKE), 0.7), factor(has(low, DUMP), 0.75), factor(symbol_ratio(text) > 0.18, 0.8))
+class Signals:
+    """What the scores below read of a text; `found` tests one of PATTERNS, CONTAINED or NULL_WORD.
 
+    Of a window, `span` is the window itself and `text` the window behind its heading.
+    """
 
-def answer_bonus(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(has(low, ANSWER), 25.0).when(has(low, WORKAROUND), 12.0).when(has(low, CAUSE), 10.0).otherwise(0.0)
+    def __init__(self, text: Column, span: Column | None = None) -> None:
+        low = F.lower(text)
+        span = text if span is None else span
+        self.found = lambda key: on(low, key)
+        self.chars, self.symbols, self.foreign = F.length(text), symbol_ratio(text), non_ascii_ratio(text)
+        self.tokens, self.sentences, self.cves = F.size(tokens(span)), F.size(sentences(span)), cves(text)
 
 
-def answer_multiplier(text: Column) -> Column:
-    low = F.lower(text)
-    return product(factor(has(low, ANSWER), 2.5), factor(has(low, WORKAROUND), 1.6), factor(has(low, CAUSE), 1.3), factor(has(low, ACTION), 1.1))
+class Kept(Signals):
+    """The same from the columns of `unit_signals` and sums of them."""
 
+    def __init__(self, bits: Column, chars: Column, symbols: Column, foreign: Column, tokens_: Column, sentences_: Column, cves_: Column) -> None:
+        self.found = lambda key: bits.bitwiseAND(F.lit(1 << KEYS.index(key))) != 0
+        share = lambda n: F.when(chars > 0, n / chars).otherwise(F.lit(0.0))
+        self.chars, self.symbols, self.foreign = chars, share(symbols), share(foreign)
+        self.tokens, self.sentences, self.cves = tokens_, sentences_, cves_
 
-def problem_penalty(text: Column) -> Column:
-    low = F.lower(text)
-    stated = low.contains("problem(abstract)") | has(low, STATED)
-    return product(
-        factor(stated, 0.12),
-        factor(has(low, DIAGNOSIS), 0.5),
-        factor(has(low, PROBLEM_DUMP), 0.25),
-        factor(F.concat(F.lit(" "), low, F.lit(" ")).contains(" null "), 0.6),
-    )
+
+BACKGROUND = (r"\bsummary\b", r"\baffected products and versions\b", r"\bremediation/fixes\b")
+#: Everything that `found` may be asked; parts of a text that hold a blank are in CONTAINED.
+PATTERNS = (ANSWER, WORKAROUND, CAUSE, ACTION, WINDOW_ACTION, SPAN_ACTION, RESOLVE, STEPS, MUST, PATH_LIKE, DUMP, PROBLEM_DUMP, STATED, DIAGNOSIS, CVSS, CVSS_SHORT, DESCRIPTION, LIMITATION, ENHANCEMENT, CVE, *BACKGROUND)
+CONTAINED, NULL_WORD = ("problem(abstract)", "cve", "security bulletin", "docview", "support/docview", "security bulletin:"), "null word"
+KEYS = (*PATTERNS, *CONTAINED, NULL_WORD)
+#: The phrases of several words in PATTERNS and CONTAINED, which alone can lie across the end of a sentence.
+PHRASES = sorted({p for k in (*PATTERNS, *CONTAINED) if k != PATH_LIKE for p in re.findall(r"[a-z/]+(?: [a-z/]+)+", k.replace(r"\b", "|"))})
+
+
+def on(low: Column, key: str) -> Column:
+    if key == NULL_WORD:
+        return F.concat(F.lit(" "), low, F.lit(" ")).contains(" null ")
+    return low.contains(key) if key in CONTAINED else has(low, key)
 
 
-def action_bonus(text: Column) -> Column:
+def bits_of(low: Column, keys=KEYS) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(on(low, k), F.lit(1 << KEYS.index(k)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k in keys])
+
+
+def phrase_bits(text: Column) -> Column:
+    """Bits of keys with phrases, tested only where the text has one of the phrases at all."""
     low = F.lower(text)
-    return (
-        bonus(has(low, RESOLVE), 12)
-        + bonus(has(low, STEPS), 8)
-        + bonus(has(low, WINDOW_ACTION), 5)
-        + bonus(has(low, MUST), 3)
-    )
+    keys = [k for k in (*PATTERNS, *CONTAINED) if any(p in k for p in PHRASES)]
+    return F.when(low.rlike("|".join(re.escape(p) for p in PHRASES)), bits_of(low, keys)).otherwise(F.lit(0).cast("bigint"))
+
+
+def unit_signals(text: Column, prefix: str = "") -> list[Column]:
+    """Columns bits, chars, symbols, foreign and cves of a heading or sentence; sums, unions and `bitwiseOR` join them."""
+    count = lambda removed: F.length(F.regexp_replace(text, removed, ""))
+    parts = {"bits": bits_of(F.lower(text)), "chars": F.length(text), "symbols": count(r"(?U)[\p{L}\p{N}\s]"), "foreign": count(r"[\x00-\x7F]"), "cves": cves(text)}
+    return [c.alias(prefix + n) for n, c in parts.items()]
+
 
+def noise_penalty(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    return product(factor(x.chars > 260, 0.72), factor(x.chars > 500, 0.55), factor(x.found(PATH_LIKE), 0.7), factor(x.found(DUMP), 0.75), factor(x.symbols > 0.18, 0.8))
 
-def compact_multiplier(span: Column, scoring: Column) -> Column:
-    n = F.size(sentences(span))
-    few = (n > 1) & (n <= 3)
-    return factor(few & (F.size(tokens(span)) <= 90), 1.08) * factor((answer_bonus(scoring) > 0) & few, 1.08)
 
+def answer_bonus(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    return F.when(x.found(ANSWER), 25.0).when(x.found(WORKAROUND), 12.0).when(x.found(CAUSE), 10.0).otherwise(0.0)
 
-def length_penalty(text: Column, hard: int, soft: int) -> Column:
-    n = F.size(tokens(text))
+
+def answer_multiplier(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    return product(factor(x.found(ANSWER), 2.5), factor(x.found(WORKAROUND), 1.6), factor(x.found(CAUSE), 1.3), factor(x.found(ACTION), 1.1))
+
+
+def problem_penalty(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    stated = x.found("problem(abstract)") | x.found(STATED)
+    return product(factor(stated, 0.12), factor(x.found(DIAGNOSIS), 0.5), factor(x.found(PROBLEM_DUMP), 0.25), factor(x.found(NULL_WORD), 0.6))
+
+
+def action_bonus(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    return bonus(x.found(RESOLVE), 12) + bonus(x.found(STEPS), 8) + bonus(x.found(WINDOW_ACTION), 5) + bonus(x.found(MUST), 3)
+
+
+def compact_multiplier(span: Column, scoring: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(scoring, span)
+    few = (x.sentences > 1) & (x.sentences <= 3)
+    return factor(few & (x.tokens <= 90), 1.08) * factor((answer_bonus(scoring, own) > 0) & few, 1.08)
+
+
+def length_penalty(text: Column, hard: int, soft: int, own: Signals | None = None) -> Column:
+    n = own.tokens if own else F.size(tokens(text))
     return F.when(n > hard, 0.65).when(n > soft, 0.8).otherwise(1.0)
 
 
-def span_bonus(text: Column) -> Column:
-    low = F.lower(text)
-    return (
-        bonus(has(low, CVSS), 45)
-        + bonus(has(low, DESCRIPTION) & low.contains("cve"), 20)
-        + bonus(has(low, LIMITATION), 22)
-        + bonus(has(low, ENHANCEMENT), 16)
-        + bonus(has(low, SPAN_ACTION), 6)
-    )
+def span_bonus(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    return bonus(x.found(CVSS), 45) + bonus(x.found(DESCRIPTION) & x.found("cve"), 20) + bonus(x.found(LIMITATION), 22) + bonus(x.found(ENHANCEMENT), 16) + bonus(x.found(SPAN_ACTION), 6)
 
 
 def cves(text: Column) -> Column:
@@ -190,32 +232,32 @@ def cves(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?U)({CVE})"), F.lit(1)))
 
 
-def cve_bonus(text: Column, wanted: Column) -> Column:
+def cve_bonus(text: Column, wanted: Column, own: Signals | None = None) -> Column:
     """`wanted`: the CVE ids of the question."""
-    own = cves(text)
-    shared = F.size(F.array_intersect(own, wanted))
-    first = F.coalesce(F.array_contains(wanted, F.get(own, F.lit(0))), F.lit(False))
-    return F.when(F.size(wanted) == 0, 0.0).when(F.size(own) == 0, -18.0).when(shared == 0, -45.0).otherwise(28.0 * shared + bonus(first, 18))
+    ids = own.cves if own else cves(text)
+    shared = F.size(F.array_intersect(ids, wanted))
+    first = F.coalesce(F.array_contains(wanted, F.get(ids, F.lit(0))), F.lit(False))
+    return F.when(F.size(wanted) == 0, 0.0).when(F.size(ids) == 0, -18.0).when(shared == 0, -45.0).otherwise(28.0 * shared + bonus(first, 18))
 
 
-def cve_multiplier(text: Column, wanted: Column) -> Column:
-    own = cves(text)
-    extra = F.size(F.array_except(own, wanted))
-    first = F.coalesce(F.array_contains(wanted, F.get(own, F.lit(0))), F.lit(False))
+def cve_multiplier(text: Column, wanted: Column, own: Signals | None = None) -> Column:
+    ids = own.cves if own else cves(text)
+    extra = F.size(F.array_except(ids, wanted))
+    first = F.coalesce(F.array_contains(wanted, F.get(ids, F.lit(0))), F.lit(False))
     spread = F.when(extra > 0, F.greatest(F.lit(0.55), 1.0 - 0.15 * extra)).otherwise(1.0)
     hit = F.lit(1.35) * spread * factor(~first, 0.68)
-    return F.when(F.size(wanted) == 0, 1.0).when(F.size(own) == 0, 0.65).when(F.size(F.array_intersect(own, wanted)) == 0, 0.35).otherwise(hit)
+    return F.when(F.size(wanted) == 0, 1.0).when(F.size(ids) == 0, 0.65).when(F.size(F.array_intersect(ids, wanted)) == 0, 0.35).otherwise(hit)
 
 
-def background_penalty(text: Column) -> Column:
-    low = F.lower(text)
-    return product(factor(has(low, r"\bsummary\b"), 0.6), factor(has(low, r"\baffected products and versions\b"), 0.55), factor(has(low, r"\bremediation/fixes\b"), 0.8))
+def background_penalty(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    return product(*[factor(x.found(p), v) for p, v in zip(BACKGROUND, (0.6, 0.55, 0.8))])
 
 
-def reference_penalty(text: Column) -> Column:
-    low = F.lower(text)
-    foreign = (non_ascii_ratio(text) > 0.08) & (low.contains("security bulletin") | low.contains("docview") | has(low, CVE))
-    pointer = low.contains("support/docview") & low.contains("security bulletin:") & ~has(low, CVSS_SHORT)
+def reference_penalty(text: Column, own: Signals | None = None) -> Column:
+    x = own or Signals(text)
+    foreign = (x.foreign > 0.08) & (x.found("security bulletin") | x.found("docview") | x.found(CVE))
+    pointer = x.found("support/docview") & x.found("security bulletin:") & ~x.found(CVSS_SHORT)
     return factor(foreign, 0.42) * factor(pointer, 0.75)
 
 

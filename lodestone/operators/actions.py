@@ -134,7 +134,7 @@ def risk_calibration(rows: DataFrame, probability: str, label: str, bins: int =
 
 
 def coverage_threshold(rows: DataFrame, score: str, coverage: float) -> DataFrame:
-    """The score at place ceil(n coverage), best first."""
-    n = rows.count()
-    at = max(1, -int(-(n * coverage) // 1))
-    return rows.select(F.col(score).alias("threshold")).orderBy(F.desc("threshold")).limit(at).agg(F.min("threshold").alias("threshold"))
+    """The score at place ceil(n coverage), best first, found by refined histograms."""
+    from lodestone.operators.policies import coverage_thresholds
+
+    return coverage_thresholds(rows.select(F.lit(1).alias("all"), F.col(score).alias("utility")), coverage, "all").select("threshold")

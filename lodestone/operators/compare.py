@@ -140,6 +140,13 @@ def window_gate(rows: DataFrame, max_tokens: int = 90, max_sentences: int = 3, m
     return rows.withColumn("replace", ok)
 
 
+def gate_outcomes(rows: DataFrame) -> DataFrame:
+    """Per gate setting: F1 sums without windows, with all of them, and with those that pass. rows: (gate, replace, fs, fw)."""
+    grains = lambda c: F.sum(F.round(c * 10_000).cast("bigint")) / F.lit(10_000.0)  # noqa: E731  exact sums of 1e-4
+    g, s, w = F.col("replace"), F.col("fs"), F.col("fw")
+    return rows.groupBy("gate").agg(F.count(F.lit(1)).alias("windows"), F.count_if(g).alias("replaced"), grains(s).alias("baseline_f1"), grains(w).alias("forced_f1"), grains(F.when(g, w).otherwise(s)).alias("gated_f1"), F.count_if(g & (w > s)).alias("improved"), F.count_if(g & (w < s)).alias("regressed"))
+
+
 def anchored(rows: DataFrame, asked: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Order by twice the title overlap plus a quarter of the sentence overlap."""
     q = asked.select("q_id", F.array_distinct(T.tokens(F.col(text))).alias("_q"))

@@ -48,6 +48,7 @@ def score_guarded(rows: DataFrame, routes: DataFrame, blocked: tuple[str, ...] =
     `max_rank`; a document beyond it that the plain answer cites and the
     proposal drops.
     """
+    blocked_score, accepted = (f"candidate_score_gte_{min_score:g}_{x}" for x in ("blocked", "accepted"))
     # All state is bounded: the best row, the first row, and `limit` + 1 rows of a question.
     best = F.max_by(F.struct("place", "doc_id", "score", "model", "rank"), F.struct("model", -F.col("place")))
     chosen = rows.groupBy("q_id").agg(best.alias("b"), F.max(F.when(F.col("place") == 1, F.col("model"))).alias("first")).join(routes, "q_id")
@@ -59,16 +60,16 @@ def score_guarded(rows: DataFrame, routes: DataFrame, blocked: tuple[str, ...] =
     c = c.withColumn("proposed", F.slice(F.concat(F.array(lead), others), 1, limit))
     reason = (
         F.when(F.col("b.place") == 1, "model_selected_top_candidate").when(F.col("route").isin(*blocked) if blocked else F.lit(False), "route_blocked").when(F.col("b.place") > max_place, "selected_rank_exceeds_limit")
-        .when(F.col("margin") < min_margin, "score_margin_below_min").when(F.col("b.score") < min_score, "candidate_score_gte_60_blocked")
+        .when(F.col("margin") < min_margin, "score_margin_below_min").when(F.col("b.score") < min_score, blocked_score)
     )
     if max_rank is not None:
         reason = reason.when(F.exists("proposed", lambda x: x["rank"] > max_rank), "selected_citation_rank_exceeds_limit")
         if preserve:
             far = F.transform(F.filter("base", lambda x: x["rank"] > max_rank), lambda x: x["doc_id"])
             reason = reason.when(F.size(F.array_except(far, F.transform("proposed", lambda x: x["doc_id"]))) > 0, "baseline_out_of_rank_document_dropped")
-    reason = reason.otherwise("candidate_score_gte_60_accepted")
+    reason = reason.otherwise(accepted)
     c = c.withColumn("reason", reason)
-    taken = F.col("reason") == "candidate_score_gte_60_accepted"
+    taken = F.col("reason") == accepted
     kept = F.when(taken, F.col("proposed")).otherwise(F.col("base"))
     action = F.when(taken, "replace_with_model_candidate").otherwise("keep_top_candidate")
     return c.select("q_id", action.alias("action"), "reason", F.col("b.place").alias("lead"), "margin", F.array_join(F.transform(kept, lambda x: x["place"].cast("string")), ",").alias("kept"))

@@ -6,6 +6,8 @@ Rows: (q_id, doc_id, rank, pos, sentence, scoring, terms, overlap, ...).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,12 +31,53 @@ def sentence_rows(results: DataFrame, docs: DataFrame, least: int = MIN_CHARS) -
 
 
 def window_rows(results: DataFrame, docs: DataFrame, least: int = MIN_CHARS, most: int = SPAN_SENTENCES) -> DataFrame:
-    """Windows of 1 .. most sentences inside the sections of a document."""
-    parts = _retrieved(results, docs).select("q_id", "doc_id", "rank", F.posexplode(T.sections(F.col("text"))).alias("part", "s"))
-    sents = F.filter(T.sentences(F.col("s.body")), lambda x: F.length(x) >= least)
-    spans = parts.select("q_id", "doc_id", "rank", "part", F.col("s.heading").alias("heading"), F.posexplode(T.windows(sents, most)).alias("at", "sentence"))
-    scoring = F.when(F.col("heading") == "", F.col("sentence")).otherwise(F.concat_ws(" ", "heading", "sentence"))
-    return _first(spans.withColumn("scoring", scoring).withColumn("pos", F.col("part") * 100_000 + F.col("at")).drop("part", "at", "heading"))
+    """Windows of 1 .. most sentences inside the sections of a document, with their signals.
+
+    Patterns, tokens and terms are read once a sentence of each retrieved
+    document, whoever retrieved it.  A window adds up, joins or unites what its
+    sentences and its heading have; only phrases of several words, which may lie
+    across two sentences, are looked for in the joined text.
+    """
+    wanted = results.select("doc_id").distinct()
+    parts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("doc_id", F.posexplode(T.sections(F.col("text"))).alias("part", "s"))
+    parts = parts.select("doc_id", "part", F.col("s.heading").alias("heading"), *T.unit_signals(F.col("s.heading"), "h_"), F.filter(T.sentences(F.col("s.body")), lambda x: F.length(x) >= least).alias("sents"))
+    heads = [c for c in parts.columns if c != "sents"]
+    x = F.col("x")
+    units = parts.select(*heads, F.size("sents").alias("n"), F.posexplode("sents").alias("i", "x")).select(*heads, "n", "i", "x", *T.unit_signals(x), F.size(T.tokens(x)).alias("toks"), T.content_terms(x).alias("terms"), F.substring(x, -1, 1).isin(".", "!", "?").cast("int").alias("ends"))
+    near = W.partitionBy("doc_id", "part").orderBy("i")
+    own = F.struct("x", "bits", "chars", "symbols", "foreign", "cves", "toks", "terms", "ends")
+    units = units.select(*heads, "n", "i", *[(F.lead(own, k) if k else own).over(near).alias(f"u{k}") if k else own.alias("u0") for k in range(most)])
+
+    def window(size: int) -> Column:
+        us = [F.col(f"u{k}") for k in range(size)]
+        total = lambda c, more=0: reduce(lambda a, b: a + b, [u[c] for u in us]) + more
+        union = lambda c: F.array_distinct(F.concat(*[u[c] for u in us])) if size > 1 else us[0][c]
+        # Windows of smaller sizes come first; n - k + 1 of size k each.
+        before = sum((F.col("n") - k + 1 for k in range(1, size)), F.lit(0))
+        text = F.concat_ws(" ", *[u["x"] for u in us])
+        bits = reduce(lambda a, b: a.bitwiseOR(b), [u["bits"] for u in us])
+        ends = reduce(lambda a, b: a + b, [u["ends"] for u in us[:-1]], F.lit(1))
+        return F.when(us[-1].isNotNull(), F.struct(text.alias("sentence"), bits.alias("bits"), total("chars", size - 1).alias("chars"), total("symbols").alias("symbols"), total("foreign").alias("foreign"), union("cves").alias("cves"), total("toks").alias("toks"), union("terms").alias("terms"), ends.alias("sents"), (before + F.col("i")).alias("at"), F.lit(size).alias("size")))
+
+    rows = units.select(*heads, F.inline(F.array_compact(F.array(*[window(k) for k in range(1, most + 1)]))))
+    headed = F.col("heading") != ""
+    scoring = F.when(headed, F.concat_ws(" ", "heading", "sentence")).otherwise(F.col("sentence"))
+    bits = F.col("bits").bitwiseOR(F.col("h_bits")).bitwiseOR(F.when(headed | (F.col("size") > 1), T.phrase_bits(scoring)).otherwise(F.lit(0).cast("bigint")))
+    chars = F.col("chars") + F.when(headed, F.col("h_chars") + 1).otherwise(0)
+    rows = rows.select(
+        "doc_id", (F.col("part") * 100_000 + F.col("at")).alias("pos"), "sentence", scoring.alias("scoring"), "terms", bits.alias("w_bits"), chars.alias("w_chars"), (F.col("symbols") + F.col("h_symbols")).alias("w_symbols"),
+        (F.col("foreign") + F.col("h_foreign")).alias("w_foreign"), F.array_distinct(F.concat("h_cves", "cves")).alias("w_cves"), F.col("toks").alias("w_tokens"), F.col("sents").alias("w_sentences"), F.md5(F.col("sentence").cast("binary")).alias("_key"),
+    )
+    each = results.select("q_id", "doc_id", "rank").join(rows, "doc_id")
+    return top_k(each, ["q_id", "_key"], [F.col("rank"), F.col("pos")], 1, "_n").drop("_n", "_key")
+
+
+WINDOW_SIGNALS = ("w_bits", "w_chars", "w_symbols", "w_foreign", "w_tokens", "w_sentences", "w_cves")
+
+
+def signals_of(rows: DataFrame) -> T.Signals | None:
+    """The kept signals of windows; None for rows whose texts are read."""
+    return T.Kept(*[F.col(c) for c in WINDOW_SIGNALS]) if WINDOW_SIGNALS[0] in rows.columns else None
 
 
 def _first(rows: DataFrame) -> DataFrame:
@@ -61,7 +104,8 @@ def with_terms(rows: DataFrame, asked: DataFrame, text: str = "text") -> DataFra
     """Content terms of each row, those it shares with its question, and the question's CVE ids."""
     q = asked.select("q_id", T.content_terms(F.col(text)).alias("qt"))
     wanted = F.filter("qt", lambda t: T.has(t, f"^{T.CVE}$"))
-    out = rows.join(q, "q_id").withColumn("terms", T.content_terms(F.col("sentence"))).withColumn("wanted", wanted)
+    terms = rows if "terms" in rows.columns else rows.withColumn("terms", T.content_terms(F.col("sentence")))
+    out = terms.join(q, "q_id").withColumn("wanted", wanted)
     return out.withColumn("overlap", F.array_intersect("qt", "terms")).drop("qt")
 
 
@@ -75,7 +119,7 @@ def bm25_scored(rows: DataFrame, k1: float = 1.2, b: float = 0.35, scale: float
     part = M.idf(F.col("n"), F.col("df")) * (k1 + 1) / (1 + F.lit(k1) * F.col("norm"))
     sums = each.groupBy("q_id", "doc_id", "pos").agg(F.sum(part).alias("bm25"))
     base = F.coalesce("bm25", F.lit(0.0)) + 0.25 * F.size("overlap")
-    score = base * (1 + 0.35 / F.log2(F.col("rank") + 1)) * T.noise_penalty(F.col("scoring")) * scale
+    score = base * (1 + 0.35 / F.log2(F.col("rank") + 1)) * T.noise_penalty(F.col("scoring"), signals_of(rows)) * scale
     return rows.join(sums, ["q_id", "doc_id", "pos"], "left").withColumn("score", score).drop("bm25")
 
 
@@ -88,9 +132,9 @@ def bm25_ranked(rows: DataFrame, cap: int = 1) -> DataFrame:
 
 
 def _answer_scored(rows: DataFrame) -> DataFrame:
-    s = F.col("scoring")
-    admitted = rows.filter((F.size("overlap") > 0) | (T.answer_bonus(s) > 0))
-    return bm25_scored(admitted).withColumn("score", (F.col("score") + T.answer_bonus(s)) * T.answer_multiplier(s) * T.problem_penalty(s))
+    s, own = F.col("scoring"), signals_of(rows)
+    admitted = rows.filter((F.size("overlap") > 0) | (T.answer_bonus(s, own) > 0))
+    return bm25_scored(admitted).withColumn("score", (F.col("score") + T.answer_bonus(s, own)) * T.answer_multiplier(s, own) * T.problem_penalty(s, own))
 
 
 def answer_aware_ranked(rows: DataFrame, cap: int = 1) -> DataFrame:
@@ -98,24 +142,28 @@ def answer_aware_ranked(rows: DataFrame, cap: int = 1) -> DataFrame:
 
 
 def answer_window_ranked(rows: DataFrame, cap: int = 1) -> DataFrame:
-    s, span = F.col("scoring"), F.col("sentence")
-    score = (F.col("score") + T.action_bonus(s)) * T.compact_multiplier(span, s) * T.length_penalty(span, 140, 95)
+    s, span, own = F.col("scoring"), F.col("sentence"), signals_of(rows)
+    score = (F.col("score") + T.action_bonus(s, own)) * T.compact_multiplier(span, s, own) * T.length_penalty(span, 140, 95, own)
     return evidence_order(_rounded(_answer_scored(rows), score), cap)
 
 
 def section_span_ranked(rows: DataFrame, cap: int = 1) -> DataFrame:
-    s, span, wanted = F.col("scoring"), F.col("sentence"), F.col("wanted")
-    score = (F.col("score") + T.span_bonus(s) + T.cve_bonus(s, wanted)) * T.cve_multiplier(s, wanted)
-    score = score * T.background_penalty(s) * T.reference_penalty(s) * T.length_penalty(span, 180, 120)
+    s, span, wanted, own = F.col("scoring"), F.col("sentence"), F.col("wanted"), signals_of(rows)
+    score = (F.col("score") + T.span_bonus(s, own) + T.cve_bonus(s, wanted, own)) * T.cve_multiplier(s, wanted, own)
+    score = score * T.background_penalty(s, own) * T.reference_penalty(s, own) * T.length_penalty(span, 180, 120, own)
     return evidence_order(_rounded(_answer_scored(rows), score), cap)
 
 
-def routed(branches: list[tuple[DataFrame, Column]], routes: DataFrame) -> DataFrame:
-    """Union of selectors, each for the questions of its routes."""
+def routed(branches: list[tuple], routes: DataFrame) -> DataFrame:
+    """Union of selectors, each made for the questions of its routes alone.
+
+    branches: (function of a table of q_id to ranked rows, condition on `route`).
+    """
     out = None
-    for rows, condition in branches:
-        part = rows.join(routes.filter(condition).select("q_id", "route"), "q_id")
-        out = part if out is None else out.unionByName(part)
+    for make, condition in branches:
+        own = routes.filter(condition)
+        part = make(own.select("q_id")).join(own.select("q_id", "route"), "q_id")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import ordered
 
 
 def exact_overlaps(left: DataFrame, right: DataFrame, left_text: str = "text", right_text: str = "text") -> DataFrame:
@@ -124,14 +125,15 @@ def order_hash(seed: str, key: Column) -> Column:
 def disjoint_selection(ids: DataFrame, id_: str, ratio: float, seed: str) -> DataFrame:
     """ceil(n ratio) distinct ids, the first by hash order."""
     d = ids.select(F.col(id_).alias("id")).distinct().withColumn("h", order_hash(seed, F.col("id")))
-    n = d.count()
-    return d.orderBy("h").limit(-int(-(n * ratio) // 1)).select("id")
+    placed = ordered.numbered(d, [F.col("h"), F.col("id")], "_n")
+    most = placed.agg(F.ceil(F.count(F.lit(1)) * F.lit(ratio)).alias("_most"))
+    return placed.join(F.broadcast(most)).filter(F.col("_n") <= F.col("_most")).select("id")  # one row
 
 
 def fold_round_robin(keys: DataFrame, key: str, folds: int) -> DataFrame:
-    """Position in key order, modulo the number of folds; for lists of questions."""
-    d = keys.select(key).distinct()
-    return d.select(key, ((F.row_number().over(W.orderBy(key)) - 1) % folds).alias("fold"))
+    """Position in key order, modulo the number of folds."""
+    d = ordered.numbered(keys.select(key).distinct(), [F.col(key)], "_n")
+    return d.select(key, ((F.col("_n") - 1) % folds).alias("fold"))
 
 
 def greedy_folds(groups: DataFrame, key: str, size: str, folds: int) -> DataFrame:
@@ -149,11 +151,11 @@ def greedy_folds(groups: DataFrame, key: str, size: str, folds: int) -> DataFram
     return done.select(F.col("r.k").alias(key), F.col("r.fold").alias("fold"))
 
 
-def leakage_report(exact: DataFrame, near: DataFrame, total: DataFrame) -> DataFrame:
-    """Counts and decision of a leakage audit."""
+def leakage_report(exact: DataFrame, near: DataFrame, total: DataFrame, clean: str = "clean") -> DataFrame:
+    """Counts and decision of a leakage audit; `clean` names what was looked for in vain."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     both = count(total, "rows").join(count(exact, "exact")).join(count(near, "near"))
-    return both.withColumn("decision", F.when((F.col("exact") > 0) | (F.col("near") > 0), "leakage_found").otherwise("clean"))
+    return both.withColumn("decision", F.when((F.col("exact") > 0) | (F.col("near") > 0), "leakage_found").otherwise(clean))
 
 
 def exact_precheck(external: DataFrame, development: DataFrame, id_: str, dev_id: str, split: str) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import ordered
 from lodestone.operators.retrieve import top_k
+from lodestone.sources.scratch import stored
 
 
 def scorer(kind: str, features: list[str], label: str) -> Pipeline:
@@ -42,7 +44,7 @@ def scored(model, rows: DataFrame, kind: str) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, kind: str, features: list[str], label: str, folds: int, fold: str = "fold") -> DataFrame:
     """Each row scored by a model that didn't see its fold."""
-    rows, out = rows.cache(), None
+    rows, out = stored(rows, "learned"), None
     for k in range(folds):
         train = rows.filter(F.col(fold) != k)
         model = scorer(kind, features, label).fit(train if kind == "ridge" else balanced(train, label))
@@ -77,8 +79,6 @@ def guarded(rows: DataFrame, rank_max: int, margin: float) -> DataFrame:
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """ROC AUC by ranks: ties count half."""
     per = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    from pyspark.sql import Window as W
-
-    below = F.sum("_neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1))  # over distinct scores
-    each = per.withColumn("wins", F.col("_pos") * (F.coalesce(below, F.lit(0)) + F.col("_neg") / 2))
+    below = ordered.running(per, [F.col(score)], F.col("_neg"), "_below")
+    each = below.withColumn("wins", F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
     return each.agg(F.round(F.sum("wins") / (F.sum("_pos") * F.sum("_neg")), 6).alias("auc"))

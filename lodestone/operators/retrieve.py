@@ -147,8 +147,8 @@ def special_boost(base: DataFrame, docs: DataFrame, asked: DataFrame, boost: flo
 def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(q_id, doc_id, score): every query vector against every vector.
 
-    The query side is cut into blocks of rows by the planner's broadcast or,
-    beyond its threshold, met block by block through a salted equi-join.
+    Vectors are dealt into 16 blocks, each of which meets a copy of the queries
+    through an equi-join on the block number.
     """
     q = queries.select("q_id", M.unit_vector(F.col("embedding")).alias("qv"))
     v = vectors.select("doc_id", M.unit_vector(F.col("embedding")).alias("dv"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators import ordered
+
 # The transition table of the bounded workflow.
 TRANSITIONS = [
     ("received", "validate_request", "validated"), ("validated", "retrieve_candidate_pool", "retrieved"), ("retrieved", "prepare_context", "context_prepared"),
@@ -48,10 +50,9 @@ def transition_check(actions: DataFrame, dimension: DataFrame) -> DataFrame:
 
 
 def shards(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Contiguous chunks of `size` keys in key order, with a hash of each; for workload lists."""
-    d = rows.select(key).distinct()
-    place = F.row_number().over(W.orderBy(key)) - 1
-    numbered = d.withColumn("shard", F.floor(place / size))
+    """Contiguous chunks of `size` keys in key order, with a hash of each."""
+    d = ordered.numbered(rows.select(key).distinct(), [F.col(key)], "_n")
+    numbered = d.withColumn("shard", F.floor((F.col("_n") - 1) / size))
     return numbered.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n").cast("binary"), 256).alias("digest"))
 
 

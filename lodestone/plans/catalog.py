@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import comparisons, composition, corpus, evidence, learned, policies, ranking, retrieval, scalars
+from lodestone.plans import comparisons, composition, corpus, diagnostics, evidence, learned, policies, ranking, retrieval, scalars
 
-MODULES = (scalars, retrieval, evidence, corpus, comparisons, composition, learned, ranking, policies)
+MODULES = (scalars, retrieval, evidence, corpus, comparisons, composition, learned, ranking, policies, diagnostics)
 
 
 def queries() -> dict:

@@ -9,8 +9,10 @@ from lodestone.functions import text as T
 from lodestone.operators import answer, compare, evidence, retrieve
 from lodestone.operators.retrieve import ranked
 from lodestone.plans import sql as S
-from lodestone.plans.evidence import BM25_ROWS, CASES, Evidence, cases, reranked
+from lodestone.plans.evidence import BM25_ROWS, CASES, LOCAL, Evidence, cases, plain_sql, reranked
 from lodestone.plans.retrieval import ALL, SHOW, Setting, shown
+from lodestone.plans.scalars import signal_sql
+from lodestone.sources.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -127,11 +129,48 @@ def evidence_summary(spark, d):
     return compare.evidence_summary(evidence.bm25_ranked(Evidence(spark, d).rows()))
 
 
-@query(None)
-def local_window_gate(spark, d):
+def _noise(x: str) -> str:
+    return f"round({S.plus((S.has(f'lower({x})', T.NOISE_HEADING), 1.0), (S.has(f'lower({x})', T.QUESTION_HEADING), 0.7), (S.has(f'lower({x})', T.TRACE), 0.5), (f'len({S.toks(x)}) > 120', 0.8))}, 4)"
+
+
+def gate_sql(max_tokens: int = 90, min_coverage: float = 0.5) -> str:
+    n, m = f"len({S.toks('sentence')})", f"len({S.toks('w')})"
+    covered = f"(CASE WHEN len({plain_sql('sentence')}) > 0 THEN len(list_intersect({plain_sql('sentence')}, {plain_sql('w')})) / len({plain_sql('sentence')})::DOUBLE ELSE 0 END)"
+    return (
+        f"(sentence <> w AND {m} <= {max_tokens} AND len({S.sents('w')}) <= 3 AND {m} - {n} <= 60 AND {m} <= greatest({n}, 1) * 4.0 AND {covered} >= {min_coverage} AND {signal_sql('w')} - {signal_sql('sentence')} >= 0"
+        f" AND NOT {S.has('lower(w)', T.NOISE_HEADING)} AND NOT {S.has('lower(w)', T.QUESTION_HEADING)} AND {_noise('w')} <= {_noise('sentence')})"
+    )
+
+
+def gated_windows(spark, d):
+    """Routed sentences of the route `other` with the best window around each."""
     chosen, best = reranked(Evidence(spark, d))
-    w = best.join(chosen.select("q_id", "doc_id", "pos", "sentence"), ["q_id", "doc_id", "pos"])
-    return compare.window_gate(w).select("q_id", "doc_id", "pos", "replace")
+    return best.join(chosen.select("q_id", "doc_id", "pos", "sentence"), ["q_id", "doc_id", "pos"])
+
+
+@query(S.query(LOCAL, f"SELECT q_id, doc_id, pos, {gate_sql()} AS replace FROM lw"))
+def local_window_gate(spark, d):
+    return compare.window_gate(gated_windows(spark, d)).select("q_id", "doc_id", "pos", "replace")
+
+
+GATES = [(t, c) for t in (40, 90) for c in (0.5, 0.9)]
+_GATED = "gr AS MATERIALIZED (SELECT *, " + ", ".join(f"{gate_sql(t, c)} AS g{i}" for i, (t, c) in enumerate(GATES)) + f", {S.f1(S.toks('sentence'), S.toks('q.text'))} AS fs, {S.f1(S.toks('w'), S.toks('q.text'))} AS fw FROM lw JOIN ques q USING (q_id))"
+_GRAIN = "sum(round(10000 * {x})::BIGINT) / 10000.0::DOUBLE"
+
+
+@query(S.query([*LOCAL, _GATED], " UNION ALL ".join(f"SELECT 'tokens{t}_coverage{round(c * 100)}' AS gate, count(*) AS windows, count(*) FILTER (g{i}) AS replaced, {_GRAIN.format(x='fs')} AS baseline_f1, {_GRAIN.format(x='fw')} AS forced_f1, {_GRAIN.format(x=f'CASE WHEN g{i} THEN fw ELSE fs END')} AS gated_f1, count(*) FILTER (g{i} AND fw > fs) AS improved, count(*) FILTER (g{i} AND fw < fs) AS regressed FROM gr" for i, (t, c) in enumerate(GATES))))
+def window_gate_grid(spark, d):
+    """Every gate setting over the same windows: F1 of sentences, of all windows, and of the windows that it lets through."""
+    e = Evidence(spark, d)
+    rows = stored(gated_windows(spark, d).join(e.asked.select("q_id", T.tokens(F.col("text")).alias("gt")), "q_id"), "windows")
+    f1 = lambda c: F.round(M.token_f1(T.tokens(F.col(c)), F.col("gt")), 4)
+    rows = stored(rows.withColumn("fs", f1("sentence")).withColumn("fw", f1("window")), "window_f1")
+    out = None
+    for tokens, coverage in GATES:
+        gated = compare.window_gate(rows, max_tokens=tokens, min_coverage=coverage).withColumn("gate", F.lit(f"tokens{tokens}_coverage{round(coverage * 100)}"))
+        part = gated.select("gate", "replace", "fs", "fw")
+        out = part if out is None else out.unionByName(part)
+    return compare.gate_outcomes(out)
 
 
 _ORACLE = [*BM25_ROWS, f"c3 AS (SELECT p.q_id, place, sentence, string_agg(sentence, ' ') OVER (PARTITION BY p.q_id ORDER BY place) AS so_far, q.text FROM p JOIN (SELECT q_id, text FROM ques) q USING (q_id) WHERE place <= 3)", f"c4 AS (SELECT q_id, place, {S.f1(S.toks('sentence'), S.toks('text'))} AS f, {S.f1(S.toks('so_far'), S.toks('text'))} AS pf FROM c3)"]

@@ -57,11 +57,11 @@ _LEAD = [
     *BM25_ROWS, ROUTES, f"md AS MATERIALIZED (SELECT *, {_MODEL} AS model FROM p)", "bs1 AS (SELECT * FROM md QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY model DESC, place) = 1)",
     "bl1 AS (SELECT q_id, max(model) FILTER (place = 1) AS m1, list({'p': place, 'd': doc_id, 'r': rank} ORDER BY place) FILTER (place <= 3) AS plain FROM md GROUP BY q_id)",
     "pr1 AS (SELECT b.q_id, b.place, b.score, route, round(b.model - m1, 6) AS margin, plain, list_concat([{'p': b.place, 'd': b.doc_id, 'r': b.rank}], list_filter(plain, lambda x: x.p <> b.place))[1:3] AS proposed FROM bs1 b JOIN bl1 USING (q_id) JOIN qr USING (q_id))",
-    "rs1 AS (SELECT *, CASE WHEN place = 1 THEN 'model_selected_top_candidate' WHEN place > 5 THEN 'selected_rank_exceeds_limit' WHEN margin < 0 THEN 'score_margin_below_min' WHEN score < 20 THEN 'candidate_score_gte_60_blocked' WHEN len(list_filter(proposed, lambda x: x.r > 3)) > 0 THEN 'selected_citation_rank_exceeds_limit' WHEN len(list_filter(plain, lambda x: x.r > 3 AND NOT list_contains(list_transform(proposed, lambda y: y.d), x.d))) > 0 THEN 'baseline_out_of_rank_document_dropped' ELSE 'candidate_score_gte_60_accepted' END AS reason FROM pr1)",
+    "rs1 AS (SELECT *, CASE WHEN place = 1 THEN 'model_selected_top_candidate' WHEN place > 5 THEN 'selected_rank_exceeds_limit' WHEN margin < 0 THEN 'score_margin_below_min' WHEN score < 20 THEN 'candidate_score_gte_20_blocked' WHEN len(list_filter(proposed, lambda x: x.r > 3)) > 0 THEN 'selected_citation_rank_exceeds_limit' WHEN len(list_filter(plain, lambda x: x.r > 3 AND NOT list_contains(list_transform(proposed, lambda y: y.d), x.d))) > 0 THEN 'baseline_out_of_rank_document_dropped' ELSE 'candidate_score_gte_20_accepted' END AS reason FROM pr1)",
 ]
 
 
-@query(S.query(_LEAD, "SELECT q_id, CASE WHEN reason = 'candidate_score_gte_60_accepted' THEN 'replace_with_model_candidate' ELSE 'keep_top_candidate' END AS action, reason, place AS lead, margin, array_to_string(list_transform(CASE WHEN reason = 'candidate_score_gte_60_accepted' THEN proposed ELSE plain END, lambda x: x.p), ',') AS kept FROM rs1"))
+@query(S.query(_LEAD, "SELECT q_id, CASE WHEN reason = 'candidate_score_gte_20_accepted' THEN 'replace_with_model_candidate' ELSE 'keep_top_candidate' END AS action, reason, place AS lead, margin, array_to_string(list_transform(CASE WHEN reason = 'candidate_score_gte_20_accepted' THEN proposed ELSE plain END, lambda x: x.p), ',') AS kept FROM rs1"))
 def score_guarded_compose(spark, d):
     e = Evidence(spark, d)
     return compose.score_guarded(_modelled(evidence.bm25_ranked(e.rows())), e.routes(), min_score=20.0)

@@ -115,10 +115,11 @@ def near_leakage(spark, d):
 _LINES = f"SELECT b.item_id FROM benchmark b JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) s ON {_norm('b.text')} = {_norm('s.line')} WHERE {_norm('b.text')} <> ''"
 
 
-@query(f"WITH c AS (SELECT (SELECT count(*) FROM benchmark) AS rows, (SELECT count(*) FROM ({_LINES})) AS exact, (SELECT count(*) FROM ({_NEAR})) AS near) SELECT *, CASE WHEN exact > 0 OR near > 0 THEN 'leakage_found' ELSE 'clean' END AS decision FROM c")
+@query(f"WITH c AS (SELECT (SELECT count(*) FROM benchmark) AS rows, (SELECT count(*) FROM ({_LINES})) AS equal_lines, (SELECT count(*) FROM ({_NEAR})) AS near) SELECT *, CASE WHEN equal_lines > 0 OR near > 0 THEN 'leakage_found' ELSE 'no_equal_line_or_near_copy' END AS decision FROM c")
 def leakage_report(spark, d):
-    """Lines equal to a passage, and near copies of whole texts."""
-    return leakage.leakage_report(exact_leakage(spark, d), near_leakage(spark, d), R.table(spark, d, "benchmark"))
+    """Lines equal to a passage, and near copies of whole texts; passages inside a text are leakage_audit's."""
+    report = leakage.leakage_report(exact_leakage(spark, d), near_leakage(spark, d), R.table(spark, d, "benchmark"), "no_equal_line_or_near_copy")
+    return report.withColumnRenamed("exact", "equal_lines")
 
 
 @query(f"WITH c AS (SELECT (SELECT count(*) FROM benchmark) AS rows, (SELECT count(*) FROM ({_PASSAGE})) AS exact, (SELECT count(*) FROM ({_NEAR})) AS near) SELECT *, CASE WHEN exact > 0 OR near > 0 THEN 'leakage_found' ELSE 'clean' END AS decision FROM c")
@@ -315,8 +316,7 @@ def share_concentration(spark, d):
 @query("SELECT lang, quality, count(*) AS n, avg(n_chars)::DOUBLE AS average FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang, quality), (lang), ())")
 def segment_metrics(spark, d):
     j = R.table(spark, d, "documents").join(R.table(spark, d, "labels"), "doc_id")
-    j.createOrReplaceTempView("lodestone_segments")
-    return spark.sql("SELECT lang, quality, count(*) AS n, avg(n_chars) AS average FROM lodestone_segments GROUP BY GROUPING SETS ((lang, quality), (lang), ())")
+    return j.rollup("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("average"))
 
 
 @query("SELECT doc_id, mode(quality) AS quality, count(*) AS n FROM labels GROUP BY doc_id")

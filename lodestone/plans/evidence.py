@@ -11,6 +11,7 @@ from lodestone.operators.retrieve import top_k
 from lodestone.plans import sql as S
 from lodestone.plans.retrieval import Setting
 from lodestone.plans.scalars import _noise, _route_sql, action_bonus_sql, answer_bonus_sql, answer_multiplier_sql, problem_penalty_sql, signal_sql
+from lodestone.sources.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 CONTEXT = 5
@@ -30,11 +31,15 @@ class Evidence(Setting):
     def results(self, k=CONTEXT):
         return self.bm25(k)
 
-    def rows(self):
-        return evidence.with_terms(evidence.sentence_rows(self.results(), self.docs), self.asked)
+    def rows(self, keep=None):
+        return evidence.with_terms(evidence.sentence_rows(self._of(keep), self.docs), self.asked)
 
-    def spans(self):
-        return evidence.with_terms(evidence.window_rows(self.results(), self.docs), self.asked)
+    def spans(self, keep=None):
+        return evidence.with_terms(evidence.window_rows(self._of(keep), self.docs), self.asked)
+
+    def _of(self, keep):
+        """The results of all questions, or of those in `keep` alone."""
+        return self.results() if keep is None else self.results().join(keep, "q_id", "left_semi")
 
     def routes(self):
         return self.asked.select("q_id", T.route(F.col("title"), F.col("text")).alias("route"))
@@ -120,12 +125,12 @@ SPAN_ROUTES = ("security_bulletin_vulnerability_detail", "limitation_or_restrict
 def _routed(e, windows=False):
     """Section spans for SPAN_ROUTES, answer-aware sentences for the rest; with windows, these for `other`."""
     span = F.col("route").isin(*SPAN_ROUTES)
-    branches = [(evidence.section_span_ranked(e.spans()), span)]
+    branches = [(lambda q: evidence.section_span_ranked(e.spans(q)), span)]
     aware = ~span
     if windows:
         aware = aware & (F.col("route") != "other")
-        branches.append((evidence.answer_window_ranked(e.spans()), F.col("route") == "other"))
-    return evidence.routed([*branches, (evidence.answer_aware_ranked(e.rows()), aware)], e.routes())
+        branches.append((lambda q: evidence.answer_window_ranked(e.spans(q)), F.col("route") == "other"))
+    return evidence.routed([*branches, (lambda q: evidence.answer_aware_ranked(e.rows(q)), aware)], stored(e.routes(), "routes"))
 
 
 _SPANNED = "(" + ", ".join(S.lit(r) for r in SPAN_ROUTES) + ")"
@@ -156,7 +161,29 @@ def reranked(e):
     return chosen, evidence.local_windows(chosen.filter("route = 'other'"), e.docs, e.asked)
 
 
-@query(None)
+def plain_sql(x: str) -> str:
+    return f"list_filter(list_distinct({S.toks(x)}), lambda y: y NOT IN ({', '.join(S.lit(w) for w in T.STOPWORDS)}) AND length(y) > 1)"
+
+
+def _share(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) > 0 THEN len(list_intersect({a}, {b})) / len({a})::DOUBLE ELSE 0 END)"
+
+
+LOCAL = [
+    S.BM25, ROUTES, EV, rows_sql("ev", "ra", True), placed("ra_s", ANSWERED, "pa"),
+    f"l0 AS MATERIALIZED (SELECT pa.q_id, doc_id, pos, sentence, list_filter({S.sents('d.text')}, lambda s: length(s) >= 24) AS s, {S.sents('sentence')} AS parts, {plain_sql('q.text')} AS qt, {plain_sql('sentence')} AS a FROM pa JOIN qr USING (q_id) JOIN docs d USING (doc_id) JOIN ques q ON q.q_id = pa.q_id WHERE route = 'other' AND place <= 3)",
+    "l1 AS MATERIALIZED (SELECT *, list_filter(range(1, len(s) + 1), lambda i: list_contains(parts, s[i])) AS exact, list_filter(range(1, len(s) + 1), lambda i: contains(sentence, s[i]) OR contains(s[i], sentence)) AS near FROM l0)",
+    f"l2 AS MATERIALIZED (SELECT q_id, doc_id, pos, arg_max(i, (r, i)) AS best, max(r) AS r FROM (SELECT q_id, doc_id, pos, i, {_share('a', 't')} AS r FROM (SELECT q_id, doc_id, pos, a, i, {plain_sql('s[i]')} AS t FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM l0))) GROUP BY q_id, doc_id, pos)",
+    "l3 AS (SELECT l1.*, unnest(CASE WHEN len(exact) > 0 THEN exact WHEN len(near) > 0 THEN near WHEN r >= 0.6 THEN [best] ELSE [] END) AS anchor FROM l1 JOIN l2 USING (q_id, doc_id, pos))",
+    "l4 AS (SELECT *, unnest(range(greatest(1, anchor - 2), anchor + 1)) AS first FROM l3)", "l5 AS (SELECT *, unnest(range(anchor, least(len(s), first + 2) + 1)) AS last FROM l4)",
+    "l6 AS MATERIALIZED (SELECT DISTINCT q_id, doc_id, pos, sentence, qt, a, array_to_string(s[first : last], ' ') AS w FROM l5)",
+    f"l7 AS MATERIALIZED (SELECT *, {plain_sql('w')} AS t, len({S.toks('w')}) AS n, len({S.sents('w')}) AS k FROM l6)",
+    f"l8 AS MATERIALIZED (SELECT *, round(len(list_intersect(qt, t)) + 1.5::DOUBLE * {_share('a', 't')} + {signal_sql('w')} + CASE WHEN k = 1 THEN 0.4 WHEN k = 2 AND n <= 80 THEN 0.3 WHEN k = 3 AND n <= 100 THEN 0.1 ELSE -0.2 END::DOUBLE - (CASE WHEN n > 100 THEN 0.8 ELSE 0 END::DOUBLE + CASE WHEN n > 140 THEN 1.2 ELSE 0 END::DOUBLE + CASE WHEN {S.has('lower(w)', T.TRACE)} THEN 0.4 ELSE 0 END::DOUBLE), 9) AS local FROM l7)",
+    "lw AS MATERIALIZED (SELECT q_id, doc_id, pos, sentence, w, local FROM l8 QUALIFY row_number() OVER (PARTITION BY q_id, doc_id, pos ORDER BY local DESC, n, w DESC) = 1)",
+]
+
+
+@query(S.query(LOCAL, "SELECT q_id, doc_id, pos, md5(w) AS window, round(local, 6) AS score FROM lw"))
 def local_window_rerank(spark, d):
     best = reranked(Evidence(spark, d))[1]
     return best.select("q_id", "doc_id", "pos", F.md5(F.col("window").cast("binary")).alias("window"), F.round("local", 6).alias("score"))

@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import evidence, learn
 from lodestone.plans.corpus import VARIETY, variety
 from lodestone.plans.evidence import Evidence
-from lodestone.sources import tables as R
+from lodestone.sources.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 FEATURES = ["rank", "score", "n_tokens", "n_overlap", "coverage", "signal"]
@@ -39,14 +39,14 @@ def candidates(spark, d):
 
 @query(None)
 def logistic_candidate_cv(spark, d):
-    rows = candidates(spark, d).cache()
+    rows = stored(candidates(spark, d), "candidates")
     s = learn.out_of_fold(rows, "logistic", FEATURES, "best", 3)
     return learn.selection_metrics(learn.argmax(s), rows)
 
 
 @query(None)
 def ridge_candidate_cv(spark, d):
-    rows = candidates(spark, d).cache()
+    rows = stored(candidates(spark, d), "candidates")
     s = learn.out_of_fold(rows, "ridge", FEATURES, "f1", 3)
     return learn.selection_metrics(learn.argmax(s), rows)
 

@@ -12,7 +12,6 @@ from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators import actions, boosting, evidence, fuse, linear, objectives
 from lodestone.operators import policies as P
-from lodestone.operators.retrieve import top_k
 from lodestone.plans import corpus
 from lodestone.plans import sql as S
 from lodestone.plans.evidence import BM25_ROWS, ROUTES, Evidence

@@ -139,7 +139,7 @@ def write_splits(samples: DataFrame, path: str) -> None:
 def csv_profile(spark: SparkSession, path: str, columns: list[str], key: str) -> DataFrame:
     """One row: rows, malformed, missing by column, repeated keys."""
     schema = ", ".join(f"`{c}` string" for c in columns) + ", `_bad` string"
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path).cache()
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
     missing = [F.count_if(F.coalesce(F.trim(F.col(c)), F.lit("")) == "").alias(f"missing_{c}") for c in columns]
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_bad").isNotNull()).alias("malformed"), *missing, (F.count(key) - F.count_distinct(key)).alias("repeated"))
 
@@ -174,13 +174,11 @@ def cache_path(root: str, model: str, max_chars: int, prefix: str = "") -> str:
 def cached_embeddings(spark: SparkSession, path: str, documents: DataFrame, encode) -> DataFrame:
     """Read-through cache: reused only if it has exactly the ids of `documents`."""
     want = documents.select("doc_id")
-    try:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         have = spark.read.parquet(path)
         ids = have.select("doc_id")
         if want.exceptAll(ids).isEmpty() and ids.exceptAll(want).isEmpty():
             return have
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     encode(documents).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
