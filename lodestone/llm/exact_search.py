@@ -4,15 +4,13 @@ Vectors become integers, floor(scale * x).  Queries and candidates are packed
 into blocks of bounded size, candidates in vertical layout (one row a
 dimension).  Every pair of blocks is one group; blocks are dealt out as whole
 rows, so no row is built for a pair of vectors, and a block of queries is large,
-so that candidates are shuffled few times.  Within a group the longest
-candidates come first, in batches, and a few queries at a time meet them.  Scores
-grow dimension block by dimension block, in order of falling energy.  After each,
-a candidate survives for a query if its partial score plus the product of both
-remaining lengths (Cauchy-Schwarz on the remaining mass) reaches the query's
-k-th best score so far, which rises after every batch; columns that no query of
-the few wants are compacted away, and the batches end where no length reaches
-any k-th best.  Each group gives at most k candidates a query; the k best over
-all groups are chosen by a window of bounded size a query.
+so that candidates are shuffled few times.  Within a group each query meets the
+candidates on its own.  Scores grow dimension block by dimension block, in order of
+the query's own mass.  After a few blocks the leaders are scored whole, and their
+k-th best score is the bound: a candidate survives while its partial score plus
+the product of both remaining lengths (Cauchy-Schwarz on the remaining mass)
+reaches it; the others are compacted away.  Each group gives at most k candidates a
+query; the k best over all groups are chosen by a window of bounded size a query.
 
 Sums stay exact: single precision while no sum can pass 2 ** 24, double while
 none can pass 2 ** 53, else Python integers, held to the range of a long before
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 
 SCALE, K = 64, 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 8192
-QUERIES_AT_ONCE, CANDIDATES_AT_ONCE, DIMENSION_BLOCK = 16, 1024, 16
+DIMENSION_BLOCK, SEED_BLOCKS, SEEDS, COMPACT = 2, 6, 4, 0.9
 
 
 def _matrix(vectors: pa.Array, scale: int) -> np.ndarray:
@@ -97,45 +95,39 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
         yield from _plain(q_ids, _integers(q), c_ids, _integers(c), k)
         return
     kind = np.float32 if bound < 2.0**23 and max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) < 2.0**23 else np.float64
-    energy = np.argsort(-(c * c).sum(axis=1), kind="stable")
-    q, c = q[energy].astype(kind), c[energy].astype(kind)
-    steps = list(range(0, d, DIMENSION_BLOCK)) + [d]
-    length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=0))
-    order = np.lexsort((c_ids, -length))
-    c, c_ids = np.ascontiguousarray(c[:, order]), c_ids[order]
-    # Remaining lengths after each step, rounded up a little so that no bound is too low.
-    rest_q, rest_c = (np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1][steps[:-1]]) * (1 + 1e-6) for m in (q, c))
-    for at in range(0, len(q_ids), QUERIES_AT_ONCE):
-        own = slice(at, at + QUERIES_AT_ONCE)
-        n = len(q_ids[own])
-        # Score and minus id of the k best so far, and the k-th best score.
-        top, top_ids, low = np.full((k, n), -np.inf), np.full((k, n), np.iinfo(np.int64).max), np.full(n, -np.inf)
-        for begin in range(0, len(c_ids), CANDIDATES_AT_ONCE):
-            if not (rest_c[0][begin] * rest_q[0][own] >= low).any():
-                break
-            alive = np.arange(begin, min(begin + CANDIDATES_AT_ONCE, len(c_ids)))
-            part, whole = np.zeros((len(alive), n), kind), slice(alive[0], alive[-1] + 1)
-            for i, (s, e) in enumerate(zip(steps, steps[1:])):
-                keep = (part + np.outer(rest_c[i][alive], rest_q[i][own]) >= low).any(axis=1)
-                if keep.mean(dtype=float) < 0.8:
-                    alive, part, whole = alive[keep], part[keep], None
-                if not len(alive):
-                    break
-                part += (c[s:e, whole] if whole is not None else c[s:e, alive]).T @ q[s:e, own]
+    cuts = range(0, d, DIMENSION_BLOCK)
+    blocks = [np.ascontiguousarray(c[s : s + DIMENSION_BLOCK], kind) for s in cuts]
+    mass = np.stack([(x.astype(np.float64) ** 2).sum(axis=0) for x in blocks]) if blocks else np.zeros((0, len(c_ids)))
+    energy, whole = mass.mean(axis=1) if len(c_ids) else np.zeros(len(blocks)), mass.sum(axis=0)
+    for j in range(len(q_ids)):
+        own = [q[s : s + DIMENSION_BLOCK, j] for s in cuts]
+        lengths = np.array([(x.astype(np.float64) ** 2).sum() for x in own])
+        order = np.argsort(-lengths * energy, kind="stable")  # the query's heaviest blocks first
+        # Remaining lengths are rounded up a little so that no bound is too low.
+        rest_q = np.sqrt(np.cumsum(lengths[order][::-1])[::-1]) * (1 + 1e-6)
+        alive, part, rest, low = np.flatnonzero(c_ids != q_ids[j]), None, whole, -np.inf
+        part, rest = np.zeros(len(alive), kind), whole[alive]
+        for i, at in enumerate(order):
+            if i == SEED_BLOCKS and len(alive) > SEEDS * k:
+                # The leaders so far are scored whole: their k-th best score is the bound to begin with.
+                lead = alive[np.argpartition(-part, SEEDS * k)[: SEEDS * k]]
+                low = np.partition((q[:, j] @ c[:, lead]).astype(np.float64), -k)[-k]
                 if seen is not None:
-                    seen.append(len(alive) * n * (e - s))
-            score = part.astype(np.float64)
-            score[c_ids[alive][:, None] == q_ids[None, own]] = -np.inf
-            hits = np.flatnonzero((score >= low).any(axis=1))
-            if not len(hits):
-                continue
-            both, ids = np.vstack([top, score[hits]]), np.vstack([top_ids, np.broadcast_to(c_ids[alive[hits]][:, None], (len(hits), n))])
-            best = np.lexsort((ids, -both), axis=0)[:k]
-            top, top_ids = np.take_along_axis(both, best, axis=0), np.take_along_axis(ids, best, axis=0)
-            low = top[-1]
-        for j in range(n):
-            found = top[:, j] > -np.inf
-            yield int(q_ids[at + j]), top_ids[found, j], top[found, j].astype(np.int64)
+                    seen.append(len(lead) * d)
+            if low > -np.inf:
+                keep = part + rest_q[i] * np.sqrt(np.maximum(rest, 0)) * (1 + 1e-6) >= low
+                if keep.mean(dtype=float) < COMPACT:
+                    alive, part, rest = alive[keep], part[keep], rest[keep]
+            part = part + own[at].astype(kind) @ (blocks[at] if len(alive) == len(c_ids) else blocks[at][:, alive])
+            rest = rest - (mass[at] if len(alive) == len(c_ids) else mass[at][alive])
+            if seen is not None:
+                seen.append(len(alive) * len(own[at]))
+        score = part.astype(np.float64)
+        if len(score) > k:
+            best = np.flatnonzero(score >= np.partition(score, -k)[-k])
+            alive, score = alive[best], score[best]
+        first = np.lexsort((c_ids[alive], -score))[:k]
+        yield int(q_ids[j]), c_ids[alive[first]], score[first].astype(np.int64)
 
 
 def _integers(m: np.ndarray) -> np.ndarray:

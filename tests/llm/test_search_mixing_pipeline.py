@@ -71,6 +71,17 @@ def test_bounds_prune_vectors_of_uneven_energy():
     assert sum(seen) < 0.3 * 100 * 8192 * 64
 
 
+def test_bounds_prune_the_given_vectors(spark):
+    """Vectors of even energy: under 0.7 of the products are made, and the results are exact."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("vec_id", "embedding").toArrow()
+    ids, v = rows["vec_id"].to_numpy(), np.floor(64 * np.array(rows["embedding"].to_pylist(), float)).T
+    asked, seen = ids % 20 == 0, []
+    for i, found, scores in exact_search.best_of_block(ids[asked], v[:, asked], ids, v, 20, seen):
+        s = v.T @ v[:, ids == i][:, 0]
+        assert list(zip(scores, found)) == [(-x, k) for x, k in sorted((-x, k) for k, x in zip(ids, s) if k != i)[:20]]
+    assert sum(seen) < 0.7 * asked.sum() * len(ids) * 64
+
+
 def test_equal_ids_are_separate_candidates(spark):
     d = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [2.0]), (1, [3.0])], "vec_id bigint, embedding array<double>")
     got = exact_search.top_k(d, F.col("vec_id") == 0).collect()
