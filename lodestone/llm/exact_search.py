@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 SCALE, K = 64, 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 8192
-DIMENSION_BLOCK, SEED_BLOCKS, SEEDS, COMPACT = 2, 6, 4, 0.9
+DIMENSION_BLOCK, SEED_BLOCKS, SEED_MASS, SEEDS, COMPACT = 4, 6, 0.6, 4, 0.9
 
 
 def _matrix(vectors: pa.Array, scale: int) -> np.ndarray:
@@ -95,39 +95,47 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
         yield from _plain(q_ids, _integers(q), c_ids, _integers(c), k)
         return
     kind = np.float32 if bound < 2.0**23 and max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) < 2.0**23 else np.float64
+    q, c = q.astype(kind), np.ascontiguousarray(c, kind)
     cuts = range(0, d, DIMENSION_BLOCK)
-    blocks = [np.ascontiguousarray(c[s : s + DIMENSION_BLOCK], kind) for s in cuts]
-    mass = np.stack([(x.astype(np.float64) ** 2).sum(axis=0) for x in blocks]) if blocks else np.zeros((0, len(c_ids)))
+    blocks = [c[s : s + DIMENSION_BLOCK] for s in cuts]
+    # Squared lengths are sums of integers, exact in single precision too where kind allows it.
+    mass = np.stack([(x * x).sum(axis=0) for x in blocks])
     energy, whole = mass.mean(axis=1) if len(c_ids) else np.zeros(len(blocks)), mass.sum(axis=0)
     for j in range(len(q_ids)):
         own = [q[s : s + DIMENSION_BLOCK, j] for s in cuts]
         lengths = np.array([(x.astype(np.float64) ** 2).sum() for x in own])
         order = np.argsort(-lengths * energy, kind="stable")  # the query's heaviest blocks first
         # Remaining lengths are rounded up a little so that no bound is too low.
-        rest_q = np.sqrt(np.cumsum(lengths[order][::-1])[::-1]) * (1 + 1e-6)
-        alive, part, rest, low = np.flatnonzero(c_ids != q_ids[j]), None, whole, -np.inf
-        part, rest = np.zeros(len(alive), kind), whole[alive]
+        rest_q = (np.sqrt(np.cumsum(lengths[order][::-1])[::-1]) * (1 + 1e-5)).astype(kind)
+        itself = c_ids == q_ids[j]
+        # The leaders are chosen once most of the mass is in, after SEED_BLOCKS blocks at the latest.
+        got = np.cumsum((lengths * energy)[order])
+        seed = min(SEED_BLOCKS, int((got < SEED_MASS * got[-1]).sum()) + 1, len(order) - 1)
+        alive, part, rest, low = None, np.zeros(len(c_ids), kind), whole.copy(), -np.inf
         for i, at in enumerate(order):
-            if i == SEED_BLOCKS and len(alive) > SEEDS * k:
-                # The leaders so far are scored whole: their k-th best score is the bound to begin with.
-                lead = alive[np.argpartition(-part, SEEDS * k)[: SEEDS * k]]
-                low = np.partition((q[:, j] @ c[:, lead]).astype(np.float64), -k)[-k]
-                if seen is not None:
-                    seen.append(len(lead) * d)
+            if i == seed:
+                part[itself] = -np.inf
+                if len(part) - itself.sum() > SEEDS * k:
+                    # The leaders so far are scored whole: their k-th best score is the bound to begin with.
+                    lead = np.argpartition(-part, SEEDS * k)[: SEEDS * k]
+                    low = np.partition(q[:, j] @ c[:, lead], -k)[-k]
+                    if seen is not None:
+                        seen.append(len(lead) * d)
             if low > -np.inf:
-                keep = part + rest_q[i] * np.sqrt(np.maximum(rest, 0)) * (1 + 1e-6) >= low
-                if keep.mean(dtype=float) < COMPACT:
-                    alive, part, rest = alive[keep], part[keep], rest[keep]
-            part = part + own[at].astype(kind) @ (blocks[at] if len(alive) == len(c_ids) else blocks[at][:, alive])
-            rest = rest - (mass[at] if len(alive) == len(c_ids) else mass[at][alive])
+                keep = np.flatnonzero(part + rest_q[i] * np.sqrt(rest) >= low)
+                if len(keep) < COMPACT * len(part):
+                    alive, part, rest = keep if alive is None else alive[keep], part[keep], rest[keep]
+            part += own[at] @ (blocks[at] if alive is None else blocks[at].take(alive, axis=1))
+            rest -= mass[at] if alive is None else mass[at].take(alive)
             if seen is not None:
-                seen.append(len(alive) * len(own[at]))
-        score = part.astype(np.float64)
-        if len(score) > k:
-            best = np.flatnonzero(score >= np.partition(score, -k)[-k])
-            alive, score = alive[best], score[best]
-        first = np.lexsort((c_ids[alive], -score))[:k]
-        yield int(q_ids[j]), c_ids[alive[first]], score[first].astype(np.int64)
+                seen.append(len(part) * len(own[at]))
+        ids = c_ids if alive is None else c_ids[alive]
+        fit = np.flatnonzero(part > -np.inf)
+        if len(fit) > k:
+            fit = fit[part[fit] >= np.partition(part[fit], -k)[-k]]
+        ids, score = ids[fit], part[fit].astype(np.float64)
+        first = np.lexsort((ids, -score))[:k]
+        yield int(q_ids[j]), ids[first], score[first].astype(np.int64)
 
 
 def _integers(m: np.ndarray) -> np.ndarray:
