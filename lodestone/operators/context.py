@@ -144,3 +144,12 @@ def case_aggregate(cases: DataFrame, in_context: Column) -> DataFrame:
         mean(f1, a).alias("average_f1_all_answerable"), mean(f1, a & ~r).alias("average_f1_completed_answerable"), F.count_if(a & ~r & F.col("cited_gold")).alias("gold_citation_count"), rate(a & ~r & F.col("cited_gold"), a).alias("gold_citation_rate"),
         F.count_if(a & r).alias("answerable_refusal_count"), rate(a & r, a).alias("answerable_refusal_rate"), F.count_if(~a & ~r).alias("false_answer_count"), rate(~a & ~r, ~a).alias("false_answer_rate"),
     )
+
+
+def union_context(rows: DataFrame, depth: int = CONTEXT_DEPTH) -> DataFrame:
+    """(q_id, doc_id, was, model, rank): the union of the first `depth` by fit and by rank, by falling model score.
+
+    rows: (q_id, doc_id, was, fit, model).
+    """
+    both = top_k(rows, ["q_id"], [F.col("fit").desc(), F.col("was"), F.col("doc_id")], None, "_f").filter((F.col("_f") <= depth) | (F.col("was") <= depth))
+    return top_k(both, ["q_id"], [F.col("model").desc(), F.col("was"), F.col("doc_id")], depth).select("q_id", "doc_id", "was", "model", "rank")

@@ -247,3 +247,14 @@ def f1_distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_k(rows, keys, order, 1, "_n").drop("_n")
+
+
+def change_contrasts(rows: DataFrame, by: list[str], features: dict[str, str]) -> DataFrame:
+    """Outcomes of changed choices by group: number, F1 change, mean feature difference.
+
+    rows: the structs `b` (before) and `c` (after), each with place, f1 and the features; `features` names contrasts.
+    """
+    b, c = F.col("b"), F.col("c")
+    outcome = F.when(c["f1"] > b["f1"], "improved").when(c["f1"] < b["f1"], "regressed").when(c["place"] == b["place"], "unchanged").otherwise("tied")
+    gain = F.round((c["f1"] - b["f1"]) * 10_000).cast("bigint")
+    return rows.groupBy(*by, outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), (F.sum(gain) / F.lit(10_000.0)).alias("f1_change"), *[F.round(F.avg(F.round(c[f] - b[f], 4)), 6).alias(f"{n}_contrast") for n, f in features.items()])

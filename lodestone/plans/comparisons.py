@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
-from lodestone.operators import answer, compare, evidence, retrieve
+from lodestone.operators import answer, compare, context, evidence, retrieve
 from lodestone.operators.retrieve import ranked
 from lodestone.plans import sql as S
 from lodestone.plans.evidence import BM25_ROWS, CASES, LOCAL, Evidence, cases, plain_sql, reranked
-from lodestone.plans.retrieval import ALL, SHOW, Setting, shown
+from lodestone.plans.retrieval import ALL, FIT, SHOW, Setting, shown, with_fit
 from lodestone.plans.scalars import signal_sql
 from lodestone.sources.scratch import stored
 
@@ -185,3 +185,20 @@ def composition_oracle(spark, d):
     so_far = F.array_join(F.collect_list("sentence").over(W.partitionBy("q_id").orderBy("place")), " ")  # three sentences a question
     f1 = lambda x: F.round(M.token_f1(T.tokens(x), F.col("gt")), 4)
     return compare.prefix_oracle(r.select("q_id", "place", f1(F.col("sentence")).alias("f1"), so_far.alias("prefix"), "gt").withColumn("prefix_f1", f1(F.col("prefix"))))
+
+
+_PHRASES = [S.QUES, f"nt AS MATERIALIZED (SELECT q_id, {S.toks('text')} AS t FROM ques)", f"nr AS MATERIALIZED (SELECT q_id, flatten(list_transform(list_filter(range(1, len(t)), lambda i: len(list_filter(t[i : i + 1], lambda x: {_CONTENT})) = 2), lambda i: t[i : i + 1])) AS f FROM nt)"]
+
+
+@query(S.query(_PHRASES, f"SELECT q_id, array_to_string({_ORDERED.format(t='f')}, ' ') AS terms, len(list_distinct(f)) AS n FROM nr"))
+def noun_phrase_terms(spark, d):
+    """Terms that stand beside another content term, as a view of a question."""
+    t = compare.noun_phrases(T.tokens(F.col("text")))
+    return Setting(spark, d).asked.select("q_id", t.alias("t")).select("q_id", F.array_join("t", " ").alias("terms"), F.size("t").alias("n"))
+
+
+@query(S.query([S.BM25, FIT, "uc AS (SELECT *, round(fit + score / 10, 6) AS model FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY fit DESC, rank, doc_id) AS by_fit FROM fits) WHERE by_fit <= 10 OR rank <= 10)"], "SELECT q_id, doc_id, rank AS was, round(model, 6) AS model, row_number() OVER (PARTITION BY q_id ORDER BY model DESC, rank, doc_id) AS rank FROM uc QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY model DESC, rank, doc_id) <= 10"))
+def union_context(spark, d):
+    """The first ten by overlap and the first ten by rank together, ordered by a score, cut at ten."""
+    rows = with_fit(Setting(spark, d)).withColumn("model", F.round(F.col("fit") + F.col("score") / 10, 6)).withColumnRenamed("rank", "was")
+    return context.union_context(rows)

@@ -312,3 +312,15 @@ def candidate_consistency(spark, d):
     """Candidate rows against a summary that was made of the first four documents alone."""
     r = stored(evidence.bm25_ranked(Evidence(spark, d).rows()).select("q_id", "rank"), "candidates")
     return diagnose.consistency(r, r.filter("rank <= 4").groupBy("q_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+_ERRORS = [*_SET, f"em AS MATERIALIZED (SELECT q_id, route, place, rank, round(score, 4) AS score, len(overlap) AS n_overlap, {signal_sql('sentence')} AS signal, f1 FROM bc)", "ee AS (SELECT b.route, CASE WHEN c.f1 > b.f1 THEN 'improved' WHEN c.f1 < b.f1 THEN 'regressed' WHEN c.place = 1 THEN 'unchanged' ELSE 'tied' END AS outcome, round(10000 * (c.f1 - b.f1))::BIGINT AS g, c.rank - b.rank AS d_rank, round(c.score - b.score, 4) AS d_score, c.n_overlap - b.n_overlap AS d_overlap, round(c.signal - b.signal, 4) AS d_signal FROM em b JOIN (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY round(n_overlap + signal, 4) DESC, place) = 1) c ON c.q_id = b.q_id AND b.place = 1)"]
+
+
+@query(S.query(_ERRORS, "SELECT route, outcome, count(*) AS n, sum(g) / 10000.0::DOUBLE AS f1_change, round(avg(d_rank), 6) AS rank_contrast, round(avg(d_score), 6) AS score_contrast, round(avg(d_overlap), 6) AS overlap_contrast, round(avg(d_signal), 6) AS signal_contrast FROM ee GROUP BY route, outcome"))
+def reranker_errors(spark, d):
+    """A reranker (shared terms and answer signal) against the first candidate: outcomes by route, and how the features differ."""
+    rows = stored(candidate_set(Evidence(spark, d)), "candidates")
+    features = F.struct("place", "rank", "score", "n_overlap", "signal", "f1")
+    best = rows.groupBy("q_id").agg(F.max_by(features, F.struct(F.round(F.col("n_overlap") + F.col("signal"), 4), -F.col("place"))).alias("c"))
+    return diagnose.change_contrasts(rows.filter("place = 1").select("q_id", "route", features.alias("b")).join(best, "q_id"), ["route"], {"rank": "rank", "score": "score", "overlap": "n_overlap", "signal": "signal"})

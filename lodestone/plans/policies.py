@@ -347,3 +347,30 @@ def f1_heads_cv(spark, d):
     ordinal = long.groupBy("fold", F.concat(F.lit("below_"), F.col("i").cast("string")).alias("head")).agg(F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg((F.col("f1") < edges).cast("int")), 6).alias("observed"), F.count(F.lit(1)).alias("n"))
     low = q.groupBy("fold", F.lit("quantile").alias("head")).agg(F.lit(QUANTILE).alias("predicted"), F.round(F.avg((F.col("f1") < F.col("low")).cast("int")), 6).alias("observed"), F.count(F.lit(1)).alias("n"))
     return ordinal.unionByName(low)
+
+
+# ---- what the chosen actions turned out to be -----------------------------------------------
+
+RULES = ("dominance", "first_risk", "worst_risk")
+_ORDERS = {"dominance": "dominators, greatest(la, lb), la + lb, lg DESC, item", "first_risk": "la, lb, lg DESC, item", "worst_risk": "greatest(la, lb), la + lb, lg DESC, item"}
+_FAMILY = "CASE WHEN family LIKE 'delete_slot%' THEN 'delete' WHEN family LIKE 'replace_slot%' THEN 'replace' ELSE family END"
+
+
+@query(S.query([*_JOINT, *[f"w{i} AS (SELECT '{r}' AS rule, q_id, item FROM jl JOIN dm USING (q_id, item) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY {o}) = 1)" for i, (r, o) in enumerate(_ORDERS.items())], "wa AS (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(len(_ORDERS))) + ")",
+    f"wo AS (SELECT rule, {corpus._OUT} AS outcome, {_FAMILY} AS family, base, tier, f1, best FROM wa JOIN (SELECT *, max(tier) OVER (PARTITION BY q_id) AS best FROM ar) ar USING (q_id, item))"],
+    "SELECT rule, outcome, family, count(*) AS n, count(*) FILTER (tier = 0) AS unsafe, count(*) FILTER (best = 2 AND tier < 2) AS missed_gain, sum(round(10000 * f1)::BIGINT) / 10000.0::DOUBLE AS f1_change FROM wo GROUP BY ALL"))
+def winner_attribution(spark, d):
+    """What each rule's winners did: outcome and family, unsafe winners, and strict gains that were there and not taken."""
+    from pyspark.sql import Window as W
+
+    rows = stored(action_table(Evidence(spark, d)), "rows")
+    scores = given(rows).withColumnRenamed("risk", "risk_a")
+    won = None
+    for rule in RULES:
+        part = P.joint_constraint(scores, rule, SAFETY, GAIN).select(F.lit(rule).alias("rule"), "q_id", "item")
+        won = part if won is None else won.unionByName(part)
+    family = F.when(F.col("family").startswith("delete_slot"), "delete").when(F.col("family").startswith("replace_slot"), "replace").otherwise(F.col("family"))
+    known = rows.withColumn("best", F.max("tier").over(W.partitionBy("q_id"))).select("q_id", "item", actions.outcome(F.col("cit"), F.col("f1")).alias("outcome"), family.alias("family"), "tier", "best", "f1")
+    return won.join(known, ["q_id", "item"]).groupBy("rule", "outcome", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == 0).alias("unsafe"), F.count_if((F.col("best") == 2) & (F.col("tier") < 2)).alias("missed_gain"), (F.sum(F.round(F.col("f1") * 10_000).cast("bigint")) / F.lit(10_000.0)).alias("f1_change")
+    )
