@@ -1,7 +1,16 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage reads what its predecessor kept, as Parquet, and applies one
-operator to all of it.  All but the last return the columns of `documents`.
+operator to all of it.  All but the last return the columns of `documents`, and
+any others that the table has, whatever their names.
+
+Defined results: a null text counts as empty and fails the quality rules, as an
+empty one does, so neither reaches the later stages; very long texts are read
+whole; rows that repeat an id count as one document, which stays or goes as a
+whole; ties between copies go to the smallest id; a null source is a source of its own in the mix; an empty table, or one of
+which no document is kept, gives no pieces.  A document goes if the links of the
+near-dedup lead, over any number of steps, to one with a smaller id that stays: it
+may be less than 0.8 alike to that one.
 """
 
 from __future__ import annotations
