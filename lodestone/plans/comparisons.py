@@ -8,6 +8,7 @@ from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators import answer, compare, context, evidence, retrieve
 from lodestone.operators.retrieve import ranked
+from lodestone.plans import diagnostics
 from lodestone.plans import sql as S
 from lodestone.plans.evidence import BM25_ROWS, CASES, LOCAL, Evidence, cases, plain_sql, reranked
 from lodestone.plans.retrieval import ALL, FIT, SHOW, Setting, shown, with_fit
@@ -92,7 +93,7 @@ def candidate_alignment(spark, d):
     return compare.alignment(s.bm25(10), s.section(10))
 
 
-@query(None)
+@query(diagnostics.ORACLES["arm_winners"])
 def selector_comparison(spark, d):
     e = Evidence(spark, d)
     base = cases(e).filter("answerable")
