@@ -37,6 +37,8 @@ def features(pool: DataFrame, channels: DataFrame, docs: DataFrame, asked: DataF
 
     A pool document meets the terms of its question by (document, term), so the
     work is the pool's size times a question's terms, and no frequent term is one key.
+    The beginning of a text may end inside a word; that piece counts in the overlap
+    with the beginning, never in the coverage by title and body.
     """
     terms = asked.select("q_id", F.explode(T.tokens(F.col("text"))).alias("term")).distinct().withColumn("kind", F.lit("term"))
     special = asked.select("q_id", F.explode(T.special_tokens(F.col("text"))).alias("term")).withColumn("kind", F.lit("special"))
@@ -44,7 +46,7 @@ def features(pool: DataFrame, channels: DataFrame, docs: DataFrame, asked: DataF
     met = pool.select("q_id", "doc_id").join(wanted, "q_id").join(_postings(docs, wanted.select("kind", "term").distinct()), ["doc_id", "kind", "term"])
     count = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c).otherwise(0))
     shared = met.groupBy("q_id", "doc_id").agg(
-        count("term", F.col("in_short")).alias("overlap_count"), count("term", F.col("in_title")).alias("title_overlap"), count("term", F.col("in_body")).alias("n_body"), count("term", F.lit(1)).alias("n_any"),
+        count("term", F.col("in_short")).alias("overlap_count"), count("term", F.col("in_title")).alias("title_overlap"), count("term", F.col("in_body")).alias("n_body"), count("term", F.greatest("in_title", "in_body")).alias("n_any"),
         count("special", F.lit(1)).alias("special_matches"), count("special", F.col("in_title")).alias("title_special"),
     )
     sizes = asked.select("q_id", F.size(F.array_distinct(T.tokens(F.col("text")))).alias("n_q"))

@@ -287,3 +287,13 @@ def test_protected_prefix_stays(spark):
     assert got == [f"d{i:02}" for i in (1, 2, 3, 4, 5, 29, 28, 27, 26, 25)]
     report = context.selection_report(context.protected(pool, scores, 5), pool, spark.createDataFrame([("q", "d29")], "q_id string, gold string"), 5).first()
     assert (report.selected_hits, report.baseline_hits, report.gained, report.violations, report.promotions) == (1, 0, 1, 0, 5)
+
+
+def test_a_word_cut_at_the_end_of_the_beginning_is_no_coverage(spark):
+    text = "x " * (context.SHORT_CHARS // 2 - 2) + "alphabet beta"  # the first SHORT_CHARS characters end in "alph"
+    docs = spark.createDataFrame([("1", "gamma", text)], "doc_id string, title string, text string")
+    asked = spark.createDataFrame([("7", "alph", "alph beta gamma delta")], "q_id string, title string, text string")
+    pool = spark.createDataFrame([("7", "1", 1, 0.1)], "q_id string, doc_id string, rank int, score double")
+    channels = pool.selectExpr("'document' AS channel", "q_id", "doc_id", "rank")
+    row = context.features(pool, channels, docs, asked, ["document", "title"]).first()
+    assert (row.overlap_count, row.title_overlap, row.coverage, row.body_coverage) == (2, 1, 0.5, 0.25)
