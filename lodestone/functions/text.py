@@ -88,6 +88,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def run_starts(ordered: Column) -> Column:
+    """1-based places of a sorted list at which a value is first, and one beyond the end."""
+    n = F.size(ordered)
+    return F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i == 1) | (i > n) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+
+
+def runs(ordered: Column, starts: Column) -> Column:
+    """[(term, tf)] of a sorted list with its `run_starts`: the distinct values and how often each is there."""
+    return F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda i, k: F.struct(F.get(ordered, i - 1).alias("term"), (F.get(starts, k + 1) - i).cast("bigint").alias("tf")))
+
+
 def normalized(text: Column) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -31,37 +31,55 @@ def query_terms(asked: DataFrame, text: str = "text") -> DataFrame:
     return asked.select("q_id", F.explode(T.tokens(F.col(text))).alias("term")).groupBy("q_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _small(df: DataFrame, rows: int) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 class Index:
     """Lazy postings of (unit, text) rows, limited to the terms that are asked for.
 
     Every unit also posts the empty term, so that document frequencies, the
-    number of units and their mean length all come from postings.  The planner
-    reuses their shuffle where the plans agree (two of three uses in the
-    executed plan of a plain search).
+    number of units and their mean length all come from postings.  A unit counts
+    its own terms before anything is shuffled, and the postings are dealt by the
+    first key, the document, alone: document frequencies, mean length and matches
+    read the same shuffle.  Query terms with their frequencies are copied to the
+    tasks while there are at most COPIED of them, so that the rows of (query,
+    unit, shared term), of which there are many times more than postings, are
+    made and added up inside a document's task.  Beyond that they are joined.
     """
 
+    COPIED = 1_000_000  # rows of query terms, some tens of bytes each
+
     def __init__(self, units: DataFrame, text: Column, terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)):
         self.keys, self.terms = list(keys), terms
-        tok = units.select(*self.keys, T.tokens(text).alias("toks")).withColumn("len", F.size("toks"))
+        self.copied = copied = F.broadcast if _small(terms, self.COPIED) else lambda df: df
+        tok = units.select(*self.keys, T.tokens(text).alias("toks")).select(*self.keys, F.size("toks").alias("len"), F.sort_array(F.concat("toks", F.array(F.lit("")))).alias("toks"))
         wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-        each = tok.select(*self.keys, "len", F.explode(F.concat("toks", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
-        self.postings = each.groupBy(*self.keys, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        runs = tok.withColumn("starts", T.run_starts(F.col("toks"))).select(*self.keys, "len", F.inline(T.runs(F.col("toks"), F.col("starts"))))
+        each = runs.join(copied(wanted), "term", "left_semi")
+        self.postings = each.repartition(self.keys[0]).groupBy(*self.keys, "len", "term").agg(F.sum("tf").alias("tf"))
+        # Counts are of tf, which is never null, so that all three uses read the same columns and so the same shuffle.
         empty = F.col("term") == ""
         whole = F.sum(F.when(empty, F.col("len")))
-        self.stats = self.postings.agg(F.count_if(empty).alias("n"), (whole / F.sum(F.when(empty, F.col("tf")))).alias("avg_len"))
-        self.df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), F.sum("len").alias("lengths"))
+        self.stats = self.postings.agg(F.count(F.when(empty, F.col("tf"))).alias("n"), (whole / F.sum(F.when(empty, F.col("tf")))).alias("avg_len"))
+        self.df = self.postings.groupBy("term").agg(F.count("tf").alias("df"), F.sum("tf").alias("total"))
+        sized = self.df.join(terms, "term").join(F.broadcast(self.stats))  # one row
+        self.asked = copied(sized.select("term", "q_id", "qtf", M.idf(F.col("n"), F.col("df")).alias("idf")))
 
-    def matches(self) -> DataFrame:
-        """One row a (query, unit, shared term) with all that a term score needs."""
-        found = self.postings.join(self.df, "term").join(self.terms, "term")
-        return found.join(F.broadcast(self.stats))  # one row
+    def matches(self, *parts: Column) -> DataFrame:
+        """One row a (query, unit, shared term): qtf, idf and `parts`, columns that are made once a posting of tf, len and avg_len."""
+        own = self.postings.join(F.broadcast(self.stats.select("avg_len"))).select(*self.keys, "term", *parts)  # one row
+        return own.join(self.asked, "term")
 
     def scores(self, k1: float = K1, b=B) -> DataFrame:
         """(q_id, unit keys, score)."""
-        m = self.matches()
-        norm = M.bm25_norm(F.col("len"), F.col("avg_len"), k1, b)
-        each = F.col("qtf") * M.bm25_term(M.idf(F.col("n"), F.col("df")), F.col("tf"), norm, k1)
-        return m.groupBy("q_id", *self.keys).agg(F.round(F.sum(each), 9).alias("score"))
+        m = self.matches(saturation(k1, b).alias("part"))
+        return m.groupBy("q_id", *self.keys).agg(F.round(F.sum(F.col("qtf") * F.col("idf") * F.col("part")), 9).alias("score"))
+
+
+def saturation(k1: float, b) -> Column:
+    """What a posting brings a query, but for idf and qtf."""
+    return M.bm25_term(F.lit(1.0), F.col("tf"), M.bm25_norm(F.col("len"), F.col("avg_len"), k1, b), k1)
 
 
 def document_text() -> Column:
@@ -78,17 +96,21 @@ def grid_ranks(docs: DataFrame, terms: DataFrame, gold: DataFrame, configs: list
     One pass: every configuration is a column of one aggregate, and a rank is
     one plus the number of documents that come before, so nothing is sorted.
     """
-    m = Index(docs, document_text(), terms).matches()
-    part = lambda k1, b: F.col("qtf") * M.bm25_term(M.idf(F.col("n"), F.col("df")), F.col("tf"), M.bm25_norm(F.col("len"), F.col("avg_len"), k1, b), k1)
-    wide = m.groupBy("q_id", "doc_id").agg(F.array(*[F.round(F.sum(part(k1, b)), 9) for _, k1, b in configs]).alias("s"))
-    return ranks_of(wide, gold, [name for name, _, _ in configs])
+    index = Index(docs, document_text(), terms)
+    m = index.matches(*[saturation(k1, b).alias(f"part{i}") for i, (_, k1, b) in enumerate(configs)])
+    score = lambda i: F.round(F.sum(F.col("qtf") * F.col("idf") * F.col(f"part{i}")), 9)
+    wide = m.groupBy("q_id", "doc_id").agg(F.array(*[score(i) for i in range(len(configs))]).alias("s"))
+    return ranks_of(wide, gold, [name for name, _, _ in configs], index.copied)
+
 
+def ranks_of(wide: DataFrame, gold: DataFrame, names: list[str], copied=lambda df: df) -> DataFrame:
+    """wide: (q_id, doc_id, s array of scores by name) -> (config_id, q_id, rank or null).
 
-def ranks_of(wide: DataFrame, gold: DataFrame, names: list[str]) -> DataFrame:
-    """wide: (q_id, doc_id, s array of scores by name) -> (config_id, q_id, rank or null)."""
-    own = wide.join(gold.select("q_id", F.col("gold").alias("doc_id")), ["q_id", "doc_id"]).select("q_id", F.col("doc_id").alias("gold"), F.col("s").alias("g"))
+    Gold rows, one a question, are passed through `copied`: where it broadcasts them, no score is shuffled.
+    """
+    own = wide.join(copied(gold.select("q_id", F.col("gold").alias("doc_id"))), ["q_id", "doc_id"]).select("q_id", F.col("doc_id").alias("gold"), F.col("s").alias("g"))
     before = lambda i: F.count_if((F.col("s")[i] > F.col("g")[i]) | ((F.col("s")[i] == F.col("g")[i]) & (F.col("doc_id") < F.col("gold"))))
-    counts = wide.join(own, "q_id").groupBy("q_id").agg(*[(before(i) + 1).alias(f"r{i}") for i in range(len(names))])
+    counts = wide.join(copied(own), "q_id").groupBy("q_id").agg(*[(before(i) + 1).alias(f"r{i}") for i in range(len(names))])
     every = gold.select("q_id").join(counts, "q_id", "left")
     return every.select("q_id", F.inline(F.array(*[F.struct(F.lit(n).alias("config_id"), F.col(f"r{i}").alias("rank")) for i, n in enumerate(names)])))
 

@@ -230,3 +230,24 @@ def test_stream_ledger(spark, tmp_path):
     q.stop()
     got = {(r.thread, r.seq): (r.accepted, r.reason, r.kept) for r in spark.sql("select * from ledger_out").collect()}
     assert got == {(1, 1): (True, "", 1), (1, 2): (False, "byte_limit", 1), (1, 3): (True, "", 2), (2, 2): (False, "not_contiguous", 0)}
+
+
+def test_matches_of_an_index_are_added_up_in_the_task_of_their_document(spark):
+    from lodestone.operators import retrieve
+
+    docs = spark.createDataFrame([(str(i), "t", "a a b" if i % 2 else "b c") for i in range(20)], "doc_id string, title string, text string")
+    terms = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("r", "c", 1)], "q_id string, term string, qtf long")
+
+    def scored():
+        index = retrieve.Index(docs, retrieve.document_text(), terms)
+        plan = index.scores()._jdf.queryExecution().executedPlan().toString()
+        return {(r.q_id, r.doc_id): r.score for r in index.scores().collect()}, plan
+
+    got, plan = scored()
+    assert "Exchange hashpartitioning(q_id" not in plan.split("BroadcastExchange")[0]  # no row of (query, document, term) is shuffled
+    kept = retrieve.Index.COPIED
+    try:
+        retrieve.Index.COPIED = 2  # fewer than the query terms: the joined form
+        assert scored()[0] == got and len(got) == 30
+    finally:
+        retrieve.Index.COPIED = kept
