@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
-from lodestone.operators import answer, evaluate, evidence
+from lodestone.operators import answer, evaluate, evidence, retrieve
 from lodestone.operators.retrieve import top_k
 from lodestone.plans import sql as S
 from lodestone.plans.retrieval import Setting
@@ -377,8 +377,6 @@ RANKED = "gr AS MATERIALIZED (SELECT gold.q_id, br.rank FROM gold LEFT JOIN br O
 
 @query(S.query([S.BM25, S.GOLD, RANKED], f"SELECT {METRICS} FROM gr"))
 def retrieval_metrics(spark, d):
-    from lodestone.operators import retrieve
-
     s = Setting(spark, d)
     wide = retrieve.bm25(s.docs, s.terms).select("q_id", "doc_id", F.array("score").alias("s"))
     return evaluate.retrieval_metrics(retrieve.ranks_of(wide, s.gold, ["bm25"]))
@@ -393,8 +391,6 @@ _GRID = [
 
 
 def _grid(spark, d):
-    from lodestone.operators import retrieve
-
     s = Setting(spark, d)
     return retrieve.grid_ranks(s.docs, s.terms, s.gold, _GRID_VALUES)
 
@@ -414,9 +410,16 @@ _PAIR = [S.BM25, S.GOLD, RANKED, S.index("t", "docs", "title"), S.scores("t", "t
 
 
 def _pair(spark, d):
+    """(q_id, rank or null) of gold in whole documents and in titles: counts of what comes before, so no full ranking is sorted."""
     s = Setting(spark, d)
     g = s.gold
-    return evaluate.gold_ranks(s.asked, g, s.bm25()), evaluate.gold_ranks(s.asked, g, s.title())
+
+    def ranks(text):
+        index = retrieve.Index(s.docs, text, s.terms)
+        wide = index.scores().select("q_id", "doc_id", F.array("score").alias("s"))
+        return retrieve.ranks_of(wide, g, ["gold"], index.copied).select("q_id", "rank")
+
+    return ranks(retrieve.document_text()), ranks(F.col("title"))
 
 
 @query(S.query(_PAIR, "SELECT count(*) AS questions, count(*) FILTER (b > 10 AND c <= 10) AS improved, count(*) FILTER (b <= 10 AND c > 10) AS regressed, count(*) FILTER (b <= 10 AND c <= 10) AS both_hit, count(*) FILTER (b > 10 AND c > 10) AS both_missed, count(*) FILTER (c < b) AS rank_up, count(*) FILTER (c > b) AS rank_down FROM j"))
