@@ -251,3 +251,34 @@ def test_matches_of_an_index_are_added_up_in_the_task_of_their_document(spark):
         assert scored()[0] == got and len(got) == 30
     finally:
         retrieve.Index.COPIED = kept
+
+
+def test_best_cosines_by_cells_equal_all_pairs(spark):
+    import random
+
+    from lodestone.operators import retrieve
+
+    rnd = random.Random(5)
+    rows = [(str(i), [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(60)] + [("n", None), ("m", [1.0, None, 2.0]), ("z", [0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id string, embedding array<double>")
+    queries = vectors.filter("doc_id in ('7', '8', 'n', '30')").withColumnRenamed("doc_id", "q_id")
+    wanted = retrieve.ranked(retrieve.cosine(vectors, queries).filter("q_id <> doc_id"), 9)
+    got = retrieve.cosine_top(vectors, queries, 9, cell=7)
+    listed = lambda df: sorted((r.q_id, r["rank"], r.doc_id, r.score) for r in df.collect() if r.score is not None)
+    assert listed(got) == listed(wanted) and got.count() == wanted.count() == 36
+    few = vectors.filter("doc_id in ('n', '7', '8')")
+    assert [(r.doc_id, r.score is None) for r in retrieve.cosine_top(few, queries.filter("q_id = '7'"), 9).orderBy("rank").collect()] == [("8", False), ("n", True)]
+
+
+def test_similar_sets_lose_no_pair_to_the_place_of_the_first_shared_term(spark):
+    import random
+
+    rnd = random.Random(9)
+    sets = {i: {f"w{rnd.randint(0, 9)}" for _ in range(rnd.randint(6, 16))} for i in range(150)}
+    rows = spark.createDataFrame([(i, " ".join(x)) for i, x in sets.items()], "id int, text string")
+    classes = {}
+    for i, x in sets.items():
+        classes.setdefault(frozenset(x), i)
+    ids = sorted(classes.items(), key=lambda c: c[1])
+    wanted = {(i, j) for a, (x, i) in enumerate(ids) for y, j in ids[a + 1 :] if len(x & y) / len(x | y) >= 0.8}
+    assert {(r.left_id, r.right_id) for r in leakage.similar_sets(rows, "id", F.split("text", " "), 0.8).collect()} == wanted and len(wanted) > 20
