@@ -178,3 +178,62 @@ def cosine(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     left = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = v.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     return right.join(left, "block").select("q_id", "doc_id", F.round(M.dot(F.col("qv"), F.col("dv")), 9).alias("score"))
+
+
+CELL = 4096  # vectors, and queries, of one cell of the grid below
+
+
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int, cell: int = CELL) -> DataFrame:
+    """(q_id, doc_id, score, rank): the k best of `cosine` but for a query's own id, by score and then id.
+
+    Every query meets every vector: vectors and queries are dealt into parts of
+    about `cell` rows, a task multiplies two parts as matrices and keeps k rows a
+    query, and a window takes the best of those.  A task holds two parts and
+    their scores, whatever the size of the tables.  A vector that is null, empty
+    or holds a null has null scores, which come last.
+    """
+    import numpy as np
+    import pandas as pd
+
+    parts = lambda df: max(1, -(-df.count() // cell))
+    nv, nq = parts(vectors), parts(queries)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = F.col("embedding")
+    whole = F.coalesce((F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull()), F.lit(False))
+    own = F.when(whole, M.unit_vector(x)).otherwise(F.array().cast("array<double>")).alias("v")
+    v = vectors.select("doc_id", own, part("doc_id", nv).alias("vp")).withColumn("qp", every(nq))
+    q = queries.select("q_id", own, part("q_id", nq).alias("qp")).withColumn("vp", every(nv))
+
+    def stacked(rows):
+        dim = rows.map(len).max()
+        return np.stack([r if len(r) else np.zeros(dim) for r in rows])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names, found, scores, voids = [], [], [], []
+        if len(left) and len(right):
+            left = left.sort_values("doc_id", kind="stable")  # so that the first of equal scores has the smaller id
+            ids, lacks = left["doc_id"].to_numpy(), left["v"].map(len).to_numpy() == 0
+            mine = stacked(left["v"])
+            for at in range(0, len(right), 256):
+                some = right.iloc[at : at + 256]
+                theirs = stacked(some["v"])
+                if theirs.shape[1] != mine.shape[1] and theirs.shape[1] and mine.shape[1]:
+                    raise ValueError("vectors of different lengths")
+                near = np.round(theirs @ mine.T, 9) if theirs.shape[1] == mine.shape[1] else np.zeros((len(some), len(ids)))
+                for name, vector, row in zip(some["q_id"], some["v"], near):
+                    void = lacks | (len(vector) == 0)
+                    key = np.where(void, -np.inf, np.where(np.isnan(row), np.inf, row))  # as Spark orders: NaN, numbers, null
+                    others = np.flatnonzero(ids != name)
+                    if len(others) > k:
+                        others = others[key[others] >= np.partition(key[others], -k)[-k]]
+                    first = others[np.argsort(-key[others], kind="stable")[:k]]
+                    names += [name] * len(first)
+                    found += list(ids[first])
+                    scores += list(row[first])
+                    voids += list(void[first])
+        return pd.DataFrame({"q_id": pd.Series(names, dtype=object), "doc_id": pd.Series(found, dtype=object), "score": pd.Series(scores, dtype=float), "void": pd.Series(voids, dtype=bool)})
+
+    met = v.groupBy("vp", "qp").cogroup(q.groupBy("vp", "qp")).applyInPandas(best, "q_id string, doc_id string, score double, void boolean")
+    met = met.select("q_id", "doc_id", F.when(~F.col("void"), F.coalesce("score", F.lit(float("nan")))).alias("score"))  # Arrow reads NaN as null
+    return ranked(met, k)

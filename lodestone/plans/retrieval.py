@@ -175,7 +175,7 @@ c AS (SELECT q.id AS q_id, d.id AS doc_id, round(list_inner_product(q.v, d.v), 9
 def dense_cosine_topk(spark, d):
     e = R.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "vec_id", "embedding")
     q = e.filter("vec_id % 25 = 0").select(F.col("doc_id").alias("q_id"), "embedding")
-    return shown(ranked(retrieve.cosine(e, q).filter("q_id <> doc_id"), 10))
+    return shown(retrieve.cosine_top(e, q, 10))
 
 
 @query(S.query([S.BM25, SEC, "l AS (SELECT q_id, doc_id, rank FROM br WHERE rank <= 400 UNION ALL SELECT q_id, doc_id, rank FROM sr WHERE rank <= 400)", "f AS (SELECT q_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM l GROUP BY q_id, doc_id)", S.ranks("f", "fr", 10)], f"{SHOW} fr"))
