@@ -149,8 +149,10 @@ def fielded(docs: DataFrame, terms: DataFrame, title_weight: float = 0.25, k1: f
     """Title and body scores, each over its query's best, weighted and added."""
 
     def share(text: str, name: str) -> DataFrame:
-        s = Index(docs, F.col(text), terms).scores(k1, b)
-        return s.select("q_id", "doc_id", (F.col("score") / F.max("score").over(W.partitionBy("q_id"))).alias(name))
+        index = Index(docs, F.col(text), terms)
+        s = index.scores(k1, b)
+        best = s.groupBy("q_id").agg(F.max("score").alias("best"))  # one row a question
+        return s.join(index.copied(best), "q_id").select("q_id", "doc_id", (F.col("score") / F.col("best")).alias(name))
 
     both = share("title", "t").join(share("text", "x"), ["q_id", "doc_id"], "full_outer")
     mixed = title_weight * F.coalesce("t", F.lit(0.0)) + (1 - title_weight) * F.coalesce("x", F.lit(0.0))
