@@ -6,12 +6,15 @@ floating-point sum cannot decide a tie; ties go to the smaller string id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
+from lodestone.operators.packed import Packed
 
 K1, B = 1.5, 0.75
 
@@ -82,6 +85,17 @@ def saturation(k1: float, b) -> Column:
     return M.bm25_term(F.lit(1.0), F.col("tf"), M.bm25_norm(F.col("len"), F.col("avg_len"), k1, b), k1)
 
 
+def packed_units(units: DataFrame, text: Column, terms: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Packed | None:
+    """Units stored for `packed_top`; None where there are too many query terms to copy, or a key isn't unique."""
+    own = Packed(units, text, terms, keys) if _small(terms, Index.COPIED) else None
+    return own if own and own.usable else None
+
+
+def packed_top(own: Packed | None, k: int, full: Callable[[], DataFrame], k1: float = K1, b: float = B) -> DataFrame:
+    """(q_id, doc_id, score, rank): the first k a query, by the best unit of each document; of all scores, `full`, where `own` is None."""
+    return ranked(own.top(k, k1, b) if own else full(), k)
+
+
 def document_text() -> Column:
     return F.concat_ws("\n\n", "title", "text")
 

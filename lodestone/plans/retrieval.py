@@ -9,6 +9,7 @@ from lodestone.operators import fuse, retrieve
 from lodestone.operators.retrieve import ranked
 from lodestone.plans import sql as S
 from lodestone.sources import tables as R
+from lodestone.sources.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 DEPTH = 50  # of the lists that gates and contexts read
@@ -31,6 +32,7 @@ class Setting:
     def __init__(self, spark, d):
         self.docs, self.asked = R.documents(spark, d), R.questions(spark, d)
         self.terms = retrieve.query_terms(self.asked)
+        self._packed, self._lists = {}, {}
 
     @property
     def sections(self):
@@ -38,16 +40,37 @@ class Setting:
 
     @property
     def gold(self):
-        return R.gold(self.docs, self.asked)
+        if "gold" not in self._packed:
+            self._packed["gold"] = stored(R.gold(self.docs, self.asked), "gold")
+        return self._packed["gold"]
+
+    def found(self, results):
+        """The documents that `results` name: texts are read and cut into tokens of these alone."""
+        return self.docs.join(results.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def bm25(self, k=None, **settings):
-        return ranked(retrieve.bm25(self.docs, self.terms, **settings), k)
+        full = lambda: retrieve.bm25(self.docs, self.terms, **settings)
+        return self._best("document", k, full, lambda: (self.docs, retrieve.document_text()), **settings)
 
     def title(self, k=None):
-        return ranked(retrieve.bm25(self.docs, self.terms, text=F.col("title")), k)
+        return self._best("title", k, lambda: retrieve.bm25(self.docs, self.terms, text=F.col("title")), lambda: (self.docs, F.col("title")))
 
     def section(self, k=None):
-        return ranked(retrieve.max_rollup(retrieve.section_scores(self.sections, self.terms)), k)
+        full = lambda: retrieve.max_rollup(retrieve.section_scores(self.sections, self.terms))
+        return self._best("section", k, full, lambda: (self.sections, retrieve.section_text()), ("doc_id", "section_id"))
+
+    def _best(self, name, k, full, units, keys=("doc_id",), **settings):
+        """The full ranking, or its first k, which are searched and stored once a Setting."""
+        if k is None:
+            return ranked(full())
+        at = (name, *sorted(settings.items()))
+        own = self._lists.setdefault(at, {})
+        if not any(have >= k for have in own):
+            if name not in self._packed:
+                self._packed[name] = retrieve.packed_units(*units(), self.terms, keys)
+            own[k] = stored(retrieve.packed_top(self._packed[name], k, full, **settings), f"{name}-top")
+        deep = min(have for have in own if have >= k)
+        return own[deep] if deep == k else own[deep].filter(F.col("rank") <= k)
 
     def channels(self, k=CHANNEL_DEPTH):
         """Three lexical channels as one list: whole documents, best sections, titles."""
@@ -205,7 +228,8 @@ _POOL = [f"pre AS (SELECT q_id, doc_id, rank FROM br WHERE rank <= {PREFIX})", "
 @query(S.query([*ALL, _WEIGHTED, *_POOL], f"SELECT q_id, doc_id, part, row_number() OVER (PARTITION BY q_id ORDER BY part, was) AS rank FROM pool QUALIFY rank <= {POOL}"))
 def prefix_pool(spark, d):
     s = Setting(spark, d)
-    return fuse.prefix_pool(s.bm25(PREFIX), ranked(fuse.rrf(s.channels(), WEIGHTS), POOL + PREFIX), PREFIX, POOL)
+    more = ranked(fuse.rrf(s.channels(), WEIGHTS), POOL + PREFIX)
+    return fuse.prefix_pool(s.bm25(PREFIX), more, PREFIX, POOL)
 
 
 @query(S.query([*ALL, S.GOLD, _WEIGHTED, S.ranks("ws", "wr"), "sized AS (SELECT q_id, count(*) AS n FROM ws GROUP BY q_id)", "g AS (SELECT gold.q_id, rank FROM gold LEFT JOIN wr ON wr.q_id = gold.q_id AND wr.doc_id = gold)"], "SELECT count(*) AS questions, round(avg((coalesce(rank, 1000000) <= 10)::INT), 4) AS hit10, round(avg((coalesce(rank, 1000000) <= 50)::INT), 4) AS hit50, round(avg((coalesce(rank, 1000000) <= 100)::INT), 4) AS hit100, round(avg((coalesce(rank, 1000000) <= 200)::INT), 4) AS hit200, round(avg((coalesce(rank, 1000000) <= 400)::INT), 4) AS hit400, (SELECT round(avg(n), 4) FROM sized) AS pool_avg, (SELECT max(n) FROM sized) AS pool_max, (SELECT median(n) FROM sized) AS pool_median FROM g"))
@@ -264,11 +288,12 @@ _CLUSTER = "CASE WHEN len(list_intersect({a}, {b})) < 1 THEN 'EMPTY' ELSE sha256
 @query(S.query([S.BM25, f"c AS (SELECT br.*, {_CLUSTER} AS cluster FROM br JOIN docs d USING (doc_id) JOIN ques q USING (q_id) WHERE rank <= 30)", "x AS (SELECT q_id, doc_id, rank AS base_rank, count(*) OVER (PARTITION BY q_id, cluster) AS cluster_size, row_number() OVER (PARTITION BY q_id, cluster ORDER BY rank) - 1 AS dup_index, score, max(score) OVER (PARTITION BY q_id) AS best FROM c)", "y AS (SELECT q_id, doc_id, base_rank, cluster_size, dup_index, round(score - 0.05::DOUBLE * best * dup_index, 9) AS score FROM x)"], "SELECT q_id, doc_id, base_rank, cluster_size, dup_index, round(score, 6) AS score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, dup_index, base_rank, doc_id) AS rank FROM y"))
 def cluster_diversity(spark, d):
     s = Setting(spark, d)
-    titles = s.docs.select("doc_id", F.array_distinct(T.tokens(F.col("title"))).alias("dt"))
+    first = s.bm25(30)
+    titles = s.found(first).select("doc_id", F.array_distinct(T.tokens(F.col("title"))).alias("dt"))
     asked = s.asked.select("q_id", F.array_distinct(T.tokens(F.col("title"))).alias("qt"))
     shared = F.array_sort(F.array_intersect("dt", "qt"))
     cluster = F.when(F.size(shared) < 1, "EMPTY").otherwise(F.substring(F.sha2(F.array_join(shared, "\n").cast("binary"), 256), 1, 16))
-    rows = s.bm25(30).join(titles, "doc_id").join(asked, "q_id").withColumn("cluster", cluster)
+    rows = first.join(titles, "doc_id").join(asked, "q_id").withColumn("cluster", cluster)
     return fuse.diversity(rows).withColumn("score", F.round("score", 6))
 
 
@@ -286,11 +311,12 @@ FIT = fit_sql()
 
 def with_fit(s, k=DEPTH):
     """BM25 candidates with their query-overlap score and a rank prior."""
-    d = s.docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
+    first = s.bm25(k)
+    d = s.found(first).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
     q = s.asked.select("q_id", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
     n = F.size(F.array_intersect("qt", "dt"))
     fit = F.round(n + n / F.size("qt") + F.lit(0.35) / F.log2(F.col("rank") + 1), 8)
-    return s.bm25(k).join(d, "doc_id").join(q, "q_id").select("q_id", "doc_id", "rank", "score", fit.alias("fit"))
+    return first.join(d, "doc_id").join(q, "q_id").select("q_id", "doc_id", "rank", "score", fit.alias("fit"))
 
 
 _SHORT = [
@@ -340,8 +366,9 @@ def selective_dense_gate(spark, d):
 
     s = Setting(spark, d)
     q = s.asked.select("q_id", F.array_distinct(T.tokens(F.col("text"))).alias("qt"))
-    docs = s.docs.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
-    r = s.bm25(10).join(docs, "doc_id").join(q, "q_id").withColumn("r", M.overlap_ratio(F.col("qt"), F.col("dt")))
+    first = s.bm25(10)
+    docs = s.found(first).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("dt"))
+    r = first.join(docs, "doc_id").join(q, "q_id").withColumn("r", M.overlap_ratio(F.col("qt"), F.col("dt")))
     f = r.groupBy("q_id").agg(F.max(F.when(F.col("rank") == 1, F.col("r"))).alias("top1"), F.avg("r").alias("mean10"), F.first(F.size("qt")).alias("n"))
     gate = F.when(F.col("n") > 30, "query_too_long").when(F.col("top1") > 0.9, "overlap_high").otherwise("activated")
     return f.select("q_id", F.round("top1", 6).alias("top1"), F.round("mean10", 6).alias("mean10"), gate.alias("gate"))
