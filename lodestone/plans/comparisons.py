@@ -98,7 +98,7 @@ def selector_comparison(spark, d):
     e = Evidence(spark, d)
     base = cases(e).filter("answerable")
     other = Evidence(spark, d)
-    other.answers = lambda: answer.composed(evidence.overlap_ranked(evidence.sentence_rows(e.results(), e.docs), e.asked), e.asked)
+    other.answers = lambda: answer.composed(evidence.overlap_ranked(evidence.sentence_rows(e.results(), e.near), e.asked), e.asked)
     return compare.winners(base, cases(other).filter("answerable"))
 
 
@@ -122,7 +122,7 @@ def support_count_gate(spark, d):
 @query(S.query([*BM25_ROWS, f"an AS (SELECT p.*, 2.0::DOUBLE * len(list_intersect(list_distinct({S.toks('q.text')}), {S.toks('d.title')})) + 0.25::DOUBLE * len(list_intersect(list_distinct({S.toks('q.text')}), {S.toks('p.sentence')})) AS anchor FROM p JOIN ques q USING (q_id) JOIN docs d USING (doc_id))"], "SELECT q_id, doc_id, pos, anchor, row_number() OVER (PARTITION BY q_id ORDER BY anchor DESC, score DESC, rank, doc_id) AS anchored FROM an"))
 def anchor_reordering(spark, d):
     e = Evidence(spark, d)
-    return compare.anchored(evidence.bm25_ranked(e.rows()), e.asked, e.docs).select("q_id", "doc_id", "pos", "anchor", "anchored")
+    return compare.anchored(evidence.bm25_ranked(e.rows()), e.asked, e.near).select("q_id", "doc_id", "pos", "anchor", "anchored")
 
 
 @query(S.query(BM25_ROWS, "SELECT q_id, count(*) AS n, count(DISTINCT doc_id) AS documents, round(max(score), 4) AS best, round(avg(score), 4) AS mean, min(rank) AS first_rank, round(max(score) - avg(score), 4) AS lead, sum(len(overlap))::BIGINT AS overlap FROM p GROUP BY q_id"))

@@ -37,8 +37,8 @@ def fold(q_id="q_id"):
 def context_rows(s):
     """The fused pool of every question with features."""
     channels = s.channels()
-    pool = ranked(fuse.rrf(channels, WEIGHTS), context.POOL_DEPTH)
-    return context.features(pool, channels, s.docs, s.asked, CHANNELS).withColumn("fold", fold())
+    pool = stored(ranked(fuse.rrf(channels, WEIGHTS), context.POOL_DEPTH), "pool")
+    return context.features(pool, channels, s.found(pool), s.asked, CHANNELS).withColumn("fold", fold())
 
 
 _FEATURES = [
@@ -64,7 +64,7 @@ _HARD = [
 
 
 def _labelled(s):
-    return context.labelled(stored(context_rows(s), "context"), stored(s.gold, "gold"), PROTECT)
+    return context.labelled(stored(context_rows(s), "context"), s.gold, PROTECT)
 
 
 @query(S.query(_HARD, "SELECT q_id, doc_id, rank, overlap_score, windows FROM hn JOIN lb USING (q_id, doc_id)"))
@@ -82,7 +82,7 @@ def preference_pairs(spark, d):
 
 def _selection(s, score):
     """Selected contexts from out-of-fold scores against the fused ranking's first ten."""
-    rows, gold = stored(context_rows(s), "context"), stored(s.gold, "gold")
+    rows, gold = stored(context_rows(s), "context"), s.gold
     scores = score(context.labelled(rows, gold, PROTECT))
     return context.selection_report(context.protected(rows, scores, PROTECT), rows, gold, PROTECT)
 
