@@ -1,6 +1,6 @@
 """Text functions as Spark columns: tokens, sentences, signals, routes.
 
-All of them are built-in expressions; none needs a Python worker.  Regular
+All but `token_numbers` are built-in expressions and need no Python worker.  Regular
 expressions that must treat Unicode white space alike carry `(?U)`.
 """
 
@@ -88,6 +88,30 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def token_numbers(words: list[str]):
+    """A function of an Arrow array of lower-case texts: the place in `words` of each of their `tokens`, -1 if it has none, and how many a text has.
+
+    For tasks that need no more of whole texts than numbers: the built-in pattern takes several times as long.
+    """
+    import re
+    from array import array
+    from itertools import repeat
+
+    import numpy as np
+
+    known, pattern = {w: i for i, w in enumerate(words)}, TOKEN
+
+    def numbers(texts):
+        find, flat, sizes = re.compile(pattern).findall, array("i"), np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = find(text.as_py() or "")
+            sizes[i] = len(found)
+            flat.extend(map(known.get, found, repeat(-1)))
+        return np.array(flat, np.int32), sizes
+
+    return numbers
+
+
 def run_starts(ordered: Column) -> Column:
     """1-based places of a sorted list at which a value is first, and one beyond the end."""
     n = F.size(ordered)

@@ -12,33 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
+from lodestone.functions.text import token_numbers
 from lodestone.sources.scratch import stored
 
-POSTINGS, BLOCK = 16_384, 256  # postings and queries whose products a task holds at once
+POSTINGS, BLOCK = 1_024, 256  # postings and queries whose products a task holds at once: 2 MB, which a core's cache holds
 
 
 def numbered(units: DataFrame, text: Column, keys: list[str], words: list[str]) -> DataFrame:
     """(doc_id, key, len, terms, tfs) of every unit: which of `words` it holds, by number, and how often."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
-    many = max(len(words), 1)
+    many, numbers = max(len(words), 1), token_numbers(words)
 
     def number(batches):
-        known = pa.array(words, pa.string())
         for batch in batches:
-            toks = batch.column("toks")
-            size = pc.list_value_length(toks).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = pc.index_in(toks.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            found, size = numbers(batch.column("text"))
             pair = (np.repeat(np.arange(len(size), dtype=np.int64), size) * many + found)[found >= 0]
             pair, tf = np.unique(pair, return_counts=True)
             ends = pa.array(np.searchsorted(pair, np.arange(len(size) + 1, dtype=np.int64) * many).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % many, tf)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size), *lists], names=["doc_id", "key", "len", "terms", "tfs"])
 
-    own = units.select(F.col(keys[0]).alias("doc_id"), F.xxhash64(*keys).alias("key"), T.tokens(text).alias("toks"))
+    own = units.select(F.col(keys[0]).alias("doc_id"), F.xxhash64(*keys).alias("key"), F.lower(text).alias("text"))
     return own.mapInArrow(number, "doc_id string, key bigint, len bigint, terms array<int>, tfs array<int>")
 
 

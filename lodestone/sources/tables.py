@@ -34,25 +34,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs_of(runs: list[list[str]]):
-    """Arrow batches of (doc_id, toks) to (doc_id, run): runs of tokens of which each is in `runs` and the first begins one."""
+    """Arrow batches of (doc_id, text in lower case) to (doc_id, run): runs of tokens of which each is in `runs` and the first begins one."""
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     words, firsts = sorted({t for r in runs for t in r}), sorted({r[0] for r in runs})
+    numbers = T.token_numbers(words)
 
     def find(batches):
-        known = pa.array(words, pa.string())
         begins = np.append(np.isin(words, firsts), False)  # the last is of tokens that aren't known, numbered -1
         for batch in batches:
-            toks = batch.column("toks")
-            flat, sizes = toks.flatten(), toks.value_lengths().to_numpy()
-            n = pc.index_in(flat, value_set=known).fill_null(-1).to_numpy()
+            n, sizes = numbers(batch.column("text"))
             misses = np.r_[0, np.cumsum(n < 0)]
             at = np.arange(len(n) - GOLD_TOKENS + 1)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = at[(misses[at + GOLD_TOKENS] == misses[at]) & begins[n[at]] & (owner[at] == owner[at + GOLD_TOKENS - 1])]
-            made = pa.array([" ".join(flat.slice(i, GOLD_TOKENS).to_pylist()) for i in at.tolist()], pa.string())
+            made = pa.array([" ".join(words[j] for j in n[i : i + GOLD_TOKENS]) for i in at.tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner[at])), made], names=["doc_id", "run"])
 
     return find
@@ -67,12 +64,12 @@ def gold(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """
     wanted = asked.select("q_id", F.slice(T.tokens(F.col("text")), 1, GOLD_TOKENS).alias("k")).filter(F.size("k") == GOLD_TOKENS)
     wanted = wanted.select("q_id", F.array_join("k", " ").alias("run"))
-    n = F.size("toks")
-    toks = docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).filter(n >= GOLD_TOKENS)
     runs = [r["run"].split(" ") for r in wanted.limit(MOST_RUNS + 1).collect()]
     if len(runs) <= MOST_RUNS:
-        have = toks.mapInArrow(_runs_of(runs), "doc_id string, run string")
+        have = docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(_runs_of(runs), "doc_id string, run string")
     else:
+        n = F.size("toks")
+        toks = docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).filter(n >= GOLD_TOKENS)
         every = F.transform(F.sequence(F.lit(1), n - GOLD_TOKENS + 1), lambda i: F.array_join(F.slice("toks", i, GOLD_TOKENS), " "))
         have = toks.select("doc_id", F.explode(F.array_distinct(every)).alias("run"))
     return have.join(wanted, "run").groupBy("q_id").agg(F.min("doc_id").alias("gold"))

@@ -1,5 +1,10 @@
 """Texts of retrieved documents alone are read, and gold by numbered tokens."""
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import packed, retrieve
 from lodestone.plans import ranking
 from lodestone.plans.evidence import Evidence
 from lodestone.plans.retrieval import Setting
@@ -26,3 +31,19 @@ def test_gold_is_that_of_the_joined_form(spark, monkeypatch):
     assert own == [("q1", "d10"), ("q3", "d2")]  # q4's tokens follow each other only across d5 and d6
     monkeypatch.setattr(tables, "MOST_RUNS", 0)
     assert sorted(map(tuple, tables.gold(docs, asked).collect())) == own
+
+
+def test_tokens_of_whole_texts_are_numbered_in_the_tasks(spark):
+    """The same tokens as the built-in pattern, which the search and gold no longer run over whole texts."""
+    texts = ["", None, "A-b C# c++ .net v1.2.3-rc a..b a.+b +-x #", "Kİ İx SÄtze ΣΣ été número_1", "x\x00y z w", "a" * 5000 + "." + "b+" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select(T.tokens(F.col("text")).alias("toks"), F.lower("text").alias("low")).orderBy("i").collect()
+    words = sorted({t for r in rows for t in r["toks"]})
+    n, sizes = T.token_numbers(words[1:])(pa.array([r["low"] for r in rows], pa.string()))
+    assert sizes.tolist() == [len(r["toks"]) for r in rows]
+    assert n.tolist() == [words.index(t) - 1 for r in rows for t in r["toks"]]
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    s = Setting(spark, "/root/testdata/sf0.001")
+    of_units = plan(packed.numbered(s.docs, retrieve.document_text(), ["doc_id"], ["a"]))
+    before_tasks = plan(tables.gold(s.docs, s.asked.limit(0))).split("MapInArrow")[-1]
+    assert "regexp_extract_all" not in of_units and "regexp_extract_all" not in before_tasks.split("documents.parquet")[0]
