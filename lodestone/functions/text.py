@@ -1,6 +1,6 @@
 """Text functions as Spark columns: tokens, sentences, signals, routes.
 
-All but `token_numbers` are built-in expressions and need no Python worker.  Regular
+All but `token_numbers` and `token_sizes` are built-in expressions and need no Python worker.  Regular
 expressions that must treat Unicode white space alike carry `(?U)`.
 """
 
@@ -112,6 +112,24 @@ def token_numbers(words: list[str]):
     return numbers
 
 
+def token_sizes():
+    """A function of an Arrow array of lower-case texts: how many `tokens`, and how many distinct ones, each has."""
+    import re
+
+    import numpy as np
+
+    pattern = TOKEN
+
+    def sizes(texts):
+        find, out = re.compile(pattern).findall, np.zeros((2, len(texts)), np.int64)
+        for i, text in enumerate(texts):
+            found = find(text.as_py() or "")
+            out[:, i] = len(found), len(set(found))
+        return out
+
+    return sizes
+
+
 def run_starts(ordered: Column) -> Column:
     """1-based places of a sorted list at which a value is first, and one beyond the end."""
     n = F.size(ordered)

@@ -11,6 +11,7 @@ from lodestone.plans import sql as S
 from lodestone.plans.evidence import BM25_ROWS, Evidence
 from lodestone.plans.retrieval import FIT, POOL, PREFIX, Setting, fit_sql, with_fit
 from lodestone.sources import tables as R
+from lodestone.sources.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -222,10 +223,19 @@ VARIETY = f"SELECT l.doc_id, round(CASE WHEN len(t) > 0 THEN len(list_distinct(t
 
 
 def variety(spark, d):
-    """Labelled documents with the share of their tokens that are distinct, as a score of quality."""
-    t = T.tokens(F.col("text"))
-    docs = R.table(spark, d, "documents").select("doc_id", F.round(M.ratio(F.size(F.array_distinct(t)), F.size(t)), 6).alias("p"))
-    return R.table(spark, d, "labels").filter("quality is not null").select("doc_id", "quality").join(docs, "doc_id")
+    """Labelled documents with the share of their tokens that are distinct, as a score of quality; stored, as refined histograms read it many times."""
+    import pyarrow as pa
+
+    texts = R.table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    sizes = T.token_sizes()
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sizes(batch.column("text")))], names=["doc_id", "n", "kinds"])
+
+    counted = texts.mapInArrow(count, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n bigint, kinds bigint")
+    docs = counted.select("doc_id", F.round(M.ratio(F.col("kinds"), F.col("n")), 6).alias("p"))
+    return stored(R.table(spark, d, "labels").filter("quality is not null").select("doc_id", "quality").join(docs, "doc_id"), "variety")
 
 
 @query(f"WITH c AS ({VARIETY}) SELECT least(floor(p * 5), 4)::INT AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(quality), 6) AS observed, round(avg((p - quality) * (p - quality)), 6) AS brier FROM c GROUP BY bin")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import packed, retrieve
-from lodestone.plans import ranking
+from lodestone.plans import corpus, ranking
 from lodestone.plans.evidence import Evidence
 from lodestone.plans.retrieval import Setting
 from lodestone.sources import tables
@@ -47,3 +47,12 @@ def test_tokens_of_whole_texts_are_numbered_in_the_tasks(spark):
     of_units = plan(packed.numbered(s.docs, retrieve.document_text(), ["doc_id"], ["a"]))
     before_tasks = plan(tables.gold(s.docs, s.asked.limit(0))).split("MapInArrow")[-1]
     assert "regexp_extract_all" not in of_units and "regexp_extract_all" not in before_tasks.split("documents.parquet")[0]
+
+
+def test_variety_reads_texts_once_and_counts_as_the_built_in_pattern(spark):
+    rows = corpus.variety(spark, "/root/testdata/sf0.001")
+    assert not _inputs(rows)
+    t = T.tokens(F.col("text"))
+    docs = tables.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", F.round(F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(0.0), 6).alias("p"))
+    other = tables.table(spark, "/root/testdata/sf0.001", "labels").filter("quality is not null").join(docs, "doc_id").select("doc_id", "quality", "p")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, other.collect()))
