@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import metrics as M
@@ -97,7 +99,7 @@ def candidate_alignment(spark, d):
 def selector_comparison(spark, d):
     e = Evidence(spark, d)
     base = cases(e).filter("answerable")
-    other = Evidence(spark, d)
+    other = copy(e)  # shares what is searched and stored
     other.answers = lambda: answer.composed(evidence.overlap_ranked(evidence.sentence_rows(e.results(), e.near), e.asked), e.asked)
     return compare.winners(base, cases(other).filter("answerable"))
 

@@ -1,11 +1,12 @@
 """Texts of retrieved documents alone are read, and gold by numbered tokens."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import packed, retrieve
-from lodestone.plans import corpus, ranking
+from lodestone.plans import catalog, corpus, ranking
 from lodestone.plans.evidence import Evidence
 from lodestone.plans.retrieval import Setting
 from lodestone.sources import tables
@@ -56,3 +57,13 @@ def test_variety_reads_texts_once_and_counts_as_the_built_in_pattern(spark):
     docs = tables.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", F.round(F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(0.0), 6).alias("p"))
     other = tables.table(spark, "/root/testdata/sf0.001", "labels").filter("quality is not null").join(docs, "doc_id").select("doc_id", "quality", "p")
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, other.collect()))
+
+
+@pytest.mark.parametrize("name, lists, gold", [("paired_arms", 1, 1), ("pipeline_waterfall", 3, 1), ("selector_comparison", 1, 1)])
+def test_arms_search_once(spark, monkeypatch, name, lists, gold):
+    """Both arms, and the stages before them, read the same lists and the same gold."""
+    made = []
+    monkeypatch.setattr(retrieve, "packed_top", lambda *a, f=retrieve.packed_top, **k: made.append("list") or f(*a, **k))
+    monkeypatch.setattr(tables, "gold", lambda *a, f=tables.gold: made.append("gold") or f(*a))
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert (made.count("list"), made.count("gold")) == (lists, gold)
