@@ -1,5 +1,9 @@
 """Texts of retrieved documents alone are read, and gold by numbered tokens."""
 
+import random
+import re
+import sys
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +71,23 @@ def test_arms_search_once(spark, monkeypatch, name, lists, gold):
     monkeypatch.setattr(tables, "gold", lambda *a, f=tables.gold: made.append("gold") or f(*a))
     catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert (made.count("list"), made.count("gold")) == (lists, gold)
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 20])
+def test_texts_are_cut_by_pieces_and_not_one_by_one(monkeypatch, piece):
+    """Tokens are those of the pattern wherever a piece or a text ends, and no call is made a text."""
+    monkeypatch.setattr(T, "PIECE", piece)
+    rnd = random.Random(3)
+    texts = [None if i % 9 == 0 else "".join(rnd.choices("ab1_+#.-  é\n\x00", k=rnd.choice([0, 1, 2, 3, 9, 40]))) for i in range(400)]
+    found = [re.findall(T.TOKEN, t or "") for t in texts]
+    words = sorted({w for f in found for w in f})[::2]
+    calls = []
+    numbers, own = T.token_numbers(words), pa.array(["x.a", *texts, "b"], pa.string())[1:-1]
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        n, sizes = numbers(own)
+    finally:
+        sys.setprofile(None)
+    assert sizes.tolist() == [len(f) for f in found]
+    assert n.tolist() == [words.index(w) if w in words else -1 for f in found for w in f]
+    assert piece < 1 << 20 or len(calls) < len(texts)
