@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import ordered
-from lodestone.sources.scratch import stored
+from lodestone.operators import ordered, similar
 
 
 def exact_overlaps(left: DataFrame, right: DataFrame, left_text: str = "text", right_text: str = "text") -> DataFrame:
@@ -32,34 +31,16 @@ def internal_duplicates(rows: DataFrame, id_: str, text: str = "text") -> DataFr
 def similar_sets(rows: DataFrame, id_: str, terms: Column, threshold: float = 0.9) -> DataFrame:
     """(left_id, right_id, similarity, n_left, n_right): pairs of term-set classes with Jaccard >= threshold.
 
-    Equal sets are one class, named by its smallest id.  Terms are ordered from
-    rare to frequent; two sets with Jaccard >= t must share a term among the
-    first n - ceil(t n) + 1 of each, so only these prefixes are joined, within
-    the length bounds ceil(t n) .. floor(n / t).  The first term that a pair
-    shares leaves at most the terms behind it to be shared, so a meeting too far
-    back is dropped before pairs are shuffled; whole sets decide.  Terms travel as
-    64-bit hashes: two with one hash only meet more often.  No similar pair is
-    lost, and frequent terms hardly ever meet.
+    Equal sets are one class, named by its smallest id.  No similar pair is lost;
+    how pairs meet, and how few sets are shuffled, is told in `similar`.
     """
-    sets = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(terms)).alias("terms")).filter(F.size("terms") > 0)
-    classes = sets.groupBy("terms").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
-    classes = stored(classes.withColumn("n", F.size("terms")), "classes")
-    each = classes.select("id", "n", F.explode(F.transform("terms", lambda t: F.xxhash64(t))).alias("term"))
-    frequency = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = W.partitionBy("id").orderBy("df", "term")
-    prefix = each.join(frequency, "term").withColumn("at", F.row_number().over(by_rarity)).filter(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-    prefix = stored(prefix.filter("df > 1").drop("df"), "prefix")
-    side = lambda name, x: prefix.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{x}n"), F.col("at").alias(f"{x}at"), "term")
-    near = (F.col("left_id") < F.col("right_id")) & (F.col("rn") >= F.ceil(threshold * F.col("ln"))) & (F.col("rn") <= F.floor(F.col("ln") / threshold))
-    most = 1 + F.least(F.col("ln") - F.col("lat"), F.col("rn") - F.col("rat"))
-    reach = most >= threshold * (F.col("ln") + F.col("rn") - most) - 1e-9
-    candidates = side("left", "l").join(side("right", "r"), "term").filter(near & reach).select("left_id", "right_id").distinct()
-    full = classes.select("id", "terms", "members")
-    named = lambda side: full.select(F.col("id").alias(f"{side}_id"), F.col("terms").alias(f"{side}_terms"), F.col("members").alias(f"n_{side}"))
-    both = candidates.join(named("left"), "left_id").join(named("right"), "right_id")
-    shared = F.size(F.array_intersect("left_terms", "right_terms"))
-    similarity = shared / (F.size("left_terms") + F.size("right_terms") - shared)
-    return both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("left_id", "right_id", F.round("similarity", 4).alias("similarity"), "n_left", "n_right")
+    classes, pairs = similar.similar_classes(rows, id_, terms, threshold)
+    named = lambda side: classes.select(F.col("c").alias(side), F.col("id").alias(f"{side}_id"), F.col("members").alias(f"n_{side}"))
+    both = pairs.join(named("a"), "a").join(named("b"), "b").filter("a_id <> b_id")
+    left, right = (F.struct(F.col(f"{x}_id").alias("id"), F.col(f"n_{x}").alias("n")) for x in "ab")
+    swap = F.col("a_id") > F.col("b_id")
+    both = both.select(F.when(swap, right).otherwise(left).alias("l"), F.when(swap, left).otherwise(right).alias("r"), F.round("similarity", 4).alias("similarity"))
+    return both.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), "similarity", F.col("l.n").alias("n_left"), F.col("r.n").alias("n_right"))
 
 
 def set_members(rows: DataFrame, id_: str, terms: Column, pairs: DataFrame) -> DataFrame:
