@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import ordered, similar
+from lodestone.sources.scratch import stored
 
 
 def exact_overlaps(left: DataFrame, right: DataFrame, left_text: str = "text", right_text: str = "text") -> DataFrame:
@@ -50,7 +51,7 @@ def set_members(rows: DataFrame, id_: str, terms: Column, pairs: DataFrame) -> D
     other classes that are similar to its class.
     """
     sets = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(terms)).alias("terms")).filter(F.size("terms") > 0)
-    keyed = sets.select("id", F.sha2(F.array_join("terms", " ").cast("binary"), 256).alias("key"))
+    keyed = stored(sets.select("id", F.unhex(F.sha2(F.array_join("terms", " ").cast("binary"), 256)).alias("key")), "keys")  # texts are cut into terms once
     classes = keyed.groupBy("key").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("members"))
     links = pairs.select(F.explode(F.array("left_id", "right_id")).alias("representative")).groupBy("representative").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.join(links, "representative", "left")

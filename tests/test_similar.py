@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import leakage, similar
+from lodestone.plans import catalog
 
 
 def _rows(n=160):
@@ -52,3 +53,9 @@ def test_sets_of_pairs_that_only_share_a_rare_term_stay_where_they_are(spark, mo
     got = leakage.similar_sets(spark.createDataFrame(rows, "id int, text string"), "id", F.split("text", " "), 0.8)
     assert got.isEmpty() and sent == [0]
     assert "array_intersect" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_are_named_without_cutting_texts_again(spark):
+    got = catalog.queries()["near_duplicate_members"](spark, "/root/testdata/sf0.001")
+    assert not [x for x in got.inputFiles() if "documents.parquet" in x]
+    assert got.count() == 200
