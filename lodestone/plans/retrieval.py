@@ -55,6 +55,10 @@ class Setting:
     def title(self, k=None):
         return self._best("title", k, lambda: retrieve.bm25(self.docs, self.terms, text=F.col("title")), lambda: (self.docs, F.col("title")))
 
+    def weighted(self, k=None):
+        text = retrieve.weighted_text()
+        return self._best("weighted", k, lambda: retrieve.bm25(self.docs, self.terms, text=text), lambda: (self.docs, text))
+
     def section(self, k=None):
         full = lambda: retrieve.max_rollup(retrieve.section_scores(self.sections, self.terms))
         return self._best("section", k, full, lambda: (self.sections, retrieve.section_text()), ("doc_id", "section_id"))
@@ -136,10 +140,9 @@ def section_topn_rrf(spark, d):
     return shown(ranked(retrieve.top_section_rrf(retrieve.section_scores(s.sections, s.terms)), 10))
 
 
-@query(S.query([S.BASE, S.index("w", "docs", "CASE WHEN trim(title) = '' THEN '' ELSE title || chr(10) || title END || chr(10) || text"), S.scores("w", "ws"), S.ranks("ws", "wr", 10)], f"{SHOW} wr"))
+@query(S.query([S.BASE, S.index("w", "docs", "CASE WHEN trim(title) = '' THEN '' ELSE title || chr(10) || title END || chr(10) || text"), S.ordered_scores("w", "ws"), S.ranks("ws", "wr", 10)], f"SELECT q_id, doc_id, rank, {S.half_up('score')} AS score FROM wr"))
 def field_weighted_bm25(spark, d):
-    s = Setting(spark, d)
-    return shown(ranked(retrieve.bm25(s.docs, s.terms, text=retrieve.weighted_text()), 10))
+    return shown(Setting(spark, d).weighted(10))
 
 
 _FIELDED = [

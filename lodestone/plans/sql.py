@@ -96,6 +96,16 @@ def scores(name: str, out: str, keys: str = "doc_id", k1: str = "1.5", b: str =
     return f"{out} AS MATERIALIZED (SELECT q_id, {keys}, round(sum({term_score(k1, b)}), 9) AS score FROM {name}_m GROUP BY q_id, {keys})"
 
 
+def ordered_scores(name: str, out: str, keys: str = "doc_id") -> str:
+    """`scores` with terms added up in their order, so that documents with equal terms have equal sums."""
+    return f"{out} AS MATERIALIZED (SELECT q_id, {keys}, round(list_sum(list(part ORDER BY term)), 9) AS score FROM (SELECT q_id, {keys}, term, {term_score()} AS part FROM {name}_m) GROUP BY q_id, {keys})"
+
+
+def half_up(x: str) -> str:
+    """Six digits of a score of nine, as Spark rounds: the decimal number decides, not the binary one beside it."""
+    return f"round({x}::DECIMAL(38, 9), 6)::DOUBLE"
+
+
 def ranks(source: str, out: str, k: int | None = None, keys: str = "q_id", order: str = "score DESC, doc_id") -> str:
     cut = f" QUALIFY rank <= {k}" if k else ""
     return f"{out} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rank FROM {source}{cut})"

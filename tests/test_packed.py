@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import packed, retrieve
+from lodestone.plans import catalog
+from lodestone.plans import sql as S
 from lodestone.plans.retrieval import Setting
+from tests import oracle
 
 
 def _tables(spark, n=300):
@@ -66,3 +69,20 @@ def test_lists_are_searched_once_and_read_no_document_again(spark):
     lists = s.channels()
     assert not _inputs(lists)
     assert s.bm25(200).filter("rank > 200").isEmpty() and not _inputs(s.bm25(200))
+
+
+def test_shown_scores_and_their_sql_round_alike(spark):
+    """Scores of nine digits that end in 500: DuckDB's own rounding gives 133.308485 and 64.931648."""
+    scores, con = [133.3084855, 64.9316485, 140.3286545, 0.0000005, 12.0], oracle.duck("/root/testdata/sf0.001")
+    mine = [r["s"] for r in spark.createDataFrame([(x,) for x in scores], "x double").select(F.round("x", 6).alias("s")).collect()]
+    assert mine == [con.execute(f"SELECT {S.half_up('?::DOUBLE')}", [x]).fetchone()[0] for x in scores]
+    assert S.half_up("score") in catalog.oracles()["field_weighted_bm25"]
+
+
+def test_weighted_fields_are_added_in_the_order_of_terms(spark):
+    """Equal documents have equal sums, whatever is shuffled: a task adds up a document's terms in their order."""
+    s = Setting(spark, "/root/testdata/sf0.001")
+    _same(s.weighted(10), retrieve.ranked(retrieve.bm25(s.docs, s.terms, text=retrieve.weighted_text()), 10))
+    found = catalog.queries()["field_weighted_bm25"](spark, "/root/testdata/sf0.001")
+    assert not _inputs(found)
+    oracle.compare(spark, oracle.duck("/root/testdata/sf0.01"), catalog.queries()["field_weighted_bm25"], catalog.oracles()["field_weighted_bm25"], "/root/testdata/sf0.01")
