@@ -13,6 +13,7 @@ from lodestone.sources.scratch import stored
 
 QUERIES, ORACLES = {}, {}
 DEPTH = 50  # of the lists that gates and contexts read
+SHADOW = 10  # of the section list that lifts documents
 CHANNEL_DEPTH, PREFIX, POOL = 400, 200, 400  # of the channels, the kept prefix and the candidate pool
 
 
@@ -270,7 +271,7 @@ def score_margin_gate(spark, d):
 @query(S.query([S.BM25, SEC, "u AS (SELECT q_id, doc_id, CASE WHEN b.rank <= 10 THEN 0 WHEN s.rank <= 10 THEN 1 WHEN b.rank IS NOT NULL THEN 2 END AS part, b.rank AS b_rank, s.rank AS s_rank FROM (SELECT * FROM br WHERE rank <= 50) b FULL JOIN sr s USING (q_id, doc_id))"], "SELECT q_id, doc_id, part, row_number() OVER (PARTITION BY q_id ORDER BY part, CASE WHEN part = 1 THEN s_rank ELSE b_rank END, doc_id) AS rank FROM u WHERE part IS NOT NULL QUALIFY rank <= 50"))
 def section_signal_gate(spark, d):
     s = Setting(spark, d)
-    return fuse.section_shadow(s.bm25(DEPTH), s.section())
+    return fuse.section_shadow(s.bm25(DEPTH), s.section(SHADOW), SHADOW)
 
 
 @query(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import packed, retrieve
+from lodestone.operators import fuse, packed, retrieve
 from lodestone.plans import catalog
 from lodestone.plans import sql as S
 from lodestone.plans.retrieval import Setting
@@ -86,3 +86,12 @@ def test_weighted_fields_are_added_in_the_order_of_terms(spark):
     found = catalog.queries()["field_weighted_bm25"](spark, "/root/testdata/sf0.001")
     assert not _inputs(found)
     oracle.compare(spark, oracle.duck("/root/testdata/sf0.01"), catalog.queries()["field_weighted_bm25"], catalog.oracles()["field_weighted_bm25"], "/root/testdata/sf0.01")
+
+
+def test_section_gate_ranks_no_more_sections_than_can_lift(spark):
+    """Beyond the first ten a section changes nothing, so no row is made of it."""
+    sf = "/root/testdata/sf0.001"
+    got, s = catalog.queries()["section_signal_gate"](spark, sf), Setting(spark, sf)
+    assert not _inputs(got)
+    whole = fuse.section_shadow(s.bm25(50), s.section())
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
