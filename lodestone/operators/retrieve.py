@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import metrics as M
 from lodestone.functions import text as T
 from lodestone.operators.packed import Packed
+from lodestone.sources.scratch import stored
 
 K1, B = 1.5, 0.75
 
@@ -155,6 +156,73 @@ def top_section_rrf(scores: DataFrame, n: int = 2, k: int = 60) -> DataFrame:
     return own.groupBy("q_id", "doc_id").agg(F.round(F.sum(1 / (k + F.col("g"))), 9).alias("score"))
 
 
+def unit_id() -> Column:
+    """Document and section in one id, whose order is that of the two where no document's id has a NUL."""
+    return F.concat("doc_id", F.lit("\0"), "section_id")
+
+
+SLICE, DEEP = 4096, (400, 3200)  # questions that are searched at once; first sections of a question that are looked at, and then
+
+
+def top_section_rrf_best(own: Packed | None, k: int, full: Callable[[DataFrame | None], DataFrame], n: int = 2, rrf: int = 60, deep: tuple[int, ...] = DEEP) -> DataFrame:
+    """(q_id, doc_id, score, rank): the first k a question by `top_section_rrf` with n = 2, without ranking all sections.
+
+    The first `deep` sections of a question are ranked.  What a document has there, and
+    what it could have behind, says which documents may be among the first k;
+    of those with one section there, the second is looked up and its place in all
+    sections counted.  Questions for which the first sections don't decide are
+    searched deeper, and in the end by `full`, which gets them as (q_id).
+    """
+    if own is None or n != 2 or not own.rows.filter(F.col("doc_id").rlike("\\x00[^\\x00]*\\x00")).isEmpty():
+        return ranked(full(None), k)
+    spark, out = own.rows.sparkSession, []
+    left = sorted({q for q, _, _ in own.asked})
+    for most in deep:
+        open_ = []
+        for at in range(0, len(left), SLICE):
+            some, undecided = _decided(own, k, left[at : at + SLICE], rrf, most)
+            out.append(some)
+            open_ += undecided
+        left = open_
+    if left:
+        out.append(full(spark.createDataFrame([(q,) for q in left], "q_id string")))
+    every = out[0] if out else spark.createDataFrame([], "q_id string, doc_id string, score double")
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return ranked(every, k)
+
+
+def _decided(own: Packed, k: int, names: list[str], rrf: int, most: int) -> tuple[DataFrame, list[str]]:
+    """Scores of the documents that may be among the first k, for the questions in `names` whose first sections decide, and the other questions."""
+    first = stored(ranked(own.top(most, K1, B, names), most), "sections-top")
+    spark, doc = first.sparkSession, F.substring_index("doc_id", "\0", 1)
+    one = first.select("q_id", doc.alias("parent"), "doc_id", "rank")
+    in_two = top_k(one, ["q_id", "parent"], [F.col("rank")], 2, "own")
+    share = lambda r: 1 / (rrf + r)
+    had = in_two.groupBy("q_id", "parent").agg(F.sum(share(F.col("rank"))).alias("have"), F.count(F.lit(1)).alias("n"), F.min_by("doc_id", "rank").alias("best"), F.min("rank").alias("at"))
+    ends = first.groupBy("q_id").agg((F.count(F.lit(1)) < most).alias("whole"))
+    kth = top_k(had, ["q_id"], [F.col("have").desc(), F.col("parent")], k, "place").filter(F.col("place") == k).select("q_id", F.col("have").alias("kth"))
+    edge, behind = 2e-9, share(F.lit(most + 1))  # scores are compared at nine digits
+    bounds = ends.join(kth, "q_id", "left")
+    undecided = [r["q_id"] for r in bounds.filter(~F.col("whole") & ~F.coalesce(F.col("kth") > behind + share(F.lit(most + 2)) + edge, F.lit(False))).select("q_id").collect()]
+    may = had.join(bounds, "q_id").filter(~F.col("q_id").isin(undecided)) if undecided else had.join(bounds, "q_id")
+    reach = F.col("have") + F.when((F.col("n") < 2) & ~F.col("whole"), behind).otherwise(F.lit(0.0))
+    may = stored(may.filter(F.col("kth").isNull() | (reach >= F.col("kth") - edge)).withColumn("lacks", (F.col("n") < 2) & ~F.col("whole")), "sections-may")
+    lacking = [(r["q_id"], r["parent"], r["best"]) for r in may.filter("lacks").select("q_id", "parent", "best").collect()]
+    second = []
+    if lacking:
+        wanted: dict[str, list[str]] = {}
+        for q, parent, _ in lacking:
+            wanted.setdefault(parent, []).append(q)
+        known = may.filter("lacks").select("q_id", F.col("best").alias("doc_id"))
+        others = own.of_parents(wanted, names, K1, B).join(known, ["q_id", "doc_id"], "left_anti")
+        second = [tuple(r) for r in ranked(others.withColumn("parent", doc), 1, ["q_id", "parent"]).select("q_id", "doc_id", "score").collect()]
+    places = own.places(second, names, K1, B) if second else []
+    more = spark.createDataFrame([(q, u.split("\0", 1)[0], p) for (q, u, _), p in zip(second, places)], "q_id string, parent string, second bigint")
+    score = F.when(F.col("second").isNotNull(), share(F.col("at")) + share(F.col("second"))).otherwise(F.col("have"))
+    return may.join(more, ["q_id", "parent"], "left").select("q_id", F.col("parent").alias("doc_id"), F.round(score, 9).alias("score")), undecided
+
+
 def weighted_text(title_weight: int = 2, body_weight: int = 1) -> Column:
     return F.concat_ws("\n", T.repeated(F.col("title"), title_weight), T.repeated(F.col("text"), body_weight))
 

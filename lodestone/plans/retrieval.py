@@ -138,7 +138,14 @@ _SRRF = [
 @query(S.query(_SRRF, f"{SHOW} r2"))
 def section_topn_rrf(spark, d):
     s = Setting(spark, d)
-    return shown(ranked(retrieve.top_section_rrf(retrieve.section_scores(s.sections, s.terms)), 10))
+    units = s.sections.withColumn("doc_id", retrieve.unit_id())
+    own = retrieve.packed_units(units, retrieve.section_text(), s.terms)
+
+    def full(asked):
+        terms = s.terms if asked is None else s.terms.join(asked, "q_id", "left_semi")
+        return retrieve.top_section_rrf(retrieve.section_scores(s.sections, terms))
+
+    return shown(retrieve.top_section_rrf_best(own, 10, full))
 
 
 @query(S.query([S.BASE, S.index("w", "docs", "CASE WHEN trim(title) = '' THEN '' ELSE title || chr(10) || title END || chr(10) || text"), S.ordered_scores("w", "ws"), S.ranks("ws", "wr", 10)], f"SELECT q_id, doc_id, rank, {S.half_up('score')} AS score FROM wr"))

@@ -95,3 +95,40 @@ def test_section_gate_ranks_no_more_sections_than_can_lift(spark):
     assert not _inputs(got)
     whole = fuse.section_shadow(s.bm25(50), s.section())
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def _lines(spark):
+    """Documents of up to 30 lines, many of them alike, one that holds a line 60 times, and copies."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    lines = [" ".join(rnd.choices(words, k=rnd.randint(1, 8))) for _ in range(150)]
+    docs = [(f"d{i}", rnd.choices(lines, k=rnd.choice([1, 2, 5, 30]))) for i in range(120)] + [("many", [lines[0]] * 60 + lines[:9])]
+    docs += [(f"x{i}", docs[i][1]) for i in range(30)]
+    rows = [(d, f"s{j}", "w1" if d == "d3" else "", t) for d, ls in docs for j, t in enumerate(ls)]
+    asked = [(f"q{i}", " ".join(rnd.choices(words, k=rnd.randint(1, 6)))) for i in range(25)] + [("q", lines[0]), ("none", "nowhere"), ("rare", "w7")]
+    return spark.createDataFrame(rows, "doc_id string, section_id string, title string, text string").repartition(5), retrieve.query_terms(spark.createDataFrame(asked, "q_id string, text string"))
+
+
+@pytest.mark.parametrize("deep", [(20, 40), (60,), (5000,)])
+def test_two_best_sections_without_ranking_all(spark, monkeypatch, deep):
+    """Places behind the first sections are counted; questions they don't decide are ranked whole."""
+    monkeypatch.setattr(packed, "BLOCK", 8)
+    monkeypatch.setattr(packed, "POSTINGS", 50)
+    monkeypatch.setattr(retrieve, "SLICE", 10)
+    sections, terms = _lines(spark)
+    asked = []
+
+    def full(q):
+        asked.extend(r["q_id"] for r in q.collect())
+        return retrieve.top_section_rrf(retrieve.section_scores(sections, terms)).join(q, "q_id", "left_semi")
+
+    own = retrieve.packed_units(sections.withColumn("doc_id", retrieve.unit_id()), retrieve.section_text(), terms)
+    counted = []
+    monkeypatch.setattr(packed.Packed, "places", lambda self, wanted, *a, f=packed.Packed.places: counted.extend(wanted) or f(self, wanted, *a))
+    _same(retrieve.top_section_rrf_best(own, 10, full, deep=deep), retrieve.ranked(retrieve.top_section_rrf(retrieve.section_scores(sections, terms)), 10))
+    assert counted or deep != (60,)
+    assert deep != (5000,) or not asked
+
+
+def test_section_rrf_makes_no_row_of_every_section(spark):
+    assert not _inputs(catalog.queries()["section_topn_rrf"](spark, "/root/testdata/sf0.001"))
